@@ -29,6 +29,7 @@ from collections.abc import Callable, Iterable, Iterator
 from operator import itemgetter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -554,8 +555,6 @@ def token_counts(docs: DataFrame, budgets: tuple[int, ...] = (512, 2048, 8192),
 
 def count_column(df: DataFrame, text: str = "text", vocabulary: str = DEFAULT_VOCABULARY):
     """A column with the number of tokens of ``text``; null for null."""
-    import pandas as pd
-
     held = _broadcast(df, vocabulary)
 
     @F.pandas_udf("int")
