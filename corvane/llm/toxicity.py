@@ -240,7 +240,7 @@ class Linear:
         names = [word] + [f"^{word[:n]}" for n in range(5, 9) if len(word) >= n]
         return [zlib.crc32(x.encode()) & (1 << HASH_BITS) - 1 for x in names]
 
-    def fit(self, docs: list[set[str]], y: np.ndarray, weight: np.ndarray, epochs: int = 10, rate: float = 0.5, ridge: float = 1e-5) -> Linear:
+    def fit(self, docs: list[set[str]], y: np.ndarray, weight: np.ndarray, epochs: int = 6, rate: float = 0.5, ridge: float = 1e-5) -> Linear:
         """Adagrad on the cross entropy with soft labels."""
         cache: dict[str, list[int]] = {}
         rows = []
