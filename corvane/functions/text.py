@@ -151,9 +151,9 @@ def sentences(text: Column) -> Column:
     held = text
     # Longer ones first; a private character stands for the dot.
     for a in sorted(ABBREVIATIONS, key=lambda x: (-len(x), x)):
-        held = F.replace(held, F.lit(a + "."), F.lit(a + ""))
+        held = F.replace(held, F.lit(a + "."), F.lit(a + "\ue000"))
     parts = F.split(held, r"(?<=[.!?])\s+(?=[A-Z])|\n\s*\n")
-    return F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(F.replace(s, F.lit(""), F.lit(".")), r"^\s+|\s+$", ""))), lambda s: F.length(s) >= 5)
+    return F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(F.replace(s, F.lit("\ue000"), F.lit(".")), r"^\s+|\s+$", ""))), lambda s: F.length(s) >= 5)
 
 
 _STEP2 = (("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("logi", "log"))
