@@ -1,10 +1,693 @@
-"""The engine's queries by name, and their DuckDB SQL."""
+"""The engine's queries by name, and their DuckDB SQL where SQL can say the same.
+
+Each query applies library operators to whole tables.  ``documents`` stands for chunks and
+document metadata, ``embeddings`` for vectors, ``events`` for the usage log, customers,
+nations and regions for a graph.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corvane.functions import chunking
+from corvane.functions import text as tx
+from corvane.operators import analyzers, graph, incremental, keyword, metadata, ranking, vector
+from corvane.plans import search
+from corvane.sources.markdown import table
+from corvane.streaming import usage as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The newest event's time stands for "now", so that results don't depend on the day.
+NOW = "2024-01-31 00:00:00"
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _now():
+    return F.lit(NOW).cast("timestamp")
+
+
+# ---- vectors -------------------------------------------------------------------------------
+
+_Q0 = "(SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))"
+_DOT = f"round(list_dot_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), {_Q0}), 6)"
+
+
+def _first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return [float(x) for x in table(spark, sf_dir, "embeddings").orderBy("vec_id").select("embedding").first()[0]]
+
+
+@query(f"SELECT vec_id, {_DOT} AS similarity FROM embeddings ORDER BY similarity DESC, vec_id LIMIT 10")
+def vector_topk(spark, sf_dir):
+    """RT2/TK1."""
+    return vector.search(table(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir), 10)
+
+
+@query(f"SELECT * FROM (SELECT vec_id, {_DOT} AS similarity FROM embeddings ORDER BY similarity DESC, vec_id LIMIT 20) WHERE similarity >= 0.3")
+def vector_topk_threshold(spark, sf_dir):
+    """FLT6."""
+    return vector.search(table(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir), 20, 0.3)
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(q.v, e.v), 6) AS similarity FROM e q, e)
+SELECT query_id, vec_id, similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
+def vector_topk_batch(spark, sf_dir):
+    """TK3/WN2/JN6: every vector as a query."""
+    e = table(spark, sf_dir, "embeddings")
+    return vector.search_batch(e, e.select(F.col("vec_id").alias("query_id"), "embedding"), 5)
+
+
+@query(f"""WITH t AS (SELECT vec_id, {_DOT} AS similarity FROM embeddings ORDER BY similarity DESC, vec_id LIMIT 20)
+SELECT * FROM t WHERE vec_id IN (SELECT doc_id FROM labels WHERE quality = 1)""")
+def vector_topk_postfilter(spark, sf_dir):
+    """TK2."""
+    allowed = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("vec_id"))
+    return vector.search_within(table(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir), allowed, 20)
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(e, lambda x: (x / n) * (x / n)))), 6) AS norm, round(e[1] / n, 6) AS first FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 3) e, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE) * 9))) n FROM embeddings)")
+def l2_normalise(spark, sf_dir):
+    """RT1."""
+    u = table(spark, sf_dir, "embeddings").select("vec_id", vector.l2_normalise(F.transform("embedding", lambda x: x.cast("double") * 3)).alias("u"))
+    return u.select("vec_id", F.round(F.sqrt(vector.dot(F.col("u"), F.col("u"))), 6).alias("norm"), F.round(F.element_at("u", 1), 6).alias("first"))
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) v0 FROM embeddings),
+u AS (SELECT vec_id, list_transform(v0, lambda x: x / sqrt(list_dot_product(v0, v0))) v FROM e)
+SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v), 6) AS similarity FROM u a JOIN u b ON a.vec_id < b.vec_id) WHERE similarity >= 0.7""")
+def semantic_edges(spark, sf_dir):
+    """JN9/AN5, without caps."""
+    return vector.similar_pairs(table(spark, sf_dir, "embeddings"), 0.7)
+
+
+# ---- keywords ------------------------------------------------------------------------------
+
+_TOK = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
+
+
+def _bm25_sql(words: list[str]) -> str:
+    tf = ", ".join(f"len(list_filter(toks, lambda t: t = '{w}')) AS tf{i}" for i, w in enumerate(words))
+    df = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(len(words)))
+    idf = lambda i: f"(CASE WHEN ln((n - df{i} + 0.5) / (df{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df{i} + 0.5) / (df{i} + 0.5)) END)"
+    score = " + ".join(f"{idf(i)} * tf{i} * 2.2 / (tf{i} + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))" for i in range(len(words)))
+    return f"""bm AS (WITH c AS (SELECT doc_id, len(toks) AS dl, {tf} FROM (SELECT doc_id, {_TOK} AS toks FROM documents)), s AS (SELECT count(*) AS n, avg(dl) AS avgdl, {df} FROM c)
+SELECT doc_id, round({score}, 6) AS score FROM c, s WHERE {" AND ".join(f"tf{i} > 0" for i in range(len(words)))})"""
+
+
+@query(f"WITH {_bm25_sql(['then', 'ther'])} SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 25")
+def bm25_topk(spark, sf_dir):
+    """RT9/TK4."""
+    return keyword.bm25(table(spark, sf_dir, "documents"), keyword.query_words("then ther")).orderBy(F.desc("score"), "doc_id").limit(25)
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_TOK} AS toks FROM documents), c AS (SELECT doc_id, len(toks) AS dl, len(list_filter(range(1, len(toks)), lambda i: toks[i] = 'of' AND toks[i + 1] = 'the')) AS tf FROM d),
+s AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (WHERE tf > 0) AS df FROM c)
+SELECT doc_id, round((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)), 6) AS score FROM c, s WHERE tf > 0""")
+def bm25_phrase(spark, sf_dir):
+    """RT9: a hyphenated word is a phrase."""
+    return keyword.bm25(table(spark, sf_dir, "documents"), keyword.query_words("of-the"))
+
+
+@query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({_TOK}) AS term FROM documents) GROUP BY term")
+def postings_df(spark, sf_dir):
+    """§2.9.1: document and corpus frequencies of all terms."""
+    return keyword.document_frequency(table(spark, sf_dir, "documents"))
+
+
+@query()
+def bm25_stemmed(spark, sf_dir):
+    """RT9 with Porter stems: rows by stem, over stored postings."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", tx.stemmed(keyword.tokens(F.col("text"))).alias("toks"))
+    each = docs.select("doc_id", F.explode("toks").alias("term"))
+    posted = each.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(tx.stemmed(keyword.tokens(F.col("text"))), 1, 3)).alias("term"))
+    return keyword.bm25_from_postings(posted, docs.select("doc_id", F.size("toks").alias("dl")), queries)
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_TOK} AS toks FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM d) GROUP BY ALL), l AS (SELECT doc_id, len(toks) AS dl FROM d),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+w AS (SELECT DISTINCT item_id AS query_id, unnest(list_slice({_TOK}, 1, 3)) AS term FROM benchmark), need AS (SELECT query_id, count(*) AS need FROM w GROUP BY 1),
+s AS (SELECT query_id, p.doc_id, round(sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score, count(*) AS have FROM p JOIN w USING (term) JOIN df USING (term) JOIN l ON l.doc_id = p.doc_id, st GROUP BY 1, 2)
+SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s JOIN need USING (query_id) WHERE have = need QUALIFY rank <= 10""")
+def bm25_batch(spark, sf_dir):
+    """RT9 for all benchmark items at once: their first three words."""
+    docs = table(spark, sf_dir, "documents")
+    toks = docs.select("doc_id", keyword.tokens(F.col("text")).alias("toks"))
+    posted = toks.select("doc_id", F.explode("toks").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(keyword.tokens(F.col("text")), 1, 3)).alias("term"))
+    return keyword.bm25_from_postings(posted, toks.select("doc_id", F.size("toks").alias("dl")), queries)
+
+
+# ---- fusion and ranking --------------------------------------------------------------------
+
+@query(f"""WITH {_bm25_sql(['then', 'ther'])}, kw AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= 50),
+ve AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY {_DOT} DESC, vec_id) AS rank FROM embeddings QUALIFY rank <= 50),
+l AS (SELECT 0 AS list_no, rank, doc_id FROM ve UNION ALL SELECT 1, rank, doc_id FROM kw),
+f AS (SELECT doc_id, sum(1 / (60.0::DOUBLE + rank)) AS s, min(list_no * 1000 + rank) AS seen FROM l GROUP BY doc_id)
+SELECT doc_id, round(s, 4) AS rrf_score, CAST(row_number() OVER (ORDER BY round(s, 12) DESC, seen, doc_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 10""")
+def hybrid_rrf_search(spark, sf_dir):
+    """RT2 + RT9 + RT5: the flagship."""
+    kw = keyword.bm25(table(spark, sf_dir, "documents"), keyword.query_words("then ther")).orderBy(F.desc("score"), "doc_id").limit(50)
+    ve = vector.search(table(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir), 50).withColumnRenamed("vec_id", "doc_id")
+    lists = ranking.ranked(ve, F.desc("similarity"), "doc_id").select(F.lit(0).alias("list_no"), "rank", "doc_id").unionByName(ranking.ranked(kw, F.desc("score"), "doc_id").select(F.lit(1).alias("list_no"), "rank", "doc_id"))
+    return ranking.reciprocal_rank_fusion(lists).where("rank <= 10")
+
+
+_LISTS = """l AS (SELECT 0 AS list_no, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank, doc_id, 0.5::DOUBLE AS similarity FROM documents QUALIFY rank <= {n}
+UNION ALL SELECT 1, row_number() OVER (ORDER BY doc_id) AS rank, doc_id, 0.7::DOUBLE FROM labels QUALIFY rank <= {n}
+UNION ALL SELECT 2, row_number() OVER (ORDER BY vec_id DESC) AS rank, vec_id, 0.6::DOUBLE FROM embeddings QUALIFY rank <= {n})"""
+_RRF = "SELECT doc_id, round(s, 4) AS rrf_score, CAST(row_number() OVER (ORDER BY round(s, 12) DESC, seen, doc_id) AS INTEGER) AS rank FROM (SELECT doc_id, sum(1 / (60.0::DOUBLE + rank)) AS s, min(list_no * 100000 + rank) AS seen FROM {t} GROUP BY doc_id)"
+
+
+def _three_lists(spark, sf_dir, n):
+    a = ranking.ranked(table(spark, sf_dir, "documents"), F.desc("n_chars"), "doc_id", top=n).select(F.lit(0).alias("list_no"), "rank", "doc_id", F.lit(0.5).alias("similarity"))
+    b = ranking.ranked(table(spark, sf_dir, "labels"), "doc_id", top=n).select(F.lit(1).alias("list_no"), "rank", "doc_id", F.lit(0.7).alias("similarity"))
+    c = ranking.ranked(table(spark, sf_dir, "embeddings"), F.desc("vec_id"), top=n).select(F.lit(2).alias("list_no"), "rank", F.col("vec_id").alias("doc_id"), F.lit(0.6).alias("similarity"))
+    return a.unionByName(b).unionByName(c)
+
+
+@query("WITH " + _LISTS.format(n=100) + " " + _RRF.format(t="l"))
+def rrf_fuse_three_lists(spark, sf_dir):
+    """RT5/AG10/TK5."""
+    return ranking.reciprocal_rank_fusion(_three_lists(spark, sf_dir, 100))
+
+
+@query("WITH " + _LISTS.format(n=390) + ", t AS (SELECT * FROM l WHERE (SELECT count(*) FROM l) <= 1000 OR rank <= 333) " + _RRF.format(t="t"))
+def rrf_truncated(spark, sf_dir):
+    """TK12."""
+    return ranking.reciprocal_rank_fusion(_three_lists(spark, sf_dir, 390))
+
+
+@query("WITH " + _LISTS.format(n=100) + " SELECT doc_id, max(similarity) AS similarity FROM l GROUP BY doc_id")
+def rrf_version_pick(spark, sf_dir):
+    """AG11: the most similar version of each item."""
+    return ranking.reciprocal_rank_fusion(_three_lists(spark, sf_dir, 100), similarity="similarity").select("doc_id", "similarity")
+
+
+@query("SELECT page_id, url FROM (SELECT *, row_number() OVER (PARTITION BY regexp_extract(url, '[^/]*$') ORDER BY page_id) AS nth FROM pages) WHERE nth = 1")
+def file_dedupe(spark, sf_dir):
+    """RT6/WN3."""
+    return ranking.dedupe_by_file(table(spark, sf_dir, "pages"), "url", "page_id").select("page_id", "url")
+
+
+@query("""SELECT p_partkey, p_name, CAST(row_number() OVER (ORDER BY m >= 2 DESC, CASE WHEN m >= 2 THEN m END DESC NULLS LAST, CASE WHEN m >= 2 THEN p_retailprice END DESC NULLS LAST, p_partkey) AS INTEGER) AS rank FROM
+(SELECT *, CASE WHEN s = q THEN 3 WHEN contains(s, q) OR contains(q, s) THEN 2 WHEN list_has_any(string_split(s, ' '), string_split(q, ' ')) THEN 1 ELSE 0 END AS m FROM (SELECT *, lower(regexp_replace(p_name, '[-_]', ' ', 'g')) AS s, 'part 7' AS q FROM part))""")
+def exact_match_promotion(spark, sf_dir):
+    """TK11/RT13."""
+    part = table(spark, sf_dir, "part").withColumn("rank", F.col("p_partkey"))
+    return ranking.promoted(part, F.col("p_name"), "part-7", score="p_retailprice").select("p_partkey", "p_name", "rank")
+
+
+@query("""SELECT doc_id, source FROM (SELECT doc_id, CASE WHEN lang = 'en' THEN 'keyword' WHEN lang = 'fr' THEN 'graph' ELSE 'metadata' END AS source FROM documents)
+WHERE source = 'metadata' OR doc_id IN (SELECT vec_id FROM embeddings)""")
+def vector_confirmation(spark, sf_dir):
+    """FLT10."""
+    kind = F.when(F.col("lang") == "en", "keyword").when(F.col("lang") == "fr", "graph").otherwise("metadata")
+    return ranking.confirmed(table(spark, sf_dir, "documents").select("doc_id", kind.alias("source")), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")))
+
+
+@query("""WITH c AS (SELECT doc_id, lower(CASE WHEN length(text) > 2000 THEN rtrim(left(text, 1000)) || chr(10) || '...' || chr(10) || ltrim(right(text, 1000)) ELSE text END) AS x FROM documents),
+r AS (SELECT doc_id, 1 / (1 + exp(-(4 * ((CASE WHEN contains(x, 'then') THEN 1.0 ELSE 0.0 END + CASE WHEN contains(x, 'ther') THEN 1.0 ELSE 0.0 END)::DOUBLE / 2) - 2))) AS rr FROM c)
+SELECT vec_id AS doc_id, round(0.6 * sim + 0.15 * (1 / (1 + exp(-rr))) + 0.25 * least(30 * (1 / (60.0::DOUBLE + rank)), 1.0), 4) AS score FROM (SELECT vec_id, """ + _DOT + """ AS sim, row_number() OVER (ORDER BY """ + _DOT + """ DESC, vec_id) AS rank FROM embeddings QUALIFY rank <= 50) JOIN r ON r.doc_id = vec_id""")
+def blended_rerank(spark, sf_dir):
+    """RT7/RT8/TK6."""
+    hits = ranking.ranked(vector.search(table(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir), 50), F.desc("similarity"), "vec_id")
+    both = hits.withColumnRenamed("vec_id", "doc_id").join(table(spark, sf_dir, "documents"), "doc_id")
+    return both.select("doc_id", ranking.blended(F.col("similarity"), ranking.lexical_rerank(["then", "ther"], F.col("text")), 1 / (F.lit(60.0) + F.col("rank"))).alias("score"))
+
+
+@query("SELECT vec_id, greatest(0.0, least(1.0, 1 - CAST(label AS DOUBLE) * 7 / 50)) AS score FROM embeddings")
+def rank_normalisation(spark, sf_dir):
+    """RT10."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", keyword.normalised_rank(-F.col("label").cast("double") * 7).alias("score"))
+
+
+@query("""WITH v AS (SELECT item_id, text AS q, regexp_replace(text, '\\b([A-Za-z]+)(\\d+)\\b', '\\1 \\2', 'g') AS a, regexp_replace(text, '\\b([A-Za-z]+)\\s+(\\d+)\\b', '\\1\\2', 'g') AS b FROM benchmark)
+SELECT item_id, CAST(len(list_distinct([q, lower(q), a, lower(a), b, lower(b), replace(q, '-', ''), replace(q, '-', ' ')])) AS INTEGER) AS n FROM v""")
+def query_variants(spark, sf_dir):
+    """RT4."""
+    return table(spark, sf_dir, "benchmark").select("item_id", F.size(tx.query_variants(F.col("text"))).alias("n"))
+
+
+@query()
+def query_variants_full(spark, sf_dir):
+    """RT4b."""
+    return tx.variants_frame(table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+# ---- metadata and usage --------------------------------------------------------------------
+
+def _documents(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("filename"), F.substring("text", 1, 60).alias("title"), F.col("lang").alias("category"), F.col("source").alias("project"), F.col("n_chars").alias("updated_at"))
+
+
+def _tags(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels")
+    return lab.where("quality = 1").select(F.col("doc_id").alias("filename"), F.lit("good").alias("tag")).unionByName(lab.where("toxic = 1").select(F.col("doc_id").alias("filename"), F.lit("toxic").alias("tag")))
+
+
+_TAGS = "tg AS (SELECT doc_id AS filename, 'good' AS tag FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 'toxic' FROM labels WHERE toxic = 1)"
+
+
+@query(f"WITH {_TAGS} SELECT doc_id AS filename, lang AS category, source AS project FROM documents WHERE lang = 'en' AND source = 'src3' AND doc_id IN (SELECT filename FROM tg WHERE tag IN ('good', 'toxic')) ORDER BY n_chars DESC, doc_id LIMIT 50")
+def metadata_filter_query(spark, sf_dir):
+    """FLT1/FLT2/JN1/RT14."""
+    return metadata.filter_documents(_documents(spark, sf_dir), _tags(spark, sf_dir), any_tag=["Good", "toxic"], category="en", project="src3").select("filename", "category", "project")
+
+
+@query("SELECT doc_id AS filename, left(text, 60) AS title FROM documents WHERE contains(lower(left(text, 60)), 'then') OR contains(lower(CAST(doc_id AS VARCHAR)), 'then') OR contains(lower(left(text, 60)), 'ther') ORDER BY n_chars DESC, doc_id LIMIT 40")
+def title_search(spark, sf_dir):
+    """FLT3/FLT4."""
+    d = _documents(spark, sf_dir).withColumn("filename", F.col("filename").cast("string"))
+    return metadata.title_search(d, "of then ther", 40).select(F.col("filename").cast("long").alias("filename"), "title")
+
+
+@query(f"WITH {_TAGS} SELECT doc_id AS filename, lang AS category FROM documents WHERE doc_id IN (SELECT filename FROM tg WHERE tag = 'toxic')")
+def tags_any_semi(spark, sf_dir):
+    """JN1 as a semi join."""
+    return metadata.filter_documents(_documents(spark, sf_dir), _tags(spark, sf_dir), any_tag=["toxic"], limit=None).select("filename", "category")
+
+
+@query(f"WITH {_TAGS} SELECT doc_id AS filename, CAST(count(tag) AS INTEGER) AS n_tags, coalesce(string_agg(tag, ',' ORDER BY tag), '') AS tags FROM documents LEFT JOIN tg ON filename = doc_id GROUP BY doc_id")
+def documents_with_tags(spark, sf_dir):
+    """RT14: documents without tags have none."""
+    d = metadata.with_tags(_documents(spark, sf_dir), _tags(spark, sf_dir))
+    return d.select("filename", F.size("tags").alias("n_tags"), F.array_join("tags", ",").alias("tags"))
+
+
+@query(f"WITH {_TAGS} SELECT tag, count(*) AS n FROM tg GROUP BY tag ORDER BY n DESC, tag LIMIT 10")
+def top_tags(spark, sf_dir):
+    """AG3."""
+    return metadata.top_tags(_tags(spark, sf_dir))
+
+
+@query("SELECT lang AS category, count(*) AS n FROM documents GROUP BY lang")
+def category_counts(spark, sf_dir):
+    """AG2."""
+    return metadata.group_counts(_documents(spark, sf_dir), "category")
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+def status_counts(spark, sf_dir):
+    """AG2."""
+    return metadata.group_counts(table(spark, sf_dir, "orders").withColumnRenamed("o_orderstatus", "status"), "status", drop_null=False)
+
+
+def _usage(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("filename"), F.col("event_type").alias("action"), "ts")
+
+
+def _users(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("filename"), F.col("c_mktsegment").alias("category"))
+
+
+@query(f"SELECT c_custkey AS filename, c_mktsegment AS category FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 3 DAY AND user_id IS NOT NULL)")
+def stale_docs(spark, sf_dir):
+    """JN3/FLT9."""
+    return metadata.stale(_users(spark, sf_dir), _usage(spark, sf_dir), 3, _now())
+
+
+@query("SELECT c_custkey AS filename, c_mktsegment AS category FROM customer WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey)")
+def never_accessed(spark, sf_dir):
+    """JN3."""
+    return metadata.never_accessed(_users(spark, sf_dir), _usage(spark, sf_dir))
+
+
+@query("SELECT user_id AS filename, count(*) AS total, count(*) FILTER (WHERE event_type = 'view') AS view, count(*) FILTER (WHERE event_type = 'click') AS click, max(ts) AS last_ts FROM events JOIN customer ON c_custkey = user_id GROUP BY 1 ORDER BY total DESC, filename LIMIT 10")
+def most_accessed(spark, sf_dir):
+    """JN2/AG4/TK8."""
+    return metadata.most_accessed(_users(spark, sf_dir), _usage(spark, sf_dir), actions=("view", "click"))
+
+
+@query("SELECT event_id, user_id AS filename, event_type AS action, ts FROM events WHERE user_id = 7 ORDER BY ts DESC, event_id DESC LIMIT 20")
+def access_history(spark, sf_dir):
+    """TK9."""
+    return metadata.access_history(_usage(spark, sf_dir), 7)
+
+
+@query(f"SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 10 DAY GROUP BY 1")
+def usage_trends_daily(spark, sf_dir):
+    """AG6."""
+    return metadata.daily_trend(_usage(spark, sf_dir), 10, _now())
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (WHERE event_type = 'view') AS view, count(*) FILTER (WHERE event_type = 'purchase') AS purchase, round(count(*) / 10.0::DOUBLE, 2) AS per_day FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 10 DAY")
+def usage_summary(spark, sf_dir):
+    """AG6."""
+    return metadata.trend_summary(_usage(spark, sf_dir), 10, _now(), ("view", "purchase"))
+
+
+@query("SELECT event_type AS action, count(*) AS n, count(DISTINCT user_id) AS documents FROM events GROUP BY 1")
+def usage_by_action(spark, sf_dir):
+    """AG6."""
+    return _usage(spark, sf_dir).groupBy("action").agg(F.count("*").alias("n"), F.count_distinct("filename").alias("documents"))
+
+
+@query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def usage_by_day_window(spark, sf_dir):
+    """IN6 [ext]: the stream's query, as a batch."""
+    return streams.daily_counts(table(spark, sf_dir, "events"))
+
+
+@query("SELECT DISTINCT source FROM documents ORDER BY source LIMIT 50")
+def list_sources(spark, sf_dir):
+    """AG9."""
+    return table(spark, sf_dir, "documents").select("source").distinct().orderBy("source").limit(50)
+
+
+@query("SELECT source, count(*) AS n, count(DISTINCT lang) AS langs FROM documents GROUP BY source")
+def source_breakdown(spark, sf_dir):
+    """AG8."""
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("lang").alias("langs"))
+
+
+@query("SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, count(*) AS n FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1")
+def json_extract_counts(spark, sf_dir):
+    """FLT8/AG8."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    return table(spark, sf_dir, "events").where(k.isNotNull()).groupBy(k.alias("k")).agg(F.count("*").alias("n"))
+
+
+# ---- graph ---------------------------------------------------------------------------------
+
+def _graph(spark, sf_dir):
+    r, n, c = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    node = lambda df, p, k, kind, title: df.select(F.concat(F.lit(p), k).alias("id"), F.lit(kind).alias("type"), F.col(title).alias("title"))
+    nodes = node(r, "r", "r_regionkey", "topic", "r_name").unionByName(node(n, "n", "n_nationkey", "entity", "n_name")).unionByName(node(c, "c", "c_custkey", "note", "c_name"))
+    edge = lambda df, s, t, kind, w: df.select(F.concat(s, F.lit("-"), t).alias("id"), s.alias("source_id"), t.alias("target_id"), F.lit(kind).alias("type"), w.alias("weight"), F.lit(1.0).alias("confidence"))
+    a = edge(c, F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey"), "mentions", F.least(F.lit(1.0), F.round(F.abs("c_acctbal") / 10000, 4)))
+    b = edge(n, F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"), "part_of", F.lit(0.9))
+    return nodes, a.unionByName(b)
+
+
+_NODES = """nodes AS (SELECT 'r' || r_regionkey AS id, 'topic' AS type, r_name AS title FROM region UNION ALL SELECT 'n' || n_nationkey, 'entity', n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'note', c_name FROM customer),
+edges AS (SELECT 'c' || c_custkey || '-n' || c_nationkey AS id, 'c' || c_custkey AS source_id, 'n' || c_nationkey AS target_id, 'mentions' AS type, least(1.0, round(abs(c_acctbal) / 10000, 4)) AS weight, 1.0::DOUBLE AS confidence FROM customer
+UNION ALL SELECT 'n' || n_nationkey || '-r' || n_regionkey, 'n' || n_nationkey, 'r' || n_regionkey, 'part_of', 0.9::DOUBLE, 1.0::DOUBLE FROM nation),
+both_ AS (SELECT source_id AS u, target_id AS v, id, type, weight FROM edges UNION ALL SELECT target_id, source_id, id, type, weight FROM edges)"""
+
+
+@query(f"WITH {_NODES} SELECT n.id, n.title, count(DISTINCT b.id) AS degree FROM nodes n LEFT JOIN both_ b ON b.u = n.id GROUP BY 1, 2 ORDER BY degree DESC, n.id LIMIT 10")
+def graph_degree_hubs(spark, sf_dir):
+    """GR6/JN4/AG5."""
+    return graph.hub_nodes(*_graph(spark, sf_dir))
+
+
+def _neighbours_sql(d: int) -> str:
+    return f"WITH RECURSIVE {_NODES}, w(node, distance) AS (SELECT 'n3', 0 UNION SELECT v, distance + 1 FROM w JOIN both_ ON u = node WHERE distance < {d}) SELECT 'n3' AS start, node, CAST(min(distance) AS INTEGER) AS distance FROM w GROUP BY node HAVING min(distance) > 0"
+
+
+def _neighbours(depth):
+    def run(spark, sf_dir):
+        nodes, edges = _graph(spark, sf_dir)
+        return graph.neighbours(edges, nodes.where("id = 'n3'").select(F.col("id").alias("start")), depth)
+
+    run.__name__ = f"graph_neighbors_d{depth}"
+    return run
+
+
+for _d in (1, 2, 3):
+    query(_neighbours_sql(_d))(_neighbours(_d))
+
+
+@query(f"""WITH {_NODES} SELECT b.type, count(*) AS n FROM both_ b WHERE b.u = (SELECT id FROM nodes WHERE contains(lower(title), 'nation_3') ORDER BY length(title), id LIMIT 1) GROUP BY 1""")
+def graph_connections_by_type(spark, sf_dir):
+    """GR2/FLT3."""
+    return graph.connections(*_graph(spark, sf_dir), "nation_3", 1).select("type", "n")
+
+
+@query(f"""WITH {_NODES} SELECT n.id, n.title, n.type, max(b.weight) AS weight FROM both_ b JOIN nodes n ON n.id = b.v WHERE b.u = (SELECT id FROM nodes WHERE type = 'topic' AND contains(lower(title), 'a') ORDER BY length(title), id LIMIT 1) GROUP BY 1, 2, 3""")
+def topic_web(spark, sf_dir):
+    """GR5/JN5."""
+    return graph.topic_web(*_graph(spark, sf_dir), "a")
+
+
+@query("""WITH n1 AS (SELECT c_nationkey AS n FROM customer WHERE c_custkey = 1), n2 AS (SELECT c_nationkey AS n FROM customer WHERE c_custkey = 2), r1 AS (SELECT n_regionkey AS r FROM nation, n1 WHERE n_nationkey = n), r2 AS (SELECT n_regionkey AS r FROM nation, n2 WHERE n_nationkey = n)
+SELECT CASE WHEN n1.n = n2.n THEN 'c1>n' || n1.n || '>c2' ELSE 'c1>n' || n1.n || '>r' || r1.r || '>n' || n2.n || '>c2' END AS path, CASE WHEN n1.n = n2.n THEN 2 ELSE 4 END AS distance FROM n1, n2, r1, r2 WHERE n1.n = n2.n OR r1.r = r2.r""")
+def shortest_path(spark, sf_dir):
+    """GR4: customers meet in their nation or their region."""
+    return graph.shortest_path(_graph(spark, sf_dir)[1], "c1", "c2").select(F.array_join("path", ">").alias("path"), "distance")
+
+
+@query(f"WITH {_NODES} SELECT n.id, n.title, b.weight FROM both_ b JOIN nodes n ON n.id = b.v WHERE b.u = 'n3' AND b.type = 'mentions' ORDER BY b.weight DESC, n.id LIMIT 5")
+def similar_nodes(spark, sf_dir):
+    """GR3/TK7."""
+    nodes, edges = _graph(spark, sf_dir)
+    return graph.similar_nodes(nodes, edges.withColumn("type", F.when(F.col("type") == "mentions", "similar_to").otherwise(F.col("type"))), "n3")
+
+
+@query(f"WITH {_NODES} SELECT 'nodes' AS part, type, count(*) AS n FROM nodes GROUP BY type UNION ALL SELECT 'edges', type, count(*) FROM edges GROUP BY type")
+def graph_statistics(spark, sf_dir):
+    """GR11/AG7."""
+    return graph.statistics(*_graph(spark, sf_dir))
+
+
+@query("SELECT 'p' || min(p_partkey) AS id, lower(trim(p_brand)) AS name, count(*) AS merged FROM part GROUP BY 2")
+def merge_duplicate_nodes(spark, sf_dir):
+    """GR8: parts of one brand are one node; each part's edge to the brand follows."""
+    part = table(spark, sf_dir, "part").orderBy("p_partkey")
+    nodes = part.select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.lit("entity").alias("type"), F.col("p_brand").alias("title"), "p_partkey")
+    edges = part.select(F.concat(F.lit("e"), "p_partkey").alias("id"), F.lit("hub").alias("source_id"), F.concat(F.lit("p"), "p_partkey").alias("target_id"), F.lit("uses").alias("type"), F.lit(0.5).alias("weight"))
+    kept, moved = graph.merge_duplicates(nodes, edges, "p_partkey")
+    n = nodes.groupBy(F.lower(F.trim("title")).alias("name")).agg(F.count("*").alias("merged"))
+    return kept.select("id", F.lower(F.trim("title")).alias("name")).join(moved.select(F.col("target_id").alias("id")).distinct(), "id").join(n, "name").select("id", "name", "merged")
+
+
+@query("SELECT 's' || s_suppkey AS id FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50)")
+def orphan_prune(spark, sf_dir):
+    """SNK10."""
+    nodes = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.lit("entity").alias("type"))
+    edges = table(spark, sf_dir, "lineitem").where("l_quantity >= 50").select(F.concat(F.lit("o"), "l_orderkey").alias("source_id"), F.concat(F.lit("s"), "l_suppkey").alias("target_id"))
+    return graph.prune_orphans(nodes, edges).select("id")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def dangling_edges(spark, sf_dir):
+    """JN13/SNK8/SNK9."""
+    o = table(spark, sf_dir, "orders")
+    ids = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"))
+    order = -1 - F.col("o_orderkey")  # below all customers' keys
+    nodes = ids.unionByName(o.select(order.alias("id")))
+    edges = o.select(order.alias("source_id"), F.col("o_custkey").alias("target_id"))
+    return graph.integrity(nodes, edges).select((-1 - F.col("source_id")).alias("o_orderkey"), F.col("target_id").alias("o_custkey"))
+
+
+@query(f"WITH {_NODES} SELECT id, weight FROM edges WHERE weight >= 0.3")
+def weak_edge_filter(spark, sf_dir):
+    """GR9."""
+    return graph.weak_edges_removed(_graph(spark, sf_dir)[1]).select("id", "weight")
+
+
+@query(f"WITH {_NODES}, s AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY weight DESC, id) AS a, row_number() OVER (PARTITION BY target_id ORDER BY weight DESC, id) AS b FROM edges WHERE weight >= 0.3) SELECT id, weight FROM s WHERE a <= 50 AND b <= 50")
+def prune_ranked(spark, sf_dir):
+    """GR9 [ext]: the scalable variant."""
+    return graph.prune_ranked(_graph(spark, sf_dir)[1]).select("id", "weight")
+
+
+@query()
+def prune_greedy_cap(spark, sf_dir):
+    """GR9."""
+    return graph.prune_greedy(_graph(spark, sf_dir)[1]).select("id", "weight")
+
+
+@query()
+def centrality_importance(spark, sf_dir):
+    """GR10/AN6/TK10."""
+    return graph.importance(_graph(spark, sf_dir)[1])
+
+
+# ---- analyzers -----------------------------------------------------------------------------
+
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderdate AS ts FROM orders WHERE o_custkey % 1 = 0 AND o_totalprice > 300000)
+SELECT a.id AS a, b.id AS b, CAST(floor((epoch(b.ts) - epoch(a.ts)) / 86400) AS INTEGER) AS days FROM o a JOIN o b ON (a.ts < b.ts OR (a.ts = b.ts AND a.id < b.id)) AND epoch(b.ts) - epoch(a.ts) < 3 * 86400""".replace("o_custkey % 1 = 0 AND ", ""))
+def temporal_edges(spark, sf_dir):
+    """JN7/JN8/AN3, without caps: large orders at most two days apart."""
+    o = table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("ts"))
+    return analyzers.within_days(o, window=2)
+
+
+@query("""WITH w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word FROM documents),
+k AS (SELECT * FROM w WHERE regexp_full_match(word, '[a-z]{4,}') AND word NOT IN ('been','from','have','that','they','this','were','will','with')),
+c AS (SELECT id, word, count(*) AS n FROM k GROUP BY ALL), t AS (SELECT word, sum(n) AS total FROM c GROUP BY word HAVING sum(n) >= 2 ORDER BY total DESC, word LIMIT 20),
+h AS (SELECT * FROM c JOIN t USING (word) WHERE n >= 2)
+SELECT word, id FROM h WHERE word IN (SELECT word FROM h GROUP BY word HAVING count(*) >= 2)""")
+def topic_frequent_words(spark, sf_dir):
+    """AN4's fallback/AG13."""
+    return analyzers.frequent_words(table(spark, sf_dir, "documents"), key="doc_id", content="text")
+
+
+@query()
+def topic_kmeans(spark, sf_dir):
+    """AN4/AG14."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"))
+    return analyzers.topics(docs)[1].select("source_id", "target_id")
+
+
+def _markdown(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    text = F.concat(F.lit("# "), "lang", F.lit("\n\n## "), "source", F.lit("\n"), "text", F.lit("\n#"), "lang", F.lit(" #"), "source", F.lit(" [["), "source", F.lit("|Home]] [["), "lang", F.lit("]]"))
+    return d.select(F.concat(F.lit("docs/"), "source", F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), text.alias("content"), "doc_id", "lang", "source")
+
+
+@query("SELECT doc_id, lang || ',' || source AS tags FROM documents")
+def hashtag_extract(spark, sf_dir):
+    """CH4/AN1: tags of synthesised Markdown."""
+    return _markdown(spark, sf_dir).select("doc_id", F.array_join(tx.hashtags(F.col("content")), ",").alias("tags"))
+
+
+@query("SELECT doc_id, 'Home,' || lang AS targets, source || ',' || lang AS names FROM documents")
+def wikilink_extract(spark, sf_dir):
+    """CH4/AN1 (Q9): after the bar, and before it."""
+    m = _markdown(spark, sf_dir)
+    return m.select("doc_id", F.array_join(tx.wiki_links(F.col("content")), ",").alias("targets"), F.array_join(tx.loose_wiki_links(F.col("content")), ",").alias("names"))
+
+
+@query("SELECT doc_id, '[Document: ' || lang || ']' || chr(10) || '[Source: docs/' || source || '/d' || doc_id || '.md]' || chr(10) || '[Tags: ' || lang || ', ' || source || ']' || chr(10) || '---' AS header FROM documents")
+def context_header(spark, sf_dir):
+    """CH2."""
+    m = _markdown(spark, sf_dir)
+    return m.select("doc_id", tx.context_header(F.col("path"), F.col("lang"), F.array("lang", "source"), F.lit(None).cast("string"), F.lit(None).cast("string")).alias("header"))
+
+
+@query()
+def entity_extract(spark, sf_dir):
+    """AN2/AG12."""
+    notes = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"))
+    return analyzers.entities(notes)[0].select("id", "title", "entity_type", "frequency")
+
+
+@query()
+def header_chunks(spark, sf_dir):
+    """CH1."""
+    return chunking.chunk_files(_markdown(spark, sf_dir), "headers").select("doc_id", "section", "parent_header", "content_hash")
+
+
+@query()
+def hybrid_chunks(spark, sf_dir):
+    """CH6-CH10."""
+    return chunking.chunk_files(_markdown(spark, sf_dir), "hybrid").select("doc_id", "section", "content_hash", "part_number", "total_parts")
+
+
+@query()
+def sentence_split(spark, sf_dir):
+    """CH5."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(tx.sentences(F.col("text"))).alias("n_sentences"))
+
+
+_ADJ = """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) v FROM embeddings),
+a AS (SELECT vec_id, label, round(list_dot_product(v, lag(v) OVER (PARTITION BY label ORDER BY vec_id)), 6) AS similarity FROM e)"""
+
+
+def _adjacent(spark, sf_dir):
+    w = Window.partitionBy("label").orderBy("vec_id")
+    e = table(spark, sf_dir, "embeddings").withColumn("prev", F.lag("embedding").over(w))
+    return e.select("vec_id", "label", F.round(vector.dot(F.col("embedding"), F.col("prev")), 6).alias("similarity"))
+
+
+@query(f"WITH {_ADJ} SELECT * FROM a WHERE similarity IS NOT NULL")
+def adjacent_similarity(spark, sf_dir):
+    """CH6/WN5."""
+    return _adjacent(spark, sf_dir).where("similarity IS NOT NULL")
+
+
+@query(f"WITH {_ADJ} SELECT label, round(quantile_cont(similarity, 0.25), 6) AS cut, round(avg(similarity), 6) AS mean, round(stddev_pop(similarity), 6) AS sd FROM a GROUP BY label")
+def boundary_percentile(spark, sf_dir):
+    """CH7/AG15."""
+    a = _adjacent(spark, sf_dir)
+    return a.groupBy("label").agg(F.round(F.percentile("similarity", F.lit(0.25)), 6).alias("cut"), F.round(F.avg("similarity"), 6).alias("mean"), F.round(F.stddev_pop("similarity"), 6).alias("sd"))
+
+
+@query(f"WITH {_ADJ} SELECT vec_id, label, CAST(sum(CASE WHEN similarity < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY vec_id) AS BIGINT) AS chunk FROM a")
+def gaps_islands_chunks(spark, sf_dir):
+    """WN8."""
+    w = Window.partitionBy("label").orderBy("vec_id")
+    return _adjacent(spark, sf_dir).select("vec_id", "label", F.sum(F.when(F.col("similarity") < 0, 1).otherwise(0)).over(w).alias("chunk"))
+
+
+@query("SELECT conv_id, turn, role, coalesce(last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn), -1) AS parent, coalesce(lead(turn) OVER (PARTITION BY conv_id ORDER BY turn), -1) AS next FROM conversations")
+def parent_and_next(spark, sf_dir):
+    """WN6/WN7: the running parent of each turn, and where it ends."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce(F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(-1)).alias("parent"), F.coalesce(F.lead("turn").over(w), F.lit(-1)).alias("next"))
+
+
+# ---- maintenance ---------------------------------------------------------------------------
+
+def _known(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    now = d.where("lang <> 'es'").select(F.col("doc_id").alias("path"), tx.content_hash(F.col("text")).alias("hash"))
+    old = d.where("lang <> 'de'").select(F.col("doc_id").alias("path"), tx.content_hash(F.when(F.col("lang") == "fr", F.lower("text")).otherwise(F.col("text"))).alias("content_hash"))
+    return now, old
+
+
+@query("SELECT doc_id AS path, CASE WHEN lang = 'de' THEN 'added' WHEN lang = 'es' THEN 'deleted' WHEN lang = 'fr' AND lower(text) <> text THEN 'modified' ELSE 'unchanged' END AS status FROM documents")
+def change_detection(spark, sf_dir):
+    """JN14/IN1/IN3."""
+    return incremental.changes(*_known(spark, sf_dir))
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'fr' THEN 'new' ELSE 'old' END AS version FROM documents WHERE lang <> 'es' UNION ALL SELECT -doc_id, 'new' FROM documents WHERE lang = 'es'")
+def incremental_upsert(spark, sf_dir):
+    """SNK1/SNK3."""
+    d = table(spark, sf_dir, "documents")
+    new = d.where("lang IN ('fr', 'es')").select(F.when(F.col("lang") == "es", -F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"), F.lit("new").alias("version"))
+    return metadata.upsert(d.where("lang <> 'es'").select("doc_id", F.lit("old").alias("version")), new, "doc_id")
+
+
+@query(f"WITH {_TAGS} SELECT tag, count(*) AS n FROM tg WHERE filename NOT IN (SELECT doc_id FROM documents WHERE source = 'src1') GROUP BY tag")
+def delete_cascade(spark, sf_dir):
+    """SNK2/SNK7/IN2."""
+    docs, tags = _documents(spark, sf_dir), _tags(spark, sf_dir)
+    left = metadata.remove_documents(docs.where("project = 'src1'"), docs, tags)[1]
+    return left.groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, source || '/' || doc_id AS key FROM documents WHERE NOT starts_with(source || '/' || doc_id, 'src1')")
+def prefix_delete(spark, sf_dir):
+    """FLT5/SNK2."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("key"))
+    return metadata.remove_by_prefix(d, "src1", "key")
+
+
+@query("SELECT 'chunks' AS part, count(*) AS n FROM documents UNION ALL SELECT 'vectors', count(*) FROM embeddings UNION ALL SELECT 'usage', count(*) FROM events UNION ALL SELECT 'labels', count(*) FROM labels")
+def health_summary(spark, sf_dir):
+    """AG1/AG16."""
+    return incremental.health(chunks=table(spark, sf_dir, "documents"), vectors=table(spark, sf_dir, "embeddings"), usage=table(spark, sf_dir, "events"), labels=table(spark, sf_dir, "labels"))
+
+
+@query("SELECT doc_id FROM labels UNION SELECT vec_id FROM embeddings")
+def set_union(spark, sf_dir):
+    """§2.8."""
+    return table(spark, sf_dir, "labels").select("doc_id").union(table(spark, sf_dir, "embeddings").select("vec_id")).distinct()
+
+
+@query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def relational_pricing(spark, sf_dir):
+    """[ext] A relational aggregate."""
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+@query()
+def unified_search(spark, sf_dir):
+    """RT3/RT11-RT13/JN15/JN16: the composed search over documents, their embeddings made here."""
+    from corvane.functions.embedding import embed_column
+
+    d = table(spark, sf_dir, "documents")
+    chunks = d.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("content"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file_path"), embed_column(F.col("text")).alias("embedding"))
+    docs = d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"), F.substring("text", 1, 60).alias("title"), F.col("n_chars").alias("updated_at"))
+    return search.unified(search.Stores(chunks, documents=docs), "then ther", threshold=0.0).select("doc_id", "rrf_score", "rank", "source")

@@ -129,8 +129,8 @@ def by_headers(content: str | None, path: str = "") -> list[Chunk]:
 def split_sentences(text: str) -> list[str]:
     """CH5."""
     for a in sorted(ABBREVIATIONS, key=lambda x: (-len(x), x)):
-        text = text.replace(a + ".", a + "")
-    parts = (s.replace("", ".").strip() for s in _BREAK.split(text))
+        text = text.replace(a + ".", a + "\ue000")
+    parts = (s.replace("\ue000", ".").strip() for s in _BREAK.split(text))
     return [s for s in parts if len(s) >= 5]
 
 
