@@ -86,7 +86,7 @@ def thresholds(features: DataFrame, labels: DataFrame, risk: float = RISK, delta
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """``(id, stratum, <features>, broken, keep)`` for each row; ``broken`` names the rules that reject it.
+    """``(id, stratum, <features>, broken, keep)`` for each row; ``broken`` names the rules that reject it, with commas.
 
     Null strata count as the empty name; null and empty texts break no rule; strata without
     labelled documents reject nothing.  Repeated rows are kept.
@@ -100,4 +100,31 @@ def apply_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: f
     if chosen.count() <= MAX_BROADCAST_STRATA:
         chosen = F.broadcast(chosen)
     broken = F.array_compact(F.array(*[F.when(F.col(n) > F.col(f"__{n}"), F.lit(n)) for n in NAMES]))
-    return features.join(chosen, "stratum", "left").select(f"`{id_col}`", "stratum", *NAMES, broken.alias("broken"), (F.size(broken) == 0).alias("keep"))
+    return features.join(chosen, "stratum", "left").select(f"`{id_col}`", "stratum", *NAMES, F.array_join(broken, ",").alias("broken"), (F.size(broken) == 0).alias("keep"))
+
+
+def _oracle() -> str:
+    """The same in DuckDB SQL."""
+    alpha, rules = RISK / len(NAMES), ", ".join(f"('{n}')" for n in NAMES)
+    value = "CASE rule " + " ".join(f"WHEN '{n}' THEN {n}" for n in NAMES) + " END"
+    cut = lambda n: f"(SELECT cutoff FROM chosen c WHERE c.stratum = f.stratum AND c.rule = '{n}')"
+    fails = ", ".join(f"CASE WHEN f.{n} > {cut(n)} THEN '{n}' END" for n in NAMES)
+    return f"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, stratum, t, length(t) AS n, len(string_split_regex(t, '\\s+')) AS w, len(list_distinct(string_split_regex(t, '\\s+'))) AS dw, len(string_split(t, chr(10))) AS l, len(list_distinct(string_split(t, chr(10)))) AS dl FROM t),
+f AS (SELECT doc_id, stratum,
+ CASE WHEN n > 0 THEN length(regexp_replace(t, '[\\p{{L}}\\p{{N}}\\s.,;:?''"()\\-]', '', 'g'))::DOUBLE / n ELSE 0.0 END AS symbols,
+ CASE WHEN n > 0 THEN (n - length(regexp_replace(t, '\\p{{Lu}}', '', 'g')))::DOUBLE / n ELSE 0.0 END AS capitals,
+ CASE WHEN w >= 8 THEN round(1 - ln(dw::DOUBLE) / ln(w::DOUBLE), 9) ELSE 0.0 END AS sameness,
+ (l - dl)::DOUBLE / l AS line_repeats FROM w),
+good AS (SELECT f.* FROM f JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) g ON g.doc_id = f.doc_id),
+b AS (SELECT stratum, rule, least({len(GRID)}, greatest(0, ceil(round({value} * 200, 9)) - 2))::INT AS beyond FROM good, (VALUES {rules}) r(rule)),
+fam AS (SELECT count(DISTINCT stratum) * {len(NAMES)} AS families FROM good),
+k AS (SELECT b.stratum, b.rule, g, count(*) AS n, count(*) FILTER (WHERE beyond > g) AS k FROM b, (SELECT unnest(range({len(GRID)})) AS g) GROUP BY ALL),
+p AS (SELECT stratum, rule, g, CASE WHEN k >= n THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha}::DOUBLE) + (n - i) * ln(1 - {alpha}::DOUBLE))) FROM (SELECT unnest(range(k + 1)) AS i)) END AS p FROM k),
+stop AS (SELECT stratum, rule, coalesce(max(g) FILTER (WHERE p > {DELTA} / families), -1) AS g FROM p, fam GROUP BY stratum, rule),
+chosen AS (SELECT stratum, rule, (g + 3) / 200.0::DOUBLE AS cutoff FROM stop WHERE g < {len(GRID) - 1}),
+x AS (SELECT f.*, list_filter([{fails}], lambda y: y IS NOT NULL) AS broken FROM f)
+SELECT doc_id, stratum, {", ".join(NAMES)}, array_to_string(broken, ',') AS broken, len(broken) = 0 AS keep FROM x"""
+
+
+ORACLE_SQL = _oracle().replace("\\\\", "\\")
