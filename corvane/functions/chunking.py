@@ -284,6 +284,8 @@ def chunk_files(files: DataFrame, chunker: str | Callable[..., list[Chunk]] = "h
             for p, text in zip(b[path], b[content]):
                 for i, c in enumerate(cut(text, p)):
                     rows.append((f"{lead}{p}::chunk_{i}", c.content, c.file_path, c.section, c.parent_header, c.content_hash, json.dumps(c.frontmatter, sort_keys=True), c.part_number, c.total_parts, c.kind))
+            if not rows:
+                continue
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
             yield out.astype({"part_number": "Int32", "total_parts": "Int32"})
 

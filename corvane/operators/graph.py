@@ -216,7 +216,8 @@ def prune_greedy(edges: DataFrame, least: float = 0.3, cap: int = 50) -> DataFra
                 good.append(ok)
                 if ok:
                     n[s], n[t] = n.get(s, 0) + 1, n.get(t, 0) + 1
-            yield b.loc[good, ["id"]]
+            if any(good):
+                yield b.loc[good, ["id"]]
 
     return edges.join(cols.mapInPandas(keep, f"id {edges.schema['id'].dataType.simpleString()}"), "id", "left_semi")
 
@@ -264,7 +265,8 @@ def importance(edges: DataFrame, sources: int = 500, seed: int = 42) -> DataFram
                     for x in order:
                         if x != root and below[x]:
                             total[x] = total.get(x, 0) + below[x]
-                yield pd.DataFrame({"id": list(total), "through": list(total.values())})
+                if total:
+                    yield pd.DataFrame({"id": list(total), "through": list(total.values())})
 
         through = roots.mapInPandas(walk, f"id {kind}, through long").groupBy("id").agg(F.sum("through").alias("through"))
     else:

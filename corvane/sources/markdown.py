@@ -19,7 +19,7 @@ def files(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
     rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*", "/"), "^" + base.replace(".", r"\.") + "/", "")
     out = raw.select(rel.alias("path"), F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").alias("modified"), "length")
-    return out.where(F.length(F.trim("content")) > 0)
+    return out.where(F.rlike("content", F.lit(r"\S")))
 
 
 def one_file(spark: SparkSession, path: str) -> DataFrame:
