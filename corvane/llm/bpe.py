@@ -50,6 +50,7 @@ DEFAULT_VOCABULARY = os.environ.get("CORVANE_VOCABULARY", "/opt/tokenizers/byte_
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Bounds of what a worker keeps; a full memo takes no more, states and pairs are dropped and met again.
 MEMO_ENTRIES = 400_000
+COUNT_ENTRIES = 1_000_000
 MAX_STATES = 100_000
 MAX_PAIRS = 500_000
 NONE = -1
@@ -227,6 +228,50 @@ class Transducer:
         return out
 
 
+def longest_first(v: Vocabulary, data: bytes) -> list[int]:
+    """The encoding by the longest stable token at each place, going back where none is stable.
+
+    The same tokens as the transducer's without building its states; for texts that are only
+    to be counted.  A place that led nowhere isn't tried again, so the work is linear.
+    """
+    children, token, known, n = v.children, v.token, v.known, len(data)
+    out: list[int] = []
+    starts: list[int] = []
+    dead: set[int] = set()
+    at, options = 0, None
+    held: list[list[tuple[int, int]]] = []  # by token taken, the shorter ones not yet tried
+    while at < n:
+        if options is None:
+            options, node = [], 0
+            for end in range(at, n):
+                node = children[node].get(data[end])
+                if node is None:
+                    break
+                if token[node] != NONE:
+                    options.append((token[node], end + 1))
+        before = out[-1] if out else NONE
+        while options:
+            t, end = options.pop()
+            if end in dead:
+                continue
+            if before != NONE:
+                fine = known.get(before << 32 | t)
+                if fine is None:
+                    fine = v.stable(before, t)
+                if not fine:
+                    continue
+            out.append(t)
+            starts.append(at)
+            held.append(options)
+            at, options = end, None
+            break
+        else:
+            dead.add(at)
+            out.pop()
+            at, options = starts.pop(), held.pop()
+    return out
+
+
 def prefix_counts(v: Vocabulary, data: bytes) -> list[int]:
     """Token counts of ``data[:1], data[:2], ...`` by dynamic programming over last tokens."""
     n = len(data)
@@ -358,14 +403,14 @@ class Codec:
         return cls._held[key]
 
     @staticmethod
-    def _each(memo: dict, parts: list[str], work: Callable) -> list:
+    def _each(memo: dict, parts: list[str], work: Callable, most: int = MEMO_ENTRIES) -> list:
         """``work`` of each piece, from the memo where it has it."""
         out = list(map(memo.get, parts))
         if None in out:
             for i, p in enumerate(parts):
                 if out[i] is None:
                     out[i] = got = work(p)
-                    if len(memo) < MEMO_ENTRIES:
+                    if len(memo) < most:
                         memo[p] = got
         return out
 
@@ -382,7 +427,7 @@ class Codec:
 
     def count(self, text: str) -> int:
         """The number of tokens of a whole text."""
-        return sum(self._each(self.n, pieces(text), self._size))
+        return sum(self._each(self.n, pieces(text), lambda p: len(longest_first(self.v, p.encode())), COUNT_ENTRIES))
 
     def _piece_counts(self, piece: str) -> list[int]:
         """Token counts at each character of a piece, as if the text ended there."""
