@@ -21,7 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from corvane.llm.common import checkpointed, pick
 
 #: Labelled rows that word families are taken from, and documents that the classifier is trained on, at most.
-MAX_LABELLED, MAX_TRAINING = 8_000, 8_000
+MAX_LABELLED, MAX_TRAINING = 6_000, 6_000
 FAMILIES = 400
 HASH_BITS = 18
 THRESHOLD = 0.5
@@ -134,16 +134,25 @@ def mine_families(texts: list[str], toxic: np.ndarray, most: int = FAMILIES) ->
     """Word beginnings of 4 to 8 letters that mark toxic texts: in 5 different ones of them at
     least, and in at most a twentieth of the share of clean texts.  Copies of a text count once.
     The shortest beginning stands for those that go on from it."""
-    bad, good = Counter(), Counter()
-    seen: set[frozenset[str]] = set()
-    n_bad = n_good = 0
-    for t, y in zip(texts, toxic):
-        words = frozenset(w for w in _WORD.findall(t.lower()) if w.isalpha())
-        if words in seen:
-            continue
-        seen.add(words)
-        (bad if y else good).update({w[:n] for w in words for n in range(4, 9) if len(w) >= n})
-        n_bad, n_good = n_bad + bool(y), n_good + (not y)
+    bad: Counter[str] = Counter()
+    good: Counter[str] = Counter()
+    n = [0, 0]
+    # Toxic texts first, so that of the clean ones only what might matter is counted.
+    for toxic_now, to in ((True, bad), (False, good)):
+        seen: set[int] = set()
+        for t, y in zip(texts, toxic):
+            if bool(y) != toxic_now:
+                continue
+            words = frozenset(w for w in _WORD.findall(t.lower()) if w.isalpha())
+            if hash(words) in seen:
+                continue
+            seen.add(hash(words))
+            n[toxic_now] += 1
+            starts = {w[:n] for w in words for n in range(4, 9) if len(w) >= n}
+            to.update(starts if toxic_now else starts & bad.keys())
+        if toxic_now:
+            bad = Counter({f: b for f, b in bad.items() if b >= 5})
+    n_good, n_bad = n[0], max(1, n[1])
     found = [(b, f) for f, b in bad.items() if b >= 5 and (good[f] + 0.5) / (n_good + 1) <= 0.05 * b / n_bad]
     kept: list[str] = []
     held: set[str] = set()
@@ -240,18 +249,21 @@ class Linear:
         names = [word] + [f"^{word[:n]}" for n in range(5, 9) if len(word) >= n]
         return [zlib.crc32(x.encode()) & (1 << HASH_BITS) - 1 for x in names]
 
-    def fit(self, docs: list[set[str]], y: np.ndarray, weight: np.ndarray, epochs: int = 6, rate: float = 0.5, ridge: float = 1e-5) -> Linear:
-        """Adagrad on the cross entropy with soft labels."""
+    def fit(self, texts: Iterable[str], y: np.ndarray, weight: np.ndarray, epochs: int = 6, rate: float = 0.5, ridge: float = 1e-5) -> Linear:
+        """Adagrad on the cross entropy with soft labels; of the texts only their features are kept."""
         cache: dict[str, list[int]] = {}
         rows = []
-        for words in docs:
+        for text in texts:
             flat: list[int] = []
+            words = set(_WORD.findall(text.lower()))
             for w in words:
                 got = cache.get(w)
                 if got is None:
-                    got = cache[w] = self.slots(w)
+                    got = self.slots(w)
+                    if len(cache) < 50_000:
+                        cache[w] = got
                 flat += got
-            r, n = np.unique(np.array(flat, np.int64), return_counts=True)
+            r, n = np.unique(np.array(flat, np.int32), return_counts=True)
             rows.append((r, (n / np.sqrt(max(1, len(words)))).astype(np.float32)))
         grown = np.full(len(self.w), 1e-2, np.float32)
         grown_b, order = 1e-2, np.random.RandomState(0)
@@ -299,6 +311,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = texts.join(F.broadcast(marked.orderBy(F.xxhash64(at), at).limit(max_labelled)), id_col).select(at, F.col(f"`{text_col}`").alias("text"), "toxic").toPandas()
     sample = sample.sort_values([id_col, "text"], ignore_index=True)
     families = spark.sparkContext.broadcast(mine_families(list(sample["text"]), sample["toxic"].to_numpy(float) > 0.5))
+    del sample
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = Voters(families.value)
@@ -324,7 +337,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     y = model.posterior(rows["votes"].to_numpy(np.int64))
     weight = np.where(rows["votes"] > 0, weights[True], weights[False])
     weight = weight / max(weight.mean(), 1e-9)
-    return Linear().fit([set(_WORD.findall(t.lower())) for t in rows["text"]], y, weight)
+    return Linear().fit(rows["text"], y, weight)
 
 
 def _sent(docs: DataFrame, linear: Linear):
