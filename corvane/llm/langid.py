@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import pick
@@ -182,17 +182,16 @@ def train(docs: DataFrame, texts_each: int = TEXTS_EACH, id_col: str = "doc_id",
     :data:`MAX_LANGUAGES` first names, are left out.
     """
     lang, text, key = docs[f"`{lang_col}`"], docs[f"`{text_col}`"], docs[f"`{id_col}`"]
-    order = F.struct(F.xxhash64(key).alias("h"), key.alias("k"))
-    # The least hashes by language first, on ids alone; then just their texts.
-    ranked = docs.where(lang.isNotNull() & (F.length(text) > 0)).select(lang.alias("lang"), order.alias("o"))
-    partial = ranked.groupBy("lang", F.pmod(F.col("o.h"), F.lit(64)).alias("part")).agg(F.slice(F.sort_array(F.collect_list("o")), 1, texts_each).alias("os"))
-    chosen = partial.groupBy("lang").agg(F.slice(F.sort_array(F.flatten(F.collect_list("os"))), 1, texts_each).alias("os"))
-    ids = chosen.orderBy("lang").limit(MAX_LANGUAGES).select("lang", F.explode("os").alias("o")).select("lang", F.col("o.k").alias("k"))
-    rows = docs.select(key.alias("k"), text.alias("text"), lang.alias("l")).join(F.broadcast(ids), "k").where("l = lang")
-    # Four windows spread over the whole text, fewer where they would be the same.
+    # Enough of the least hashes by language come from a threshold on the hash, so that just those
+    # rows are ranked; four windows spread over the whole text, fewer where they would be the same.
+    known = docs.where(lang.isNotNull()).groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGUAGES)
     starts = f"array_distinct(transform(sequence(0, 3), i -> cast(floor(i * greatest(0, length(text) - {WINDOW}) / 3) as int) + 1))"
-    rows = rows.select("k", "lang", F.expr(f"transform({starts}, s -> substring(text, s, {WINDOW}))").alias("texts")).toPandas()
-    rows = rows.assign(texts=[list(t) for t in rows["texts"]]).sort_values(["lang", "k"], kind="stable", ignore_index=True)
+    low = F.pmod("h", F.lit(1 << 30)) <= (1 << 30) * (4 * texts_each + 100) / F.col("n")
+    rows = docs.where(F.length(text) > 0).select(key.alias("k"), text.alias("text"), lang.alias("l"), F.xxhash64(key).alias("h"))
+    rows = rows.join(F.broadcast(known), F.col("l") == F.col("lang")).where(low).select("k", "h", "lang", F.expr(f"transform({starts}, s -> substring(text, s, {WINDOW}))").alias("texts"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "k", "texts"))
+    rows = rows.withColumn("nth", nth).where(F.col("nth") <= texts_each).select("lang", "nth", "texts").toPandas()
+    rows = rows.assign(texts=[list(t) for t in rows["texts"]]).sort_values(["lang", "nth"], ignore_index=True)
     counts = rows["lang"].value_counts()
     languages = sorted(counts[counts >= LEAST_TEXTS].index)
     if not languages:
