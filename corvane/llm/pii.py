@@ -40,14 +40,16 @@ _FOREIGN = re.compile("[\xad\u0370-\U0010ffff]")
 _TABLE = str.maketrans(_LOOK)
 
 _DIGITS = {
-    "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
     "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
     "zéro": "0", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 _WORDS = "|".join(sorted(_DIGITS, key=lambda w: (-len(w), w)))
-_SPELLED = re.compile(rf"(?<!\w)(?:{_WORDS})(?:[\s,.\-]{{1,3}}(?:{_WORDS}|\d+)(?!\w))+|(?<!\w)\d+(?:[\s,.\-]{{1,3}}\d+)*(?:[\s,.\-]{{1,3}}(?:{_WORDS})(?!\w))+(?:[\s,.\-]{{1,3}}(?:{_WORDS}|\d+)(?!\w))*", re.I)
-_ONE = re.compile(rf"{_WORDS}|\d+|[\s,.\-]+", re.I)
+_SAID = {"dash": "-", "hyphen": "-", "minus": "-", "dot": ".", "point": "."}
+_SEP = rf"[\s,.\-]{{1,3}}(?:(?:{'|'.join(_SAID)})[\s,.\-]{{1,3}})?"
+_SPELLED = re.compile(rf"(?<!\w)(?:{_WORDS})(?:{_SEP}(?:{_WORDS}|\d+)(?!\w))+|(?<!\w)\d+(?:{_SEP}\d+)*(?:{_SEP}(?:{_WORDS})(?!\w))+(?:{_SEP}(?:{_WORDS}|\d+)(?!\w))*", re.I)
+_ONE = re.compile(rf"{_WORDS}|\d+|[\s,.\-]*(?:{'|'.join(_SAID)})[\s,.\-]*|[\s,.\-]+", re.I)
 
 _TLD = "com|org|net|edu|gov|io|co|info|biz|dev|app|ai|me|eu|de|fr|es|it|uk|us|ch|at|nl|ru|example|test"
 _AT = r"\s{0,3}[\[({<]\s{0,3}(?:at|@|arroba)\s{0,3}[\])}>]\s{0,3}"
@@ -143,7 +145,7 @@ def signs(t: Traced) -> Traced:
 def spelled_digits(t: Traced) -> Traced:
     """Runs of two or more digits, at least one of them a word, as digits.
 
-    White space and commas between them vanish; dots and hyphens stay.
+    White space and commas between them vanish; dots and hyphens stay, also as words.
     """
     lowered = t.text.lower()
     if "-" not in lowered and _DIGIT_HINTS.isdisjoint(lowered.split()):
@@ -158,7 +160,8 @@ def spelled_digits(t: Traced) -> Traced:
             elif x.group()[0].isdigit():
                 put += [(ch, x.start() + i, x.start() + i + 1) for i, ch in enumerate(x.group())]
             else:
-                sign = x.group().strip(" \t\n\r,")[:1]
+                said = x.group().strip(" \t\n\r,.-").lower()
+                sign = _SAID[said] if said else x.group().strip(" \t\n\r,")[:1]
                 if sign:
                     put.append((sign, x.start(), x.end()))
         edits.append((m.start(), m.end(), put))

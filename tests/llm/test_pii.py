@@ -12,6 +12,8 @@ CASES = [
     ("ｊｏｈｎ＠ｅｘａｍｐｌｅ．ｃｏｍ", "EMAIL", "ｊｏｈｎ＠ｅｘａｍｐｌｅ．ｃｏｍ", "john@example.com"),
     ("john@ex​ample.com", "EMAIL", "john@ex​ample.com", "john@example.com"),
     ("call five five five one two three four five six seven please", "NUMBER", "five five five one two three four five six seven", "5551234567"),
+    ("dial five five five dash one two three dash four five six seven ok", "PHONE", "five five five dash one two three dash four five six seven", "555-123-4567"),
+    ("host one nine two dot one six eight dot zero dot one up", "IP", "one nine two dot one six eight dot zero dot one", "192.168.0.1"),
     ("call +1 (524) 555-7373 now", "PHONE", "+1 (524) 555-7373", "+1 (524) 555-7373"),
     ("of 83.229.25.121 and", "IP", "83.229.25.121", "83.229.25.121"),
     ("card 4111 1111 1111 1111 x", "CARD", "4111 1111 1111 1111", "4111 1111 1111 1111"),
