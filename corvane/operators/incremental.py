@@ -46,16 +46,18 @@ def update(files: DataFrame, nodes: DataFrame, edges: DataFrame, known: DataFram
     Rows of changed, deleted and dependent files are dropped, ``build`` makes those of changed
     and dependent files anew, both are joined by id.  The caller commits the frames at once.
     """
-    found = changes(with_hash(files), known)
+    found = graph.checkpointed(changes(with_hash(files), known))
     touched = found.where("status <> 'unchanged'").select("path")
     touched = touched.unionByName(dependents(nodes, edges, found.where("status IN ('deleted', 'modified')").select("path"))).distinct()
+    touched = graph.checkpointed(touched)
     mine = touched.select(F.col("path").alias("source_file"))
     kept_nodes, kept_edges = nodes.join(mine, "source_file", "left_anti").select(*nodes.columns), edges.join(mine, "source_file", "left_anti").select(*edges.columns)
-    new_nodes, new_edges = build(files.join(touched, "path", "left_semi"))
+    new_nodes, new_edges = (graph.checkpointed(x) for x in build(files.join(touched, "path", "left_semi")))
     all_nodes = kept_nodes.join(new_nodes.select("id"), "id", "left_anti").unionByName(new_nodes, allowMissingColumns=True).select(*nodes.columns)
     all_edges = kept_edges.join(new_edges.select("id"), "id", "left_anti").unionByName(new_edges, allowMissingColumns=True).select(*edges.columns)
     for end in ("source_id", "target_id"):
         all_edges = all_edges.join(all_nodes.select(F.col("id").alias(end)), end, "left_semi").select(*edges.columns)
+    all_edges = graph.checkpointed(all_edges)
     return graph.prune_orphans(all_nodes, all_edges), all_edges, found
 
 

@@ -191,3 +191,28 @@ def test_changes(spark):
     now = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, hash string")
     old = spark.createDataFrame([("b", "2"), ("c", "x"), ("d", "4")], "path string, content_hash string")
     assert {r["path"]: r["status"] for r in incremental.changes(now, old).collect()} == {"a": "added", "b": "unchanged", "c": "modified", "d": "deleted"}
+
+
+def test_incremental_update_drops_and_rebuilds(spark):
+    from corvane.plans.indexing import build_graph
+
+    files = spark.createDataFrame(
+        [("a.md", "# A\n[[file_b]] #tag1", dt.datetime(2024, 1, 1)), ("file_b.md", "# B\n#tag2", dt.datetime(2024, 1, 2)), ("c.md", "#tag3", dt.datetime(2024, 1, 3))],
+        "path string, content string, modified timestamp",
+    ).withColumn("content", F.concat("content", F.lit("\n"), "path"))
+    nodes, edges = (spark.createDataFrame(df.collect(), df.schema) for df in build_graph(files))
+    known = incremental.provenance(files, nodes, edges)
+    ids = lambda df: {r["id"] for r in df.collect()}
+    assert {"tag_tag1", "tag_tag2", "tag_tag3"} <= ids(nodes)
+    now = files.where("path <> 'c.md'").withColumn("content", F.when(F.col("path") == "file_b.md", "# B\n#tag9").otherwise(F.col("content")))
+    n, e, found = incremental.update(now, nodes, edges, known, build_graph)
+    assert {r["path"]: r["status"] for r in found.collect()} == {"a.md": "unchanged", "file_b.md": "modified", "c.md": "deleted"}
+    assert {"tag_tag1", "tag_tag9"} <= ids(n) and not {"tag_tag2", "tag_tag3"} & ids(n)
+    assert graph.integrity(n, e).count() == 0 and e.where("type = 'tagged_as'").count() == 2
+    assert incremental.fill_abstracts(nodes.withColumn("l0_abstract", F.lit(None).cast("string")).limit(1), lambda c: F.substring(c, 1, 3)).first()["l0_abstract"]
+
+
+def test_edge_and_node_filters(spark):
+    nodes, edges = make(spark, [("a", "b"), ("b", "c")], {"b": "tag"})
+    assert [graph.edges_of(edges, "b", d).count() for d in ("in", "out", "both")] == [1, 1, 2]
+    assert graph.by_type(nodes.withColumn("created_at", F.lit(1)), "tag").count() == 1
