@@ -50,9 +50,8 @@ DEFAULT_VOCABULARY = os.environ.get("CORVANE_VOCABULARY", "/opt/tokenizers/byte_
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Bounds of what a worker keeps; a full memo takes no more, states and pairs are dropped and met again.
 MEMO_ENTRIES = 400_000
-COUNT_ENTRIES = 1_000_000
 MAX_STATES = 100_000
-MAX_PAIRS = 500_000
+MAX_PAIRS = 300_000
 NONE = -1
 
 
@@ -403,14 +402,14 @@ class Codec:
         return cls._held[key]
 
     @staticmethod
-    def _each(memo: dict, parts: list[str], work: Callable, most: int = MEMO_ENTRIES) -> list:
+    def _each(memo: dict, parts: list[str], work: Callable) -> list:
         """``work`` of each piece, from the memo where it has it."""
         out = list(map(memo.get, parts))
         if None in out:
             for i, p in enumerate(parts):
                 if out[i] is None:
                     out[i] = got = work(p)
-                    if len(memo) < most:
+                    if len(memo) < MEMO_ENTRIES:
                         memo[p] = got
         return out
 
@@ -427,7 +426,7 @@ class Codec:
 
     def count(self, text: str) -> int:
         """The number of tokens of a whole text."""
-        return sum(self._each(self.n, pieces(text), lambda p: len(longest_first(self.v, p.encode())), COUNT_ENTRIES))
+        return sum(self._each(self.n, pieces(text), lambda p: len(longest_first(self.v, p.encode()))))
 
     def _piece_counts(self, piece: str) -> list[int]:
         """Token counts at each character of a piece, as if the text ended there."""
