@@ -36,7 +36,7 @@ MAX_LABELLED, MAX_TRAINING = 6_000, 6_000
 FAMILIES = 400
 HASH_BITS = 18
 THRESHOLD = 0.5
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 150_000
 
 LEXICONS: dict[str, tuple[str, ...]] = {
     "stupidity": ("idiot", "idiots", "moron", "morons", "stupid", "imbecile", "dumb", "dumbass", "fool", "dimwit", "halfwit", "retard", "retarded"),
