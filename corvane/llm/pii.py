@@ -56,20 +56,24 @@ _AT = r"\s{0,3}[\[({<]\s{0,3}(?:at|@|arroba)\s{0,3}[\])}>]\s{0,3}"
 _DOT = r"\s{0,3}[\[({<]\s{0,3}(?:dot|punto|punkt|point|\.)\s{0,3}[\])}>]\s{0,3}"
 _BARE_AT = r"\s{1,3}(?:at|arroba)\s{1,3}|_at_|-at-"
 _BARE_DOT = r"\s{1,3}(?:dot|punto|punkt)\s{1,3}|_dot_|-dot-"
+#: A plain dot between spaces, but not one that ends a sentence.
+_SPACED_DOT = r"\s{0,2}\.(?:\s{1,2}(?!(?-i:[A-Z][a-z])))?"
 _LABEL = r"[a-z0-9](?:[a-z0-9\-]{0,62}[a-z0-9])?"
 #: Words after a plain "at".
 _PLAIN = "the|a|an|this|that|these|those|my|our|your|his|her|its|their|some|any|every|each|no|one|all"
 #: An address in which "at", "dot" or both are spelled; either both are bare words, or one is bracketed.
 _DISGUISED = re.compile(
     rf"(?<![\w.+\-])[^\W_][\w+.\-]{{0,63}}?(?:(?:{_DOT}|{_BARE_DOT})[\w+\-]{{1,63}}){{0,3}}"
-    rf"(?:(?:{_AT}|\s{{0,2}}@\s{{0,2}}){_LABEL}(?:(?:{_DOT}|{_BARE_DOT}|\s{{0,2}}\.\s{{0,2}}){_LABEL}){{0,4}}(?:{_DOT}|{_BARE_DOT}|\s{{0,2}}\.\s{{0,2}})(?:{_TLD})"
+    rf"(?:(?:{_AT}|\s{{0,2}}@\s{{0,2}}){_LABEL}(?:(?:{_DOT}|{_BARE_DOT}|{_SPACED_DOT}){_LABEL}){{0,4}}(?:{_DOT}|{_BARE_DOT}|{_SPACED_DOT})(?:{_TLD})"
     rf"|(?:{_BARE_AT})(?!(?:{_PLAIN})\b){_LABEL}(?:(?:{_DOT}|{_BARE_DOT}|\.){_LABEL}){{0,4}}(?:{_DOT}|{_BARE_DOT})(?:{_TLD}))(?!\w)",
     re.I,
 )
 _SIGNS = re.compile(rf"(?P<at>{_AT}|{_BARE_AT}|\s{{0,2}}@\s{{0,2}})|(?P<dot>{_DOT}|{_BARE_DOT}|\s{{0,2}}\.\s{{0,2}})", re.I)
-#: What a spelled address can't do without, and a run of spelled digits that isn't hyphened.
-_SIGN_HINTS = ("dot", "punto", "punkt", "[at", "(at", "{at", "<at", "[ at", "( at", "[@", "(@", "{@", "<@", "[.", "(.", "{.", "<.", " @", "@ ", "arroba")
-_DIGIT_HINTS = frozenset(w + end for w in _DIGITS for end in ("", ",", "."))
+#: What the patterns above can't do without, searched in lowered text.
+_BRACKETED_AT = re.compile(_AT.removeprefix(r"\s{0,3}"))
+_ANY_BARE_AT = re.compile(_BARE_AT)
+_BRACKETED_DOT = re.compile(_DOT.removeprefix(r"\s{0,3}"))
+_TOKEN = re.compile(r"\w+")
 
 _BYTE = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Kinds in the order in which they take what they match.
@@ -83,10 +87,37 @@ DETECTORS = (
     ("NUMBER", re.compile(r"(?<!\d)(?<!\d[.,])\d(?:[ \-]?\d){9,11}(?!\d)")),
     ("SSN", re.compile(r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])")),
 )
-_HOT = re.compile(r"[@0-9]")
+_HOT = re.compile(r"[@\d]")
+_KEYS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")
 _NAMED = ("token", "secret", "passw", "pwd", "api", "access")
 
 
+def _lowered(text: str) -> str:
+    """Lower case as patterns that ignore case see it: they take these three letters for "s" and "i"."""
+    return (text if text.isascii() else text.replace("ſ", "s").replace("ı", "i").replace("İ", "i")).lower()
+
+
+def may_spell_address(text: str) -> bool:
+    """Whether a text has what any match of ``_DISGUISED`` has."""
+    lowered = _lowered(text)
+    if "@" in lowered or _BRACKETED_AT.search(lowered):
+        return True
+    return bool(any(w in lowered for w in ("dot", "punto", "punkt")) or _BRACKETED_DOT.search(lowered)) and bool(_ANY_BARE_AT.search(lowered))
+
+
+def may_spell_digits(text: str) -> bool:
+    """Whether a text has a digit's word between characters of no word, as any match of ``_SPELLED`` has."""
+    return not _DIGITS.keys().isdisjoint(_TOKEN.findall(_lowered(text)))
+
+
+def may_identify(text: str) -> bool:
+    """Whether a rewritten text has what any match of a detector has."""
+    if _HOT.search(text) or any(k in text for k in _KEYS):
+        return True
+    lowered = _lowered(text)
+    return any(n in lowered for n in _NAMED)
+
+
 class Traced:
     """A text with, for each character, its source span; ``None`` while it is the source itself."""
 
@@ -131,8 +162,7 @@ def homoglyphs(t: Traced) -> Traced:
 
 def signs(t: Traced) -> Traced:
     """Spelled "at" and "dot" as signs, within what is an address then."""
-    lowered = t.text.lower()
-    if not any(h in lowered for h in _SIGN_HINTS):
+    if not may_spell_address(t.text):
         return t
     edits = []
     for m in _DISGUISED.finditer(t.text):
@@ -147,21 +177,20 @@ def spelled_digits(t: Traced) -> Traced:
 
     White space and commas between them vanish; dots and hyphens stay, also as words.
     """
-    lowered = t.text.lower()
-    if "-" not in lowered and _DIGIT_HINTS.isdisjoint(lowered.split()):
+    if not may_spell_digits(t.text):
         return t
     edits = []
     for m in _SPELLED.finditer(t.text):
         put = []
         for x in _ONE.finditer(t.text, m.start(), m.end()):
-            word = _DIGITS.get(x.group().lower())
+            word = _DIGITS.get(_lowered(x.group()))
             if word:
                 put.append((word, x.start(), x.end()))
             elif x.group()[0].isdigit():
                 put += [(ch, x.start() + i, x.start() + i + 1) for i, ch in enumerate(x.group())]
             else:
-                said = x.group().strip(" \t\n\r,.-").lower()
-                sign = _SAID[said] if said else x.group().strip(" \t\n\r,")[:1]
+                said = _lowered(re.sub(r"[\s,.\-]+", "", x.group()))
+                sign = _SAID[said] if said else re.sub(r"[\s,]+", "", x.group())[:1]
                 if sign:
                     put.append((sign, x.start(), x.end()))
         edits.append((m.start(), m.end(), put))
@@ -176,10 +205,8 @@ def find(text: str) -> list[tuple[str, int, int, str]]:
     t = Traced(text)
     for step in CASCADE:
         t = step(t)
-    if not _HOT.search(t.text):
-        lowered = t.text.lower()
-        if not any(n in lowered for n in _NAMED):
-            return []
+    if not may_identify(t.text):
+        return []
     taken: list[tuple[int, int, str, str]] = []
     for kind, pattern in DETECTORS:
         for m in pattern.finditer(t.text):
