@@ -51,7 +51,13 @@ _SEP = rf"[\s,.\-]{{1,3}}(?:(?:{'|'.join(_SAID)})[\s,.\-]{{1,3}})?"
 _SPELLED = re.compile(rf"(?<!\w)(?:{_WORDS})(?:{_SEP}(?:{_WORDS}|\d+)(?!\w))+|(?<!\w)\d+(?:{_SEP}\d+)*(?:{_SEP}(?:{_WORDS})(?!\w))+(?:{_SEP}(?:{_WORDS}|\d+)(?!\w))*", re.I)
 _ONE = re.compile(rf"{_WORDS}|\d+|[\s,.\-]*(?:{'|'.join(_SAID)})[\s,.\-]*|[\s,.\-]+", re.I)
 
-_TLD = "com|org|net|edu|gov|io|co|info|biz|dev|app|ai|me|eu|de|fr|es|it|uk|us|ch|at|nl|ru|example|test"
+#: After a bare "dot" only these: all country codes, and common generic names.  After a sign that can't be prose any ending.
+_TLD = (
+    "com|org|net|edu|gov|mil|int|arpa|info|biz|name|pro|aero|coop|museum|jobs|mobi|travel|tel|cat|asia|post|xxx|dev|app|page|blog|shop|store|online|site|website|tech|cloud|xyz|club|live|news|email|digital|agency|studio|design|global|world|group|berlin|hamburg|bayern|koeln|wien|paris|london|nyc|tokyo|example|test|"
+    "ac|ad|ae|af|ag|ai|al|am|ao|aq|ar|as|at|au|aw|ax|az|ba|bb|bd|be|bf|bg|bh|bi|bj|bm|bn|bo|br|bs|bt|bv|bw|by|bz|ca|cc|cd|cf|cg|ch|ci|ck|cl|cm|cn|co|cr|cu|cv|cw|cx|cy|cz|de|dj|dk|dm|do|dz|ec|ee|eg|er|es|et|eu|fi|fj|fk|fm|fo|fr|ga|gb|gd|ge|gf|gg|gh|gi|gl|gm|gn|gp|gq|gr|gs|gt|gu|gw|gy|hk|hm|hn|hr|ht|hu|id|ie|il|im|in|io|iq|ir|is|it|je|jm|jo|jp|ke|kg|kh|ki|km|kn|kp|kr|kw|ky|kz|la|lb|lc|li|lk|lr|ls|lt|lu|lv|ly|"
+    "ma|mc|md|me|mg|mh|mk|ml|mm|mn|mo|mp|mq|mr|ms|mt|mu|mv|mw|mx|my|mz|na|nc|ne|nf|ng|ni|nl|no|np|nr|nu|nz|om|pa|pe|pf|pg|ph|pk|pl|pm|pn|pr|ps|pt|pw|py|qa|re|ro|rs|ru|rw|sa|sb|sc|sd|se|sg|sh|si|sj|sk|sl|sm|sn|so|sr|ss|st|su|sv|sx|sy|sz|tc|td|tf|tg|th|tj|tk|tl|tm|tn|to|tr|tt|tv|tw|tz|ua|ug|uk|us|uy|uz|va|vc|ve|vg|vi|vn|vu|wf|ws|ye|yt|za|zm|zw"
+)
+_ANY_TLD = "[a-z]{2,24}"
 _AT = r"\s{0,3}[\[({<]\s{0,3}(?:at|@|arroba)\s{0,3}[\])}>]\s{0,3}"
 _DOT = r"\s{0,3}[\[({<]\s{0,3}(?:dot|punto|punkt|point|\.)\s{0,3}[\])}>]\s{0,3}"
 _BARE_AT = r"\s{1,3}(?:at|arroba)\s{1,3}|_at_|-at-"
@@ -64,8 +70,9 @@ _PLAIN = "the|a|an|this|that|these|those|my|our|your|his|her|its|their|some|any|
 #: An address in which "at", "dot" or both are spelled; either both are bare words, or one is bracketed.
 _DISGUISED = re.compile(
     rf"(?<![\w.+\-])[^\W_][\w+.\-]{{0,63}}?(?:(?:{_DOT}|{_BARE_DOT})[\w+\-]{{1,63}}){{0,3}}"
-    rf"(?:(?:{_AT}|\s{{0,2}}@\s{{0,2}}){_LABEL}(?:(?:{_DOT}|{_BARE_DOT}|{_SPACED_DOT}){_LABEL}){{0,4}}(?:{_DOT}|{_BARE_DOT}|{_SPACED_DOT})(?:{_TLD})"
-    rf"|(?:{_BARE_AT})(?!(?:{_PLAIN})\b){_LABEL}(?:(?:{_DOT}|{_BARE_DOT}|\.){_LABEL}){{0,4}}(?:{_DOT}|{_BARE_DOT})(?:{_TLD}))(?!\w)",
+    rf"(?:{_AT}{_LABEL}(?:(?:{_DOT}|{_BARE_DOT}|{_SPACED_DOT}){_LABEL}){{0,4}}(?:(?:{_DOT}|\.){_ANY_TLD}|(?:{_BARE_DOT}|{_SPACED_DOT})(?:{_TLD}))"
+    rf"|\s{{0,2}}@\s{{0,2}}{_LABEL}(?:(?:{_DOT}|{_BARE_DOT}|{_SPACED_DOT}){_LABEL}){{0,4}}(?:{_DOT}{_ANY_TLD}|(?:{_BARE_DOT}|{_SPACED_DOT})(?:{_TLD}))"
+    rf"|(?:{_BARE_AT})(?!(?:{_PLAIN})\b){_LABEL}(?:(?:{_DOT}|{_BARE_DOT}|\.){_LABEL}){{0,4}}(?:{_DOT}{_ANY_TLD}|(?:{_BARE_DOT})(?:{_TLD})))(?!\w)",
     re.I,
 )
 _SIGNS = re.compile(rf"(?P<at>{_AT}|{_BARE_AT}|\s{{0,2}}@\s{{0,2}})|(?P<dot>{_DOT}|{_BARE_DOT}|\s{{0,2}}\.\s{{0,2}})", re.I)
@@ -79,7 +86,7 @@ _BYTE = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Kinds in the order in which they take what they match.
 DETECTORS = (
     ("EMAIL", re.compile(r"(?<![\w.+\-])[^\W_][\w.+\-]{0,63}+@[A-Za-z0-9][A-Za-z0-9\-]{0,62}(?:\.[A-Za-z0-9\-]{1,63})*\.[A-Za-z]{2,24}(?![A-Za-z0-9])")),
-    ("SECRET", re.compile(r"(?i:(?<![A-Za-z])(?:api[_\-]?key|access[_\-]?key|token|secret|password|passwd|pwd)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?P<it>[^\s\"']{6,200})|(?<![A-Za-z0-9])(?P<hex>(?=[a-fA-F]{0,40}\d)[A-Fa-f0-9]{32,128}|(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9\-]{20,80}))(?![A-Za-z0-9])")),
+    ("SECRET", re.compile(r"(?i:(?<![A-Za-z])(?:api[_\-]?key|access[_\-]?key|token|secret|password|passwd|pwd)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?P<it>[^\s\"']{6,})|(?<![A-Za-z0-9])(?P<hex>(?=[a-fA-F]{0,40}\d)[A-Fa-f0-9]{32,}|(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9\-]{20,}))(?![A-Za-z0-9])")),
     ("IP", re.compile(rf"(?<![\w.]){_BYTE}(?:\.{_BYTE}){{3}}(?![\d])(?!\.\d)")),
     ("IBAN", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("CARD", re.compile(r"(?<!\d)(?<!\d[.,])\d(?:[ \-]?\d){12,18}(?!\d)")),
