@@ -6,6 +6,8 @@ its share of good documents.  Priors come from the data: the spread between grou
 their sizes explain (method of moments) sets how strongly a group is shrunk, hosts to the
 global mean, paths to their host's posterior mean.  A document's odds are its own times the
 path's posterior odds over the global odds, as in Bayes' rule with the path as prior.
+``documents`` has neither: by default ``source`` stands for the host and ``lang`` for the path, so
+a source's documents are shrunk by language and there is no evidence of a path.
 """
 
 from __future__ import annotations
