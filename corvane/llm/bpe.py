@@ -5,13 +5,13 @@ neighbours is *stable*: encoding the two tokens' bytes together gives the two to
 (Berglund and van der Merwe, "Formalizing BPE Tokenization", 2023).  That makes encoding a
 finite-state relation: read bytes along the trie of tokens, and at a token's end go on to the
 trie's root if the token is stable after the one before.  :class:`Transducer` determinises
-this machine lazily by the subset construction for transducers.  A state holds all live trie
-positions, each with the tokens it still owes; what all of them owe is emitted at once, so a
-token comes out after a lookahead of fewer bytes than the longest token has.
+this machine lazily by the subset construction.  A state holds all live trie positions, each
+with the token before it; a transition puts out the last token of the prefix read so far.
+From these, tokens are settled as soon as all live positions agree on them
+(:meth:`Transducer.stream`), or all at once at the end of a piece.
 
-Counting.  :func:`prefix_counts` finds the last token of each prefix from the shorter ones
-(the longest vocabulary suffix that is stable after the last token of the rest), so the count
-at a prefix is one more than at the prefix before that token.
+Counting.  The last token of each prefix is what the transducer puts out, so the count at a
+prefix is one more than at the prefix before that token (:meth:`Transducer.counts`).
 
 Pieces.  Text is first cut by the tokenizer's pattern; encodings and counts are memoised by
 piece in each Python worker, up to a fixed number of entries.
@@ -20,6 +20,7 @@ piece in each Python worker, up to a fixed number of entries.
 from __future__ import annotations
 
 import base64
+import contextlib
 import functools
 import gc
 import os
@@ -52,6 +53,10 @@ MAX_VOCABULARY_BYTES = 64 << 20
 MEMO_ENTRIES = 400_000
 MAX_STATES = 100_000
 MAX_PAIRS = 300_000
+#: Pieces of more bytes are encoded as a stream, so that not all of their prefixes are held at once.
+LONG_PIECE = 1 << 16
+#: A stream looks for settled tokens after so many bytes each time.
+STREAM_STEP = 64
 NONE = -1
 
 
@@ -85,7 +90,10 @@ class Vocabulary:
         self.known: dict[int, bool] = {}
         self.children: list[dict[int, int]] = [{}]
         self.token: list[int] = [NONE]
+        self.depth: list[int] = [0]
+        self.size = [0] * (max(self.bytes) + 1)
         for t, r in self.rank.items():
+            self.size[r] = len(t)
             if len(t) > 1 and self.merge(t) != [r]:
                 continue  # no text encodes to it
             at = 0
@@ -95,6 +103,7 @@ class Vocabulary:
                     nxt = self.children[at][b] = len(self.children)
                     self.children.append({})
                     self.token.append(NONE)
+                    self.depth.append(self.depth[at] + 1)
                 at = nxt
             self.token[at] = r
 
@@ -154,78 +163,123 @@ class Vocabulary:
 class Transducer:
     """The lazily determinised transducer of a vocabulary; see the module's text.
 
-    A state is ``(transitions, last token emitted, live configurations, tokens owed at the
-    end of input)``; a configuration is ``(tokens owed, trie node)``, oldest start first.
+    A state is a dictionary from bytes to transitions ``(next state, last token)``, and under
+    :data:`NONE` its live positions: trie node and token before, longest first, the last of them
+    the root with the last token itself.
     """
 
     def __init__(self, vocabulary: Vocabulary, max_states: int = MAX_STATES):
         self.v, self.max_states = vocabulary, max_states
-        self.states: dict[tuple, tuple] = {}
-        self.reset()
+        self.states: dict[tuple[int, ...], dict] = {}
+        self.start: dict = {NONE: (0, NONE)}
 
     def reset(self) -> None:
         """Forget all states; they are built again as they are met."""
-        for s in self.states.values():
-            s[0].clear()  # transitions are the only cycles
+        for s in (*self.states.values(), self.start):
+            s.clear()  # transitions are the only cycles
         self.states.clear()
-        self.start = self._state(NONE, (((), 0),), ())
-
-    def _state(self, last: int, live: tuple, final: tuple) -> tuple:
-        key = (last, live)
-        s = self.states.get(key)
-        if s is None:
-            s = self.states[key] = ({}, last, live, final)
-        return s
-
-    def step(self, s: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
-        """Build the transition by a byte: the next state and the tokens emitted."""
-        to, last, configs, _ = s
-        children, token, known, live, whole = self.v.children, self.v.token, self.v.known, [], None
-        for owed, node in configs:
+        self.start = {NONE: (0, NONE)}
+
+    def step(self, s: dict, byte: int) -> tuple[dict, int]:
+        """Build the transition by a byte.
+
+        Of the tokens that end here the longest that is stable after the one before it is the
+        encoding's; there is always one, since every prefix has one encoding.
+        """
+        v = self.v
+        children, token, known = v.children, v.token, v.known
+        live, last = [], NONE
+        each = iter(s[NONE])
+        for node, before in zip(each, each):
             nxt = children[node].get(byte)
             if nxt is None:
                 continue
-            if children[nxt]:
-                live.append((owed, nxt))
-            if whole is None:
+            if last == NONE:
                 t = token[nxt]
                 if t != NONE:
-                    before = owed[-1] if owed else last
-                    if before == NONE:
-                        whole = (*owed, t)
-                    else:
-                        fine = known.get(before << 32 | t)
-                        if fine or (fine is None and self.v.stable(before, t)):
-                            whole = (*owed, t)
-        live.append((whole, 0))  # every prefix has one encoding, so there is always a whole one
-        n = 0
-        if live[0][0]:
-            for column in zip(*[owed for owed, _ in live]):
-                if any([t != column[0] for t in column]):
-                    break
-                n += 1
-        if n:
-            out, last = whole[:n], whole[n - 1]
-            nxt = self._state(last, tuple([(owed[n:], node) for owed, node in live]), whole[n:])
-        else:
-            out, nxt = (), self._state(last, tuple(live), whole)
-        to[byte] = got = (nxt, out)
+                    fine = before == NONE or known.get(before << 32 | t)
+                    if fine or (fine is None and v.stable(before, t)):
+                        last = t
+            if children[nxt]:
+                live += (nxt, before)
+        live += (0, last)
+        key = tuple(live)
+        to = self.states.get(key)
+        if to is None:
+            to = self.states[key] = {NONE: key}
+        got = s[byte] = (to, last)
         return got
 
-    def encode(self, data: bytes) -> list[int]:
+    def lasts(self, data: bytes) -> list[int]:
+        """The last token of each prefix."""
         if len(self.states) > self.max_states:
             self.reset()
         s, out = self.start, []
         for byte in data:
-            got = s[0].get(byte)
+            got = s.get(byte)
             if got is None:
                 got = self.step(s, byte)
-            s, emitted = got
-            if emitted:
-                out += emitted
-        out += s[3]
+            s, t = got
+            out.append(t)
         return out
 
+    def encode(self, data: bytes) -> list[int]:
+        if len(data) > LONG_PIECE:
+            return list(self.stream(data))
+        last, size, at, out = self.lasts(data), self.v.size, len(data), []
+        while at:
+            t = last[at - 1]
+            out.append(t)
+            at -= size[t]
+        out.reverse()
+        return out
+
+    def counts(self, data: bytes) -> list[int]:
+        """The number of tokens of each prefix."""
+        size, out = self.v.size, [0]
+        for at, t in enumerate(self.lasts(data), 1):
+            out.append(out[at - size[t]] + 1)
+        return out[1:]
+
+    def stream(self, data: Iterable[int], every: int = STREAM_STEP) -> Iterator[int]:
+        """Tokens as soon as they are settled, looked for after every so many bytes.
+
+        A token is settled once it is in the encoding of every prefix that a live position
+        starts from, whatever follows.  How many bytes that takes is bounded by the vocabulary
+        alone (Berglund and van der Merwe); only the bytes since the last settled token are held.
+        """
+        size, depth = self.v.size, self.v.depth
+        s, last = self.start, []
+        for n, byte in enumerate(data, 1):
+            got = s.get(byte)
+            if got is None:
+                got = self.step(s, byte)
+            s, t = got
+            last.append(t)
+            if n % every:
+                continue
+            starts = {len(last) - depth[node] for node in s[NONE][::2]}
+            while len(starts) > 1:  # of two prefixes the longer one's encoding goes back until both meet
+                at = max(starts)
+                starts.discard(at)
+                starts.add(at - size[last[at - 1]])
+            settled = starts.pop()
+            if settled > 0:
+                yield from self._back(last, settled)
+                del last[:settled]
+            if len(self.states) > self.max_states:
+                live = s[NONE]
+                self.reset()
+                s = self.states[live] = {NONE: live}
+        yield from self._back(last, len(last))
+
+    def _back(self, last: list[int], at: int) -> list[int]:
+        out = []
+        while at > 0:
+            out.append(last[at - 1])
+            at -= self.v.size[out[-1]]
+        return out[::-1]
+
 
 def longest_first(v: Vocabulary, data: bytes) -> list[int]:
     """The encoding by the longest stable token at each place, going back where none is stable.
@@ -271,23 +325,6 @@ def longest_first(v: Vocabulary, data: bytes) -> list[int]:
     return out
 
 
-def prefix_counts(v: Vocabulary, data: bytes) -> list[int]:
-    """Token counts of ``data[:1], data[:2], ...`` by dynamic programming over last tokens."""
-    n = len(data)
-    last, count = [NONE] * (n + 1), [0] * (n + 1)
-    children, token, stable = v.children, v.token, v.stable
-    for start in range(n):
-        before, c, node = last[start], count[start] + 1, 0
-        for end in range(start + 1, n + 1):
-            node = children[node].get(data[end - 1])
-            if node is None:
-                break
-            # An earlier start is a longer token; the first stable one is the encoding's.
-            if token[node] != NONE and last[end] == NONE and (before == NONE or stable(before, token[node])):
-                last[end], count[end] = token[node], c
-    return count[1:]
-
-
 class Decoder:
     """Streaming decoder: tokens in, text out as soon as its characters are whole.
 
@@ -378,6 +415,34 @@ def pack(n: int) -> Callable[..., bytes]:
     return struct.Struct(f"<{n}i").pack
 
 
+class Memo(dict):
+    """Results by piece; a full memo takes no more, and what it lacks is worked out each time."""
+
+    def __init__(self, work: Callable):
+        super().__init__()
+        self.work = work
+
+    def __missing__(self, piece: str):
+        got = self.work(piece)
+        if len(self) < MEMO_ENTRIES:
+            self[piece] = got
+        return got
+
+
+@contextlib.contextmanager
+def no_cycle_search() -> Iterator[None]:
+    """Off while texts are encoded: no cycles arise there, and searching millions of small objects
+    for some costs more than the work.  What is held by then isn't searched later either."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.freeze()
+        if was:
+            gc.enable()
+
+
 class Codec:
     """What a Python worker keeps: vocabulary, transducer, decoder and memos by piece."""
 
@@ -386,9 +451,8 @@ class Codec:
     def __init__(self, data: bytes):
         self.v = Vocabulary(data)
         self.transducer, self.decoder = Transducer(self.v), Decoder(self.v)
-        self.ids: dict[str, bytes] = {}
-        self.n: dict[str, int] = {}
-        self.deltas: dict[str, bytes] = {}
+        self.ids, self.deltas = Memo(self._packed), Memo(self.piece_deltas)
+        self.n = Memo(lambda p: len(longest_first(self.v, p.encode())))
 
     @classmethod
     def of(cls, data: bytes) -> Codec:
@@ -396,42 +460,27 @@ class Codec:
         if key not in cls._held:
             cls._held.clear()
             cls._held[key] = cls(data)
-            gc.collect()
-            gc.freeze()
-            gc.disable()  # no cycles arise here, and searching millions of small objects for some costs more than the work
         return cls._held[key]
 
-    @staticmethod
-    def _each(memo: dict, parts: list[str], work: Callable) -> list:
-        """``work`` of each piece, from the memo where it has it."""
-        out = list(map(memo.get, parts))
-        if None in out:
-            for i, p in enumerate(parts):
-                if out[i] is None:
-                    out[i] = got = work(p)
-                    if len(memo) < MEMO_ENTRIES:
-                        memo[p] = got
-        return out
-
     def _packed(self, piece: str) -> bytes:
         tokens = self.transducer.encode(piece.encode())
-        return pack(len(tokens))(*tokens)
+        return pack(len(tokens))(*tokens) if len(tokens) < 64 else np.array(tokens, "<i4").tobytes()
 
     def _size(self, piece: str) -> int:
         return len(self.transducer.encode(piece.encode()))
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids (int32) of a whole text."""
-        return np.frombuffer(b"".join(self._each(self.ids, pieces(text), self._packed)), "<i4")
+        return np.frombuffer(b"".join(map(self.ids.__getitem__, pieces(text))), "<i4")
 
     def count(self, text: str) -> int:
         """The number of tokens of a whole text."""
-        return sum(self._each(self.n, pieces(text), lambda p: len(longest_first(self.v, p.encode()))))
+        return sum(map(self.n.__getitem__, pieces(text)))
 
     def _piece_counts(self, piece: str) -> list[int]:
         """Token counts at each character of a piece, as if the text ended there."""
         data = piece.encode()
-        at = prefix_counts(self.v, data)
+        at = self.transducer.counts(data)
         if len(data) != len(piece):
             at = [at[e - 1] for e in np.cumsum([len(ch.encode()) for ch in piece]).tolist()]
         if piece in ("'re", "'ve", "'ll"):
@@ -441,19 +490,17 @@ class Codec:
     @staticmethod
     def _steps(at: list[int]) -> bytes:
         steps = [b - a for a, b in zip([0, *at], at)]
-        if steps and (min(steps) < -127 or max(steps) > 127):
-            raise OverflowError("a count changes by more than 127 at one character")
-        return struct.pack(f"{len(steps)}b", *steps)
+        return struct.pack(f"<{len(steps)}h", *steps)
 
     def piece_deltas(self, piece: str) -> bytes:
-        """For each character of a piece, by how much the count grows there, as int8."""
+        """For each character of a piece, by how much the count grows there, as int16 (a token would need 32,768 bytes to move it further)."""
         return self._steps(self._piece_counts(piece))
 
     def prefix_deltas(self, text: str) -> np.ndarray:
-        """int8 for each character; the running sum is the token count of ``text[:k + 1]``."""
+        """int16 for each character; the running sum is the token count of ``text[:k + 1]``."""
         if _SPACES.search(text):
             return self._spaced_deltas(pieces(text))
-        return np.frombuffer(b"".join(self._each(self.deltas, pieces(text), self.piece_deltas)), np.int8)
+        return np.frombuffer(b"".join(map(self.deltas.__getitem__, pieces(text))), "<i2")
 
     def _spaced_deltas(self, parts: list[str]) -> np.ndarray:
         """The same where white space follows white space: a prefix that ends within the run
@@ -474,10 +521,10 @@ class Codec:
             else:
                 got, late = self.piece_deltas(p), 0
             if owed:
-                got = struct.pack("b", struct.unpack("b", got[:1])[0] + owed) + got[1:]
+                got = struct.pack("<h", struct.unpack("<h", got[:2])[0] + owed) + got[2:]
             out.append(got)
             owed = late
-        return np.frombuffer(b"".join(out), np.int8)
+        return np.frombuffer(b"".join(out), "<i2")
 
     def _run_deltas(self, run: str, last: str) -> bytes:
         """Deltas over a run of white space and the piece that takes its last character along.
@@ -495,7 +542,7 @@ class Codec:
 
 def unpack_counts(deltas: bytes | None) -> np.ndarray | None:
     """Token counts of all prefixes from a stored ``prefix_deltas`` value."""
-    return None if deltas is None else np.cumsum(np.frombuffer(deltas, np.int8), dtype=np.int64)
+    return None if deltas is None else np.cumsum(np.frombuffer(deltas, "<i2"), dtype=np.int64)
 
 
 def fits(counts: np.ndarray, budget: int) -> int:
@@ -525,10 +572,11 @@ def encode_documents(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_c
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 ids, same = [], []
-                for text in part.column(1):
-                    text = text.as_py()
-                    ids.append(None if text is None else codec.encode(text))
-                    same.append(None if text is None else codec.decoder.decode(ids[-1].tolist()) == text)
+                with no_cycle_search():
+                    for text in part.column(1):
+                        text = text.as_py()
+                        ids.append(None if text is None else codec.encode(text))
+                        same.append(None if text is None else codec.decoder.decode(ids[-1].tolist()) == text)
                 n = [None if x is None else len(x) for x in ids]
                 ends = np.cumsum([0, *(x or 0 for x in n)], dtype=np.int32)
                 flat = np.concatenate([x for x in ids if x is not None] or [np.empty(0, "<i4")])
@@ -562,7 +610,7 @@ def decode_tokens(df: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col: s
 def token_counts(docs: DataFrame, budgets: tuple[int, ...] = (512, 2048, 8192), vocabulary: str = DEFAULT_VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Operator 2: ``(id, n_tokens, prefix_deltas, keep_<budget>...)`` for each row of ``docs``.
 
-    ``prefix_deltas`` has a signed byte for each character; its running sum (see
+    ``prefix_deltas`` has a signed 16-bit number (little-endian) for each character; its running sum (see
     :func:`unpack_counts`) is the exact token count of every prefix, as encoding that prefix
     alone gives it.  ``keep_<budget>`` is the number of leading characters of the longest
     prefix that has at most so many tokens.  A null text has nulls; an empty text 0 and an
@@ -577,18 +625,19 @@ def token_counts(docs: DataFrame, budgets: tuple[int, ...] = (512, 2048, 8192),
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 rows: list[list] = [[] for _ in names[1:]]
-                for text in part.column(1):
-                    text = text.as_py()
-                    if text is None:
-                        for r in rows:
-                            r.append(None)
-                        continue
-                    deltas = codec.prefix_deltas(text)
-                    counts = np.cumsum(deltas, dtype=np.int32)
-                    rows[0].append(int(counts[-1]) if len(counts) else 0)
-                    rows[1].append(deltas.tobytes())
-                    for r, b in zip(rows[2:], budgets):
-                        r.append(fits(counts, b))
+                with no_cycle_search():
+                    for text in part.column(1):
+                        text = text.as_py()
+                        if text is None:
+                            for r in rows:
+                                r.append(None)
+                            continue
+                        deltas = codec.prefix_deltas(text)
+                        counts = np.cumsum(deltas, dtype=np.int32)
+                        rows[0].append(int(counts[-1]) if len(counts) else 0)
+                        rows[1].append(deltas.tobytes())
+                        for r, b in zip(rows[2:], budgets):
+                            r.append(fits(counts, b))
                 kinds = [pa.int32(), pa.binary(), *(pa.int32() for _ in budgets)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(r, k) for r, k in zip(rows, kinds))], names=names)
 
@@ -604,6 +653,7 @@ def count_column(df: DataFrame, text: str = "text", vocabulary: str = DEFAULT_VO
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:
         codec = Codec.of(held.value)
-        return pd.Series([None if t is None else codec.count(t) for t in texts], dtype="Int32")
+        with no_cycle_search():
+            return pd.Series([None if t is None else codec.count(t) for t in texts], dtype="Int32")
 
     return count(df[f"`{text}`"])

@@ -54,12 +54,44 @@ def test_transducer_forgets_and_finds_again(codec):
 
 
 def test_lookahead_is_bounded(codec):
-    longest = max(map(len, codec.v.rank))
-    s, owed = codec.transducer.start, 0
-    for b in b"the quick brown fox jumps over the lazy dog" * 3:
-        s, out = codec.transducer.step(s, b)
-        owed += 1 - sum(len(codec.v.bytes[t]) for t in out)
-        assert owed <= 2 * longest
+    """Tokens come out of a stream while it is read, at most two longest tokens behind, whatever the bytes."""
+    rnd, longest = random.Random(7), max(map(len, codec.v.rank))
+    for letters in (b"abcdefghijklmnopqrstuvwxyz      ", b" ", b"ab", bytes(range(256)), "日本語 один два".encode()):
+        data = bytes(rnd.choice(letters) for _ in range(3000))
+        read, owed, out = 0, 0, []
+
+        def watched():
+            nonlocal read, owed
+            for b in data:
+                owed = max(owed, read - sum(codec.v.size[t] for t in out))
+                read += 1
+                yield b
+
+        for t in codec.transducer.stream(watched(), every=1):
+            out.append(t)
+        assert out == bpe.longest_first(codec.v, data) and owed <= 2 * longest
+
+
+def test_long_pieces_are_streamed_with_the_same_tokens(codec, reference, monkeypatch):
+    monkeypatch.setattr(bpe, "LONG_PIECE", 20)
+    rnd = random.Random(8)
+    for n in (21, 200, 3000):
+        text = "".join(rnd.choice("abcdeinst") for _ in range(n))
+        assert codec.transducer.encode(text.encode()) == reference.encode_ordinary(text)
+    small = bpe.Transducer(codec.v, max_states=5)
+    assert small.encode(b"antidisestablishmentarianism" * 9) == codec.v.merge(b"antidisestablishmentarianism" * 9)
+
+
+def test_memos_take_no_more_than_they_may(codec, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_ENTRIES", 2)
+    memo = bpe.Memo(len)
+    assert [memo[p] for p in ("a", "bb", "ccc", "ccc")] == [1, 2, 3, 3] and len(memo) == 2
+
+
+def test_white_space_of_any_length_moves_counts_without_overflow(codec, reference):
+    for text in (" " * 400 + "x", "\n" * 300 + " y", "-" * 300, "\t \n" * 150):
+        want = [len(reference.encode_ordinary(text[: i + 1])) for i in range(len(text))]
+        assert bpe.unpack_counts(codec.prefix_deltas(text).tobytes()).tolist() == want
 
 
 def test_prefix_counts_are_what_encoding_each_prefix_gives(codec, reference):
