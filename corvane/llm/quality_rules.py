@@ -9,6 +9,9 @@ correction is needed; over strata and rules the level is divided (Bonferroni).
 shared by the rules, so that all of them together reject at most ``risk`` of a stratum's good
 documents, with probability 1 - ``delta`` for all strata at once.  Where labelled documents are
 too few to show this, the rule rejects nothing.
+
+The bound needs independent trials, and copies aren't: however often a text occurs in a stratum,
+under one id or many, it is one trial.  A text counts as good if any of its rows is labelled good.
 """
 
 from __future__ import annotations
@@ -34,8 +37,9 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
     """P(Bin(n, p) <= k), summed in logarithms; 1 for n = 0."""
     if n <= 0 or k >= n:
         return 1.0
-    i = np.arange(k + 1, dtype=float)
-    logs = math.lgamma(n + 1) - np.array([math.lgamma(x + 1) + math.lgamma(n - x + 1) for x in i]) + i * math.log(p) + (n - i) * math.log1p(-p)
+    i = np.arange(1, k + 1, dtype=float)
+    # each term's logarithm from the one before
+    logs = n * math.log1p(-p) + np.r_[0.0, np.cumsum(np.log((n - i + 1) / i) + math.log(p) - math.log1p(-p))]
     top = logs.max()
     return float(min(1.0, math.exp(top) * np.exp(logs - top).sum()))
 
@@ -54,10 +58,11 @@ def upper_bound(k: int, n: int, delta: float) -> float:
 def thresholds(features: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, id_col: str = "doc_id") -> DataFrame:
     """``(stratum, rule, cutoff, n_good, n_rejected, bound)`` for each stratum and rule with good labelled documents.
 
-    ``features`` has ``(id, stratum, <rules>)`` of all documents.  A null cutoff rejects nothing.
+    ``features`` has ``(id, stratum, copy, <rules>)`` of all documents; rows of a stratum with equal
+    ``copy`` have the same text and are one trial.  A null cutoff rejects nothing.
     """
     good = pick(labels, id_col, "quality").where("quality = 1").select(F.col(f"`{id_col}`")).distinct()
-    rows = features.join(good, id_col)
+    rows = features.join(good, id_col).select("stratum", "copy", *NAMES).distinct()
     # For each rule, the number of cutoffs that the value exceeds: it is rejected by just the first so many.
     beyond = lambda n: F.least(F.lit(len(GRID)), F.greatest(F.lit(0), F.ceil(F.round(F.col(n) * 200, 9)) - 2)).cast("int")
     counts = (
@@ -89,10 +94,10 @@ def apply_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: f
     """``(id, stratum, <features>, broken, keep)`` for each row; ``broken`` names the rules that reject it, with commas.
 
     Null strata count as the empty name; null and empty texts break no rule; strata without
-    labelled documents reject nothing.  Repeated rows are kept.
+    labelled documents, and all of them without labels, reject nothing.  Repeated rows are kept.
     """
     features = checkpointed(
-        docs.select(docs[f"`{id_col}`"].alias(id_col), F.coalesce(docs[f"`{stratum_col}`"].cast("string"), F.lit("")).alias("stratum"), *[c.alias(n) for n, c in feature_columns(docs[f"`{text_col}`"]).items()])
+        docs.select(docs[f"`{id_col}`"].alias(id_col), F.coalesce(docs[f"`{stratum_col}`"].cast("string"), F.lit("")).alias("stratum"), F.md5(F.coalesce(docs[f"`{text_col}`"], F.lit(""))).alias("copy"), *[c.alias(n) for n, c in feature_columns(docs[f"`{text_col}`"]).items()])
     )
     chosen = checkpointed(
         thresholds(features, labels, risk, delta, id_col).groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == n, F.col("cutoff"))).alias(f"__{n}") for n in NAMES])
@@ -111,12 +116,12 @@ def _oracle() -> str:
     fails = ", ".join(f"CASE WHEN f.{n} > {cut(n)} THEN '{n}' END" for n in NAMES)
     return f"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, stratum, t, length(t) AS n, len(string_split_regex(t, '\\s+')) AS w, len(list_distinct(string_split_regex(t, '\\s+'))) AS dw, len(string_split(t, chr(10))) AS l, len(list_distinct(string_split(t, chr(10)))) AS dl FROM t),
-f AS (SELECT doc_id, stratum,
+f AS (SELECT doc_id, stratum, md5(t) AS copy,
  CASE WHEN n > 0 THEN length(regexp_replace(t, '[\\p{{L}}\\p{{N}}\\s.,;:?''"()\\-]', '', 'g'))::DOUBLE / n ELSE 0.0 END AS symbols,
  CASE WHEN n > 0 THEN (n - length(regexp_replace(t, '\\p{{Lu}}', '', 'g')))::DOUBLE / n ELSE 0.0 END AS capitals,
  CASE WHEN w >= 8 THEN round(1 - ln(dw::DOUBLE) / ln(w::DOUBLE), 9) ELSE 0.0 END AS sameness,
  (l - dl)::DOUBLE / l AS line_repeats FROM w),
-good AS (SELECT f.* FROM f JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) g ON g.doc_id = f.doc_id),
+good AS (SELECT DISTINCT stratum, copy, {", ".join(NAMES)} FROM f JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) g ON g.doc_id = f.doc_id),
 b AS (SELECT stratum, rule, least({len(GRID)}, greatest(0, ceil(round({value} * 200, 9)) - 2))::INT AS beyond FROM good, (VALUES {rules}) r(rule)),
 fam AS (SELECT count(DISTINCT stratum) * {len(NAMES)} AS families FROM good),
 k AS (SELECT b.stratum, b.rule, g, count(*) AS n, count(*) FILTER (WHERE beyond > g) AS k FROM b, (SELECT unnest(range({len(GRID)})) AS g) GROUP BY ALL),
