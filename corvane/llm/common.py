@@ -28,13 +28,16 @@ def fresh(df: DataFrame, base: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) is a local folder set.
+    Only where the session names none and runs on one machine (``local``) is a local folder set;
+    on a cluster its absence is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         at = os.path.join(tempfile.gettempdir(), "corvane-checkpoint")
         os.makedirs(at, exist_ok=True)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():

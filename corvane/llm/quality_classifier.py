@@ -6,8 +6,9 @@ its share of good documents.  Priors come from the data: the spread between grou
 their sizes explain (method of moments) sets how strongly a group is shrunk, hosts to the
 global mean, paths to their host's posterior mean.  A document's odds are its own times the
 path's posterior odds over the global odds, as in Bayes' rule with the path as prior.
-``documents`` has neither: by default ``source`` stands for the host and ``lang`` for the path, so
-a source's documents are shrunk by language and there is no evidence of a path.
+Host and path come from a URL where there is one (``url_col``).  ``documents`` has none: there
+``source`` stands for the host and ``lang`` for the path, so a source's documents are shrunk by
+language and there is no evidence of a path.
 """
 
 from __future__ import annotations
@@ -42,19 +43,26 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int =
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str, text_col: str) -> DataFrame:
-    """``(text, quality)`` of at most ``max_rows`` labelled documents, the same ones on every run."""
+    """``(key, quality, <features>)`` of at most ``max_rows`` labelled texts, the same ones on every run.
+
+    Labelled ids are taken in the order of a hash, and of their texts, each counted once, again
+    so many at most: an id that many rows share can't exceed the bound.  Of conflicting labels the
+    better one counts.
+    """
     chosen = (
         pick(labels, id_col, "quality").where(F.col("quality").isNotNull() & F.col(f"`{id_col}`").isNotNull())
-        .groupBy(f"`{id_col}`").agg(F.max("quality").alias("quality"))
+        .groupBy(F.col(f"`{id_col}`").alias(id_col)).agg(F.max("quality").alias("quality"))
         .orderBy(F.xxhash64(F.col(f"`{id_col}`")), F.col(f"`{id_col}`")).limit(max_rows)
     )
-    return pick(docs, id_col, text_col).join(F.broadcast(chosen), id_col).select(F.col(f"`{text_col}`").alias("text"), "quality")
+    rows = pick(docs, id_col, text_col).join(F.broadcast(chosen), id_col)
+    text = F.col(f"`{text_col}`")
+    rows = rows.select(F.xxhash64(text).alias("key"), "quality", *[c.alias(n) for n, c in feature_columns(text).items()])
+    return rows.groupBy("key").agg(F.max("quality").alias("quality"), *[F.max(n).alias(n) for n in NAMES]).orderBy(F.xxhash64("key"), "key").limit(max_rows)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """The evidence model's weights; without labelled rows of both kinds, none but an even intercept."""
-    rows = training_rows(docs, labels, max_rows, id_col, text_col)
-    data = rows.select(*[c.alias(n) for n, c in feature_columns(F.col("text")).items()], "quality").toPandas()
+    data = training_rows(docs, labels, max_rows, id_col, text_col).toPandas()
     y = (data["quality"].to_numpy(float) > 0.5).astype(float)
     if len(set(y)) < 2:
         return np.zeros(len(NAMES) + 1)
@@ -102,30 +110,40 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
     )
 
 
-def _site(df: DataFrame, col: str) -> Column:
-    return F.coalesce(df[f"`{col}`"].cast("string"), F.lit(""))
+def site_columns(url: Column) -> tuple[Column, Column]:
+    """The host and the first part of the path that a URL names; empty where it has none."""
+    host = F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))), F.lit(""))
+    return host, F.coalesce(F.regexp_extract(F.try_parse_url(url, F.lit("PATH")), "^/([^/]*)/", 1), F.lit(""))
+
+
+def _sites(docs: DataFrame, host_col: str, path_col: str, url_col: str | None) -> tuple[Column, Column]:
+    if url_col:
+        return site_columns(docs[f"`{url_col}`"])
+    host, path = (F.coalesce(docs[f"`{c}`"].cast("string"), F.lit("")) for c in (host_col, path_col))
+    return host, path
 
 
 def _with_sites(df: DataFrame, sites: DataFrame, host: str, path: str) -> DataFrame:
     """``df`` with its path's row of ``sites``, which is broadcast only up to a checked size."""
+    at = fresh(df, "site_host"), fresh(df, "site_path")
+    sites = sites.withColumnsRenamed(dict(zip(("host", "path"), at)))
     if sites.count() <= MAX_BROADCAST_PATHS:
         sites = F.broadcast(sites)
-    return df.join(sites, (df[host] == sites["__site_host"]) & (df[path] == sites["__site_path"]), "left")
+    return df.join(sites, (F.col(f"`{host}`") == F.col(f"`{at[0]}`")) & (F.col(f"`{path}`") == F.col(f"`{at[1]}`")), "left").drop(*at)
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", max_rows: int = MAX_TRAINING_ROWS, url_col: str | None = None) -> DataFrame:
     """``(id, host, path, evidence, host_mean, path_mean, score, keep)`` for each row of ``docs``.
 
-    Null hosts and paths count as the empty name.  Null and empty texts have the evidence of
-    an even text.  Repeated rows are kept and count as often as they occur.  With no labelled
-    rows everything is kept; an empty table gives an empty result.
+    With ``url_col`` host and path are those of a URL.  Null hosts and paths count as the empty
+    name.  Null and empty texts have the evidence of an even text.  Repeated rows are kept and
+    count as often as they occur; each document is one of those whose sum its path's mean comes
+    from.  With no labelled rows everything is kept; an empty table gives an empty result.
     """
     weights = fit(docs, labels, max_rows, id_col, text_col)
-    scored = checkpointed(
-        docs.select(docs[f"`{id_col}`"].alias(id_col), _site(docs, host_col).alias("host"), _site(docs, path_col).alias("path"), evidence(docs[f"`{text_col}`"], weights).alias("evidence"))
-    )
-    sites = checkpointed(site_posteriors(scored.withColumn("p", _probability(F.col("evidence")))))
-    sites = sites.withColumnsRenamed({"host": "__site_host", "path": "__site_path"})
+    host, path = _sites(docs, host_col, path_col, url_col)
+    scored = checkpointed(docs.select(docs[f"`{id_col}`"].alias(id_col), host.alias("host"), path.alias("path"), evidence(docs[f"`{text_col}`"], weights).alias("evidence")))
+    sites = checkpointed(site_posteriors(scored.withColumn("p", _probability(F.col("evidence")))).drop("n"))
     both = _with_sites(scored, sites, "host", "path")
     return both.select(f"`{id_col}`", "host", "path", "evidence", "host_mean", "path_mean", _score().alias("score"), (_score() >= threshold).alias("keep"))
 
@@ -137,19 +155,19 @@ def _score(log_odds: Column | None = None) -> Column:
     return 1 / (1 + F.exp(-(own + logit(clip(F.col("path_mean"))) - logit(clip(F.col("global_mean"))))))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", url_col: str | None = None) -> DataFrame:
     """The rows of ``docs`` that :func:`classify` keeps, with all their columns.
 
     The evidence is computed once for the sites' sums and once more for the filter, which is
-    cheaper than to shuffle the texts.
+    cheaper than to shuffle the texts.  Without labelled rows, and of an empty table, all rows stay.
     """
     weights = fit(docs, labels, MAX_TRAINING_ROWS, id_col, text_col)
-    own = evidence(docs[f"`{text_col}`"], weights)
-    scored = docs.select(_site(docs, host_col).alias("host"), _site(docs, path_col).alias("path"), _probability(own).alias("p"))
+    host, path = _sites(docs, host_col, path_col, url_col)
+    scored = docs.select(host.alias("host"), path.alias("path"), _probability(evidence(docs[f"`{text_col}`"], weights)).alias("p"))
     sites = checkpointed(site_posteriors(scored))
     at = {n: fresh(docs, n) for n in ("host", "path", "shift")}
     logit = lambda c: F.log(F.col(c) / (1 - F.col(c)))
-    shifts = sites.select(F.col("host").alias("__site_host"), F.col("path").alias("__site_path"), (logit("path_mean") - logit("global_mean")).alias(at["shift"]))
-    wide = docs.withColumns({at["host"]: _site(docs, host_col), at["path"]: _site(docs, path_col)})
-    odds = evidence(F.col(f"`{text_col}`"), weights) + F.coalesce(F.col(at["shift"]), F.lit(0.0))
+    shifts = sites.select("host", "path", (logit("path_mean") - logit("global_mean")).alias(at["shift"]))
+    wide = docs.withColumns({at["host"]: host, at["path"]: path})
+    odds = evidence(F.col(f"`{text_col}`"), weights) + F.coalesce(F.col(f"`{at['shift']}`"), F.lit(0.0))
     return _with_sites(wide, shifts, at["host"], at["path"]).where(odds >= float(np.log(threshold / (1 - threshold)))).select(*[f"`{c}`" for c in docs.columns])
