@@ -14,25 +14,29 @@ posteriors and scores every document, also where no voter speaks.
 
 The word families come from a bounded sample of labelled documents: word beginnings that are
 far more frequent in toxic ones.
+
+Samples are of distinct texts, bounded in number and in characters, and are worked on by the
+executors: the driver only gets counts of word beginnings and hashed features.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import checkpointed, pick
 
-#: Labelled rows that word families are taken from, and documents that the classifier is trained on, at most.
+#: Labelled texts that word families are taken from, and texts that the classifier is trained on, at most.
 MAX_LABELLED, MAX_TRAINING = 8_000, 8_000
+#: Either sample has at most so many characters; texts beyond, in the order of a hash, aren't trained on.
+MAX_SAMPLE_CHARS = 32_000_000
 FAMILIES = 400
 HASH_BITS = 18
 THRESHOLD = 0.5
@@ -130,30 +134,20 @@ class Voters:
         return False
 
 
-def mine_families(texts: list[str], toxic: np.ndarray, most: int = FAMILIES) -> list[str]:
-    """Word beginnings of 4 to 8 letters that mark toxic texts: in 5 different ones of them at
-    least, and in at most a twentieth of the share of clean texts.  Copies of a text count once.
-    The shortest beginning stands for those that go on from it."""
-    bad: Counter[str] = Counter()
-    good: Counter[str] = Counter()
-    n = [0, 0]
-    # Toxic texts first, so that of the clean ones only what might matter is counted.
-    for toxic_now, to in ((True, bad), (False, good)):
-        seen: set[int] = set()
-        for t, y in zip(texts, toxic):
-            if bool(y) != toxic_now:
-                continue
-            words = frozenset(w for w in _WORD.findall(t.lower()) if w.isalpha())
-            if hash(words) in seen:
-                continue
-            seen.add(hash(words))
-            n[toxic_now] += 1
-            starts = {w[:n] for w in words for n in range(4, 9) if len(w) >= n}
-            to.update(starts if toxic_now else starts & bad.keys())
-        if toxic_now:
-            bad = Counter({f: b for f, b in bad.items() if b >= 5})
-    n_good, n_bad = n[0], max(1, n[1])
-    found = [(b, f) for f, b in bad.items() if b >= 5 and (good[f] + 0.5) / (n_good + 1) <= 0.05 * b / n_bad]
+def word_set(text: str) -> frozenset[str]:
+    return frozenset(w for w in _WORD.findall(text.lower()) if w.isalpha())
+
+
+def beginnings(words: frozenset[str]) -> list[str]:
+    """The words' beginnings of 4 to 8 letters."""
+    return sorted({w[:n] for w in words for n in range(4, 9) if len(w) >= n})
+
+
+def chosen_families(counts: Iterable[tuple[str, int, int]], n_bad: int, n_good: int, most: int = FAMILIES) -> list[str]:
+    """Of word beginnings ``(beginning, toxic texts, clean texts)`` those that mark toxic texts: in
+    5 of them at least, and in at most a twentieth of the share of clean ones.  The shortest
+    beginning stands for those that go on from it."""
+    found = [(b, f) for f, b, g in counts if b >= 5 and (g + 0.5) / (n_good + 1) <= 0.05 * b / max(1, n_bad)]
     kept: list[str] = []
     held: set[str] = set()
     for _, f in sorted(found, key=lambda x: (len(x[1]), -x[0], x[1])):
@@ -164,6 +158,25 @@ def mine_families(texts: list[str], toxic: np.ndarray, most: int = FAMILIES) ->
     return sorted(kept, key=lambda f: (-strength[f], f))[:most]
 
 
+def mine_families(sample: DataFrame, most: int = FAMILIES) -> list[str]:
+    """The word families of ``sample`` ``(key, text, toxic)``; texts of the same words count once for each label.
+
+    Beginnings are made and counted by the executors; only those of 5 toxic texts and more come to the driver.
+    """
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [word_set(t) for t in batch.column(0).to_pylist()]
+            keys = pa.array([zlib.crc32(" ".join(sorted(x)).encode()) << 20 | len(x) & (1 << 20) - 1 for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([keys, batch.column(1), pa.array([beginnings(x) for x in sets], pa.list_(pa.string()))], names=["words", "toxic", "starts"])
+
+    each = sample.select("text", (F.col("toxic") > 0.5).alias("toxic")).mapInArrow(words, "words long, toxic boolean, starts array<string>")
+    each = checkpointed(each.groupBy("words", "toxic").agg(F.first("starts").alias("starts")))
+    n = {r["toxic"]: r["count"] for r in each.groupBy("toxic").count().collect()}
+    counts = each.select("toxic", F.explode("starts").alias("f")).groupBy("f").agg(F.count_if("toxic").alias("b"), F.count_if(~F.col("toxic")).alias("g")).where("b >= 5")
+    return chosen_families(sorted(map(tuple, counts.collect())), n.get(True, 0), n.get(False, 0), most)
+
+
 class LabelModel:
     """The generative model of votes: class prior, and by class a tree of voters."""
 
@@ -249,22 +262,23 @@ class Linear:
         names = [word] + [f"^{word[:n]}" for n in range(5, 9) if len(word) >= n]
         return [zlib.crc32(x.encode()) & (1 << HASH_BITS) - 1 for x in names]
 
-    def fit(self, texts: Iterable[str], y: np.ndarray, weight: np.ndarray, epochs: int = 6, rate: float = 0.5, ridge: float = 1e-5) -> Linear:
-        """Adagrad on the cross entropy with soft labels; of the texts only their features are kept."""
-        cache: dict[str, list[int]] = {}
-        rows = []
-        for text in texts:
-            flat: list[int] = []
-            words = set(_WORD.findall(text.lower()))
-            for w in words:
-                got = cache.get(w)
-                if got is None:
-                    got = self.slots(w)
-                    if len(cache) < 50_000:
-                        cache[w] = got
-                flat += got
-            r, n = np.unique(np.array(flat, np.int32), return_counts=True)
-            rows.append((r, (n / np.sqrt(max(1, len(words)))).astype(np.float32)))
+    @classmethod
+    def features(cls, text: str, cache: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """A text's slots, each once, with their values; ``cache`` holds words' slots."""
+        flat: list[int] = []
+        words = set(_WORD.findall(text.lower()))
+        for w in words:
+            got = cache.get(w)
+            if got is None:
+                got = cls.slots(w)
+                if len(cache) < 50_000:
+                    cache[w] = got
+            flat += got
+        r, n = np.unique(np.array(flat, np.int32), return_counts=True)
+        return r, (n / np.sqrt(max(1, len(words)))).astype(np.float32)
+
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, epochs: int = 6, rate: float = 0.5, ridge: float = 1e-5) -> Linear:
+        """Adagrad on the cross entropy with soft labels over :meth:`features`."""
         grown = np.full(len(self.w), 1e-2, np.float32)
         grown_b, order = 1e-2, np.random.RandomState(0)
         for _ in range(epochs):
@@ -298,46 +312,61 @@ class Linear:
         return float(1 / (1 + np.exp(-np.clip(sum(each) / np.sqrt(len(words)) + self.b, -30, 30))))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, max_training: int = MAX_TRAINING) -> Linear:
+def first_keys(keys: DataFrame, most: int, max_chars: int) -> DataFrame:
+    """At most ``most`` of ``keys`` ``(key, n, <others>)``, which are distinct, in the order of a hash
+    until ``max_chars`` is reached; ``n`` is the length of the key's text in characters."""
+    first = keys.orderBy(F.xxhash64("key"), "key").limit(most)
+    return first.withColumn("upto", F.sum("n").over(Window.orderBy(F.xxhash64("key"), "key"))).where(F.col("upto") <= max_chars).drop("upto", "n")
+
+
+def sampled(texts: DataFrame, first: DataFrame) -> DataFrame:
+    """``(key, text, <others>)``: one row for each of ``first``, however many rows hold its text."""
+    return texts.select("key", "text").join(F.broadcast(first), "key").groupBy("key").agg(F.min("text").alias("text"), *[F.first(c).alias(c) for c in first.columns if c != "key"])
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, max_training: int = MAX_TRAINING, max_chars: int = MAX_SAMPLE_CHARS) -> Linear:
     """Votes of all documents, the label model on their counts, and the classifier on a bounded sample of posteriors.
 
-    Samples are taken in the order of a hash of the id: of the labelled rows for the word
-    families, and of documents for the classifier, half of them with votes and half without,
-    weighted by what they stand for.
+    Samples are taken in the order of a hash: of the labelled texts for the word families, and
+    of distinct texts for the classifier, half of them with votes and half without, weighted by
+    the rows that they stand for.  Of conflicting labels "toxic" counts.
     """
     spark, at = docs.sparkSession, F.col(f"`{id_col}`")
-    texts = pick(docs, id_col, text_col).where(at.isNotNull() & F.col(f"`{text_col}`").isNotNull())
-    marked = pick(labels, id_col, "toxic").where(at.isNotNull() & F.col("toxic").isNotNull()).groupBy(at.alias(id_col)).agg(F.max("toxic").alias("toxic"))
-    sample = texts.join(F.broadcast(marked.orderBy(F.xxhash64(at), at).limit(max_labelled)), id_col).select(at, F.col(f"`{text_col}`").alias("text"), "toxic").toPandas()
-    sample = sample.sort_values([id_col, "text"], ignore_index=True)
-    families = spark.sparkContext.broadcast(mine_families(list(sample["text"]), sample["toxic"].to_numpy(float) > 0.5))
-    del sample
+    texts = docs.where(docs[f"`{text_col}`"].isNotNull()).select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"), F.xxhash64(docs[f"`{text_col}`"]).alias("key"))
+    marked = pick(labels, id_col, "toxic").where(at.isNotNull() & F.col("toxic").isNotNull()).groupBy(at.alias("id")).agg(F.max("toxic").alias("toxic"))
+    marked = texts.join(F.broadcast(marked.orderBy(F.xxhash64("id"), "id").limit(max_labelled)), "id")
+    marked = marked.groupBy("key").agg(F.max(F.length("text")).alias("n"), F.max("toxic").alias("toxic"))
+    families = spark.sparkContext.broadcast(mine_families(sampled(texts, first_keys(marked, max_labelled, max_chars))))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = Voters(families.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([voters.votes(t.as_py().lower()) for t in part.column(1)], pa.int32())], names=[id_col, "votes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([voters.votes(t.as_py().lower()) for t in part.column(2)], pa.int32())], names=["key", "n", "votes"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    votes = checkpointed(texts.mapInArrow(vote, f"`{id_col}` {kind}, votes int"))
+    votes = checkpointed(texts.select("key", F.length("text").alias("n"), "text").mapInArrow(vote, "key long, n int, votes int"))
     counts = votes.groupBy("votes").count().toPandas().sort_values("votes")  # at most one row for each vote pattern
     masks, n = counts["votes"].to_numpy(np.int64), counts["count"].to_numpy(np.int64)
     if not n.sum() or not (masks > 0).any():
         return Linear(bias=-10.0)
     model = LabelModel(len(VOTERS)).fit(masks, n)
-    chosen, weights = [], {}
-    for some, test in ((True, "votes <> 0"), (False, "votes = 0")):
-        chosen.append(votes.where(test).orderBy(F.xxhash64(at), at).limit(max_training // 2))
-        whole = int(n[(masks > 0) == some].sum())
-        weights[some] = whole / max(1, min(whole, max_training // 2))
-    rows = texts.join(F.broadcast(chosen[0].union(chosen[1])), id_col).select(at, F.col(f"`{text_col}`").alias("text"), "votes").toPandas()
-    rows = rows.sort_values([id_col, "text"], ignore_index=True)
+    distinct = votes.groupBy("key").agg(F.first("n").alias("n"), F.first("votes").alias("votes"))
+    some, none = (first_keys(distinct.where(test), max_training // 2, max_chars // 2) for test in ("votes <> 0", "votes = 0"))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, list[int]] = {}
+        for batch in batches:
+            rows = [Linear.features(t, cache) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.astype("<i4").tobytes() for r, _ in rows], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in rows], pa.binary())], names=["key", "votes", "slots", "x"])
+
+    rows = sampled(texts, some.unionByName(none)).select("key", "votes", "text").mapInArrow(features, "key long, votes int, slots binary, x binary").toPandas().sort_values("key", ignore_index=True)
+    voted = rows["votes"].to_numpy() > 0
+    stands = [n[(masks > 0) == some].sum() / max(1, (voted == some).sum()) for some in (False, True)]
     y = model.posterior(rows["votes"].to_numpy(np.int64))
-    weight = np.where(rows["votes"] > 0, weights[True], weights[False])
+    weight = np.where(voted, stands[True], stands[False])
     weight = weight / max(weight.mean(), 1e-9)
-    return Linear().fit(rows["text"], y, weight)
+    return Linear().fit([(np.frombuffer(r, "<i4"), np.frombuffer(x, "<f4")) for r, x in zip(rows["slots"], rows["x"])], y, weight)
 
 
 def _sent(docs: DataFrame, linear: Linear):
@@ -375,7 +404,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 
 def keep_harmless(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that aren't toxic, with all their columns; null texts stay."""
+    """The rows of ``docs`` that aren't toxic, with all their columns; null texts stay.
+
+    Of an empty table, or where no voter speaks (as without labels and insults), all rows stay.
+    """
     sent = _sent(docs, train(docs, labels, id_col, text_col))
 
     @F.pandas_udf("boolean")
