@@ -20,13 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import pick
+from corvane.llm.common import checkpointed, pick
 
-#: At most so many labelled texts of each language are trained on, taken in the order of a hash of their id.
+#: At most so many labelled texts of each language are trained on, taken in the order of a hash, copies once.
 TEXTS_EACH = 400
+#: At most so many in all: with more than 200 languages each has fewer, and none is left out.
+MAX_TEXTS = 80_000
 #: Languages with fewer labelled texts are not learned.
 LEAST_TEXTS = 5
-MAX_LANGUAGES = 200
+#: A table of at most so many languages is broadcast; a larger one is joined by shuffle.
+MAX_BROADCAST_LANGUAGES = 50_000
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS, EMBEDDING = 8, 8
@@ -175,22 +178,28 @@ class Applier:
         return names, sure
 
 
-def train(docs: DataFrame, texts_each: int = TEXTS_EACH, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
+def train(docs: DataFrame, texts_each: int = TEXTS_EACH, text_col: str = "text", lang_col: str = "lang", max_texts: int = MAX_TEXTS) -> Network | None:
     """A network from at most ``texts_each`` texts of each language; none if no language has enough.
 
-    Labels that occur fewer than :data:`LEAST_TEXTS` times in the sample, and all beyond the
-    :data:`MAX_LANGUAGES` first names, are left out.
+    Labels that occur fewer than :data:`LEAST_TEXTS` times, in the corpus or in the sample, are left
+    out; all others are learned.  Equal texts of a language count once, whatever their ids.  Where
+    the network finds two languages equally likely, the first name is taken.
     """
-    lang, text, key = docs[f"`{lang_col}`"], docs[f"`{text_col}`"], docs[f"`{id_col}`"]
+    lang, text = docs[f"`{lang_col}`"].cast("string"), docs[f"`{text_col}`"]
+    rows = docs.where((F.length(text) > 0) & lang.isNotNull()).select(lang.alias("lang"), text.alias("text"), F.xxhash64(text).alias("h"))
     # Enough of the least hashes by language come from a threshold on the hash, so that just those
     # rows are ranked; four windows spread over the whole text, fewer where they would be the same.
-    known = docs.where(lang.isNotNull()).groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGUAGES)
+    known = checkpointed(rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("d")).where(F.col("n") >= LEAST_TEXTS).drop("n"))
+    n_known = known.count()
+    if not n_known:
+        return None
+    texts_each = max(LEAST_TEXTS, min(texts_each, max_texts // n_known))
     starts = f"array_distinct(transform(sequence(0, 3), i -> cast(floor(i * greatest(0, length(text) - {WINDOW}) / 3) as int) + 1))"
-    low = F.pmod("h", F.lit(1 << 30)) <= (1 << 30) * (4 * texts_each + 100) / F.col("n")
-    rows = docs.where(F.length(text) > 0).select(key.alias("k"), text.alias("text"), lang.alias("l"), F.xxhash64(key).alias("h"))
-    rows = rows.join(F.broadcast(known), F.col("l") == F.col("lang")).where(low).select("k", "h", "lang", F.expr(f"transform({starts}, s -> substring(text, s, {WINDOW}))").alias("texts"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "k", "texts"))
-    rows = rows.withColumn("nth", nth).where(F.col("nth") <= texts_each).select("lang", "nth", "texts").toPandas()
+    low = F.pmod("h", F.lit(1 << 30)) <= (1 << 30) * (4 * texts_each + 100) / F.col("d")
+    some = rows.join(F.broadcast(known) if n_known <= MAX_BROADCAST_LANGUAGES else known, "lang").where(low)
+    once = some.select("lang", "h", F.expr(f"transform({starts}, s -> substring(text, s, {WINDOW}))").alias("texts")).groupBy("lang", "h").agg(F.first("texts").alias("texts"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
+    rows = once.withColumn("nth", nth).where(F.col("nth") <= texts_each).select("lang", "nth", "texts").toPandas()
     rows = rows.assign(texts=[list(t) for t in rows["texts"]]).sort_values(["lang", "nth"], ignore_index=True)
     counts = rows["lang"].value_counts()
     languages = sorted(counts[counts >= LEAST_TEXTS].index)
