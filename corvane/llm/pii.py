@@ -11,13 +11,20 @@ character it emits, the source span that the character stands for:
 Identifiers are detected on the rewritten text, and each match's span is carried back through
 the cascade, so it covers the source characters that spell it out.  A transducer that changes
 nothing in a text costs one search and keeps no offsets.
+
+Numbers have to be more than long: cards have an issuer's prefix and a valid Luhn digit, account
+numbers (IBAN) a valid remainder by 97, addresses of IPv6 a digit and two groups; a bare number, or
+a phone number in no common form, counts only where it was disguised or where a word like "call"
+stands before it.
 """
 
 from __future__ import annotations
 
+import bisect
+import ipaddress
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -83,16 +90,115 @@ _BRACKETED_DOT = re.compile(_DOT.removeprefix(r"\s{0,3}"))
 _TOKEN = re.compile(r"\w+")
 
 _BYTE = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: Kinds in the order in which they take what they match.
-DETECTORS = (
-    ("EMAIL", re.compile(r"(?<![\w.+\-])[^\W_][\w.+\-]{0,63}+@[A-Za-z0-9][A-Za-z0-9\-]{0,62}(?:\.[A-Za-z0-9\-]{1,63})*\.[A-Za-z]{2,24}(?![A-Za-z0-9])")),
-    ("SECRET", re.compile(r"(?i:(?<![A-Za-z])(?:api[_\-]?key|access[_\-]?key|token|secret|password|passwd|pwd)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?P<it>[^\s\"']{6,})|(?<![A-Za-z0-9])(?P<hex>(?=[a-fA-F]{0,40}\d)[A-Fa-f0-9]{32,}|(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9\-]{20,}))(?![A-Za-z0-9])")),
-    ("IP", re.compile(rf"(?<![\w.]){_BYTE}(?:\.{_BYTE}){{3}}(?![\d])(?!\.\d)")),
-    ("IBAN", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
-    ("CARD", re.compile(r"(?<!\d)(?<!\d[.,])\d(?:[ \-]?\d){12,18}(?!\d)")),
-    ("PHONE", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]?\d{3,4}(?![\d])|(?<![\w+])\+\d{9,15}(?!\d)")),
-    ("NUMBER", re.compile(r"(?<!\d)(?<!\d[.,])\d(?:[ \-]?\d){9,11}(?!\d)")),
-    ("SSN", re.compile(r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])")),
+#: Words that make a number before which they stand a personal one.
+_CONTEXT = re.compile(r"\b(?:phone|tel|telephone|telefon|teléfono|téléphone|call|dial|ring|fax|mobile|mobil|móvil|cell|handy|whatsapp|sms|text|ssn|account|acct|konto|compte|cuenta|passport|id|number|nummer|número|numéro|no|nr)\b", re.I)
+CONTEXT_REACH = 40
+#: Issuers' prefixes with the lengths of their numbers.
+_ISSUERS = re.compile(r"4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]\d\d|222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)\d{12}|3[47]\d{13}|3(?:0[0-5]\d{11,16}|[689]\d{12,17})|35(?:2[89]|[3-8]\d)\d{12,15}|6(?:011\d\d|4[4-9]\d{3}|5\d{4}|2\d{4})\d{10,13}")
+_RUN = re.compile(r"(?<!\d)(?<!\d[.,])\d+(?:[ \-]\d+)*")
+_GROUP = re.compile(r"\d+")
+
+
+def luhn(digits: str) -> bool:
+    """Whether a number's last digit is its Luhn check digit."""
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        x = ord(d) - 48
+        total += x if i % 2 == 0 else x * 2 - 9 * (x > 4)
+    return total % 10 == 0
+
+
+def is_card(digits: str) -> bool:
+    """13 to 19 digits with an issuer's prefix and length and a valid check digit."""
+    return bool(_ISSUERS.fullmatch(digits)) and luhn(digits)
+
+
+def cards(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of card numbers: whole groups of digits, joined by single spaces or hyphens, the longest from the left."""
+    for run in _RUN.finditer(text):
+        if run.end() - run.start() < 13:
+            continue
+        groups = [g.span() for g in _GROUP.finditer(text, run.start(), run.end())]
+        i = 0
+        while i < len(groups):
+            digits, ends = "", []
+            for j in range(i, len(groups)):
+                digits += text[groups[j][0] : groups[j][1]]
+                if len(digits) > 19:
+                    break
+                if is_card(digits):
+                    ends.append(j)
+            if ends:
+                yield groups[i][0], groups[ends[-1]][1]
+                i = ends[-1]
+            i += 1
+
+
+def is_iban(text: str) -> bool:
+    """Whether the remainder by 97 of an account number is 1."""
+    plain = text.replace(" ", "").upper()
+    return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def is_ipv6(text: str) -> bool:
+    """An address with at least two groups and a digit."""
+    if sum(map(bool, text.split(":"))) < 2 or not any(c.isdigit() for c in text):
+        return False
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return True
+
+
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+
+
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of account numbers; a match may have taken words behind along, so shorter ones are tried too."""
+    for m in _IBAN.finditer(text):
+        at = m.end()
+        while at > m.start():
+            if is_iban(text[m.start() : at]):
+                yield m.start(), at
+                break
+            at = text.rfind(" ", m.start(), at)
+
+
+_IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")
+
+
+def ipv6s(text: str) -> Iterator[tuple[int, int]]:
+    if "::" in text or text.count(":") >= 7:
+        for m in _IPV6.finditer(text):
+            if is_ipv6(m.group()):
+                yield m.span()
+
+
+def _spans(pattern: str) -> Callable[[str], Iterator[tuple[int, int]]]:
+    """A detector of a pattern's matches, or of their groups named ``it`` and ``hex``."""
+    compiled = re.compile(pattern)
+    named = [g for g in ("it", "hex") if g in compiled.groupindex]
+
+    def spans(text: str) -> Iterator[tuple[int, int]]:
+        for m in compiled.finditer(text):
+            yield m.span(next((g for g in named if m.group(g)), 0))
+
+    return spans
+
+
+#: Kinds in the order in which they take what they match: how they find it, and whether it needs a context or a disguise.
+DETECTORS: tuple[tuple[str, Callable[[str], Iterator[tuple[int, int]]], bool], ...] = (
+    ("EMAIL", _spans(r"(?<![\w.+\-])[^\W_][\w.+\-]{0,63}+@[A-Za-z0-9][A-Za-z0-9\-]{0,62}(?:\.[A-Za-z0-9\-]{1,63})*\.[A-Za-z]{2,24}(?![A-Za-z0-9])"), False),
+    ("SECRET", _spans(r"(?i:(?<![A-Za-z])(?:api[_\-]?key|access[_\-]?key|token|secret|password|passwd|pwd)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?P<it>[^\s\"']{6,})|(?<![A-Za-z0-9])(?P<hex>(?=[a-fA-F]{0,40}\d)[A-Fa-f0-9]{32,}|(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9\-]{20,}))(?![A-Za-z0-9])"), False),
+    ("IP", _spans(rf"(?<![\w.]){_BYTE}(?:\.{_BYTE}){{3}}(?![\d])(?!\.\d)"), False),
+    ("IP", ipv6s, False),
+    ("IBAN", ibans, False),
+    ("CARD", cards, False),
+    ("PHONE", _spans(r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)|(?<![\w+])\+\d{9,15}(?!\d)|(?<![\w+])\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<![\w+\-.])\d{3}([ .\-])\d{3}\1\d{4}(?![\d])"), False),
+    ("PHONE", _spans(r"(?<![\w+])\d{2,4}[ .\-]\d{3,4}[ .\-]?\d{3,4}(?![\d])"), True),
+    ("SSN", _spans(r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"), False),
+    ("NUMBER", _spans(r"(?<!\d)(?<!\d[.,])\d(?:[ \-]?\d){9,11}(?!\d)"), True),
 )
 _HOT = re.compile(r"[@\d]")
 _KEYS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")
@@ -208,20 +314,28 @@ CASCADE = (homoglyphs, signs, spelled_digits)
 
 
 def find(text: str) -> list[tuple[str, int, int, str]]:
-    """``(kind, start, end, plain form)`` of each identifier, by source position, without overlaps."""
+    """``(kind, start, end, plain form)`` of each identifier, by source position, without overlaps.
+
+    Of overlapping matches that of the earlier detector stays, within a detector the first one.
+    """
     t = Traced(text)
     for step in CASCADE:
         t = step(t)
     if not may_identify(t.text):
         return []
-    taken: list[tuple[int, int, str, str]] = []
-    for kind, pattern in DETECTORS:
-        for m in pattern.finditer(t.text):
-            a, b = m.span(next((g for g in ("it", "hex") if g in pattern.groupindex and m.group(g)), 0))
+    starts: list[int] = []
+    taken: list[tuple[int, int, str, str]] = []  # by position; spans don't overlap, so neighbours decide
+    for kind, spans, needs_context in DETECTORS:
+        for a, b in spans(t.text):
             x, y = t.source(a, b)
-            if all(y <= p or q <= x for p, q, _, _ in taken):
-                taken.append((x, y, kind, t.text[a:b]))
-    return [(kind, x, y, plain) for x, y, kind, plain in sorted(taken)]
+            at = bisect.bisect_left(starts, x)
+            if (at and taken[at - 1][1] > x) or (at < len(taken) and taken[at][0] < y):
+                continue
+            if needs_context and text[x:y] == t.text[a:b] and not _CONTEXT.search(t.text, max(0, a - CONTEXT_REACH), a):
+                continue
+            starts.insert(at, x)
+            taken.insert(at, (x, y, kind, t.text[a:b]))
+    return [(kind, x, y, plain) for x, y, kind, plain in taken]
 
 
 def redact(text: str, found: list[tuple[str, int, int, str]]) -> str:
@@ -259,7 +373,11 @@ def find_in_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` with identifiers in the text replaced, other columns as they are; ``length_col``, if there, is counted anew."""
+    """``docs`` with identifiers in the text replaced, other columns as they are; ``length_col``, if there, is counted anew.
+
+    Null texts stay null (and have a null length), empty ones empty.  Each row is rewritten by
+    itself, so repeated rows stay repeated; an empty table gives an empty result.
+    """
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series) -> pd.Series:
