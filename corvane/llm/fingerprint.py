@@ -6,6 +6,13 @@ count lies (two bits), and in its head a checksum, the logarithm of the length a
 quartiles' ratios: 35 bytes, as 70 hexadecimal digits.  Two digests' difference score adds the
 buckets' distances and the heads' and is bounded by :data:`MAX_DIFFERENCE` (after Oliver, Cheng
 and Chen, "TLSH - A Locality Sensitive Hash", 2013).
+
+Digests that differ by at most :data:`LINK` are linked, and the search for them is exact.  The
+buckets are a ring of LINK + 1 bands.  A score of LINK leaves some band equal from which on each
+chain of c bands differs by at most c x LINK / (LINK + 1), rounded down (Qin and Xiao, "Pigeonring",
+2018): so of the next band, which may differ by 1, one half is equal too.  Digests meet under a band
+and a half of the next, and the whole score is taken where they meet.  Equal digests are one
+class, so that thousands of copies cost no more than one document.
 """
 
 from __future__ import annotations
@@ -18,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import pick
+from corvane.llm.common import checkpointed, pick
+from corvane.llm.simhash import components
 
 BUCKETS = 128
 #: A window's triplets: all pairs with its first byte but the farthest combinations, each with a salt.
@@ -26,6 +34,8 @@ TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 2, 4), (0, 1, 4), (0, 3, 4))
 #: Texts of fewer bytes have too few triplets for quartiles to mean anything.
 LEAST_BYTES = 50
 HEAD_LIMIT = 120
+#: Digests that differ by so much at most are linked.
+LINK = 8
 #: 6 for each bucket at most, and the head's share.
 MAX_DIFFERENCE = BUCKETS * 6 + HEAD_LIMIT
 
@@ -50,11 +60,15 @@ def bucket_counts(data: bytes) -> np.ndarray:
 
 
 def digest(data: bytes | None) -> str | None:
-    """A text's digest; none for a null text and for one of fewer than :data:`LEAST_BYTES` bytes."""
+    """A text's digest; none for a null text, for one of fewer than :data:`LEAST_BYTES` bytes, and
+    for one that fills no more than half of the buckets (as one byte repeated does): its quartiles
+    say nothing, and all such texts would look alike."""
     if data is None or len(data) < LEAST_BYTES:
         return None
     counts = bucket_counts(data)
     q = np.sort(counts)[[BUCKETS // 4 - 1, BUCKETS // 2 - 1, 3 * BUCKETS // 4 - 1]]
+    if not q[1]:
+        return None
     code = (counts[:, None] > q[None, :]).sum(1).astype(np.uint8)
     body = (code.reshape(-1, 4) << np.array([6, 4, 2, 0], np.uint8)).sum(1).astype(np.uint8)
     x = np.frombuffer(data, np.uint8)
@@ -109,18 +123,94 @@ def difference_column(left: Column, right: Column) -> Column:
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_bytes, digest)`` for each row of ``docs``.
 
-    Null texts have nulls; texts of fewer than :data:`LEAST_BYTES` bytes a null digest.
+    Null texts have nulls; texts that are too short or too uniform a null digest (:func:`digest`).
     Repeated rows are kept; other columns are ignored.
     """
+    return _prints(docs, id_col, text_col).select(f"`{id_col}`", "n_bytes", "digest")
+
+
+#: A digest as numbers: the body's 128 codes in four longs, and the head.
+_CODED = ("c0", "c1", "c2", "c3", "head")
+
+
+def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    names = [id_col, "n_bytes", "digest", *_CODED]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [None if t is None else t.encode() for t in (x.as_py() for x in batch.column(1))]
-            n = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array([digest(t) for t in texts], pa.string())], names=[id_col, "n_bytes", "digest"])
+            digests = [digest(t) for t in texts]
+            raw = [None if d is None else bytes.fromhex(d) for d in digests]
+            coded = np.array([np.frombuffer(r[3:] if r else bytes(32), ">i8") for r in raw]).astype(np.int64).reshape(-1, 4)
+            none = np.array([r is None for r in raw], bool)
+            head = np.array([int.from_bytes(r[:3], "big") if r else 0 for r in raw], np.int64)
+            columns = [pa.array(x, pa.int64(), mask=none) for x in (*coded.T, head)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if t is None else len(t) for t in texts], pa.int64()), pa.array(digests, pa.string()), *columns], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return pick(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, digest string")
+    return pick(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, digest string, {', '.join(f'{c} long' for c in _CODED)}")
+
+
+def score_sql(a: str, b: str) -> str:
+    """:func:`difference` of two digests as SQL over their columns ``<a>c0`` to ``<a>head``.
+
+    A code's two bits are turned into three that say whether it exceeds 0, 1 and 2, so the
+    differing ones count a gap; a gap of 3 differs in all of them and counts 3 more.
+    """
+    low = "6148914691236517205L"  # every second bit
+    parts = []
+    for i in range(4):
+        bits = {n: (f"(shiftrightunsigned({n}c{i}, 1) & {low})", f"({n}c{i} & {low})") for n in (a, b)}
+        x1, x2, x3 = (f"({f(*bits[a])} ^ {f(*bits[b])})" for f in (lambda h, l: f"({h} | {l})", lambda h, l: h, lambda h, l: f"({h} & {l})"))
+        parts.append(f"bit_count({x1}) + bit_count({x2}) + bit_count({x3}) + 3 * bit_count({x1} & {x2} & {x3})")
+    field = lambda n, shift, mask: f"(shiftrightunsigned({n}head, {shift}) & {mask}L)"
+    ring = lambda shift, size: f"least(pmod({field(a, shift, size - 1)} - {field(b, shift, size - 1)}, {size}), pmod({field(b, shift, size - 1)} - {field(a, shift, size - 1)}, {size}))"
+    length = ring(8, 256)
+    head = [f"CASE WHEN {length} <= 1 THEN {length} ELSE 2 * {length} END", f"CAST({field(a, 16, 255)} <> {field(b, 16, 255)} AS INT)"]
+    head += [f"CASE WHEN {g} <= 1 THEN {g} ELSE ({g} - 1) * 4 END" for g in (ring(4, 16), ring(0, 16))]
+    return f"CAST({' + '.join(parts)} + least({' + '.join(head)}, {HEAD_LIMIT}) AS INT)"
+
+
+def _meetings(link: int) -> list[str]:
+    """SQL for the values under which a digest is found: a band and a half of the next, by their hexadecimal digits."""
+    bands = link + 1
+    edge = [round(i * BUCKETS / 2 / bands) for i in range(bands + 1)]
+    out = []
+    for k in range(bands):
+        first, last = edge[(k + 1) % bands], edge[(k + 1) % bands + 1]
+        mid = (first + last) // 2
+        for x, y in ((first, mid), (mid, last)):
+            out.append(f"xxhash64({k}, {x}, substring(digest, {7 + edge[k]}, {edge[k + 1] - edge[k]}), substring(digest, {7 + x}, {y - x}))")
+    return out
+
+
+def linked_digests(classes: DataFrame, link: int = LINK) -> DataFrame:
+    """``(a, b, difference)``, a < b: all pairs of ``classes`` ``(node, digest, c0, ..., head)`` that differ by at most ``link`` (31 at most)."""
+    if not 0 <= link < BUCKETS // 4:
+        raise ValueError("bands have to hold at least four buckets")
+    entered = classes.select("node", *_CODED, F.explode(F.expr(f"array({', '.join(_meetings(link))})")).alias("entry"))
+    a, b = (entered.select("entry", *[F.col(c).alias(f"{n}_{c}") for c in ("node", *_CODED)]) for n in "ab")
+    met = a.join(b, "entry").where(F.col("a_node") < F.col("b_node")).withColumn("difference", F.expr(score_sql("a_", "b_")))
+    return met.where(F.col("difference") <= link).groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.first("difference").alias("difference"))
+
+
+def group_documents(docs: DataFrame, link: int = LINK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, n_bytes, digest, class_id, n_links, group_id)`` for each row of ``docs``.
+
+    ``class_id`` is the least id of the rows with the same digest, ``n_links`` the number of other
+    digests within ``link`` of it, ``group_id`` the least id that links lead to.  Rows without a
+    digest or without an id are their own class and group and have no links.  Repeated rows are kept.
+    """
+    prints = checkpointed(_prints(docs, id_col, text_col).withColumnRenamed(id_col, "__id"))
+    held = prints.where("digest IS NOT NULL AND __id IS NOT NULL")
+    classes = checkpointed(held.groupBy("digest").agg(F.min("__id").alias("node"), *[F.first(c).alias(c) for c in _CODED]))
+    pairs = checkpointed(linked_digests(classes, link).select("a", "b"))
+    roots = components(pairs)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    named = classes.select("digest", "node").join(roots, "node", "left").join(links, "node", "left").select("digest", F.col("node").alias("class_id"), "n_links", F.coalesce("root", "node").alias("group_id"))
+    mine = lambda c, other: F.coalesce(F.when(F.col("__id").isNotNull(), F.col(c)), other).alias(c)
+    both = prints.join(named, "digest", "left")
+    return both.select(F.col("__id").alias(id_col), "n_bytes", "digest", mine("class_id", F.col("__id")), mine("n_links", F.lit(0)), mine("group_id", F.col("__id")))
 
 
 def compare(pairs: DataFrame, left: Column, right: Column, name: str = "difference") -> DataFrame:

@@ -29,8 +29,8 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's quartile bucket digest."""
-    return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
+    """Every document's quartile bucket digest, its class of equal ones, and its links to others."""
+    return fingerprint.group_documents(table(spark, sf_dir, "documents"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

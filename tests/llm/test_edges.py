@@ -26,7 +26,7 @@ def operators(labels):
         1: lambda d: bpe.encode_documents(d),
         2: lambda d: bpe.token_counts(d),
         3: lambda d: pii.find_in_documents(d),
-        4: lambda d: fingerprint.fingerprint_documents(d),
+        4: lambda d: fingerprint.group_documents(d),
         5: lambda d: quality_rules.apply_rules(d, labels),
         7: lambda d: langid.identify_documents(d, langid.train(d)),
         8: lambda d: simhash.near_duplicates(d),

@@ -57,6 +57,46 @@ def test_difference_is_bounded_and_small_for_near_copies():
     assert 0 <= fingerprint.difference(a, c) - slow <= fingerprint.HEAD_LIMIT
 
 
+def test_digest_codes_and_head_by_definition():
+    rnd = random.Random(9)
+    data = bytes(rnd.randrange(97, 123) for _ in range(700))
+    counts = slow_counts(data)
+    q1, q2, q3 = (sorted(counts)[k] for k in (31, 63, 95))
+    codes = [sum(c > q for q in (q1, q2, q3)) for c in counts]
+    raw = bytes.fromhex(fingerprint.digest(data))
+    assert [raw[3 + i // 4] >> (6 - 2 * (i % 4)) & 3 for i in range(128)] == codes
+    assert raw[1] == int(math.log(700) / math.log(1.1)) & 255 and raw[2] == (q1 * 15 // q3) << 4 | q2 * 15 // q3
+    assert fingerprint.digest(b"a" * 5_000) is None and fingerprint.digest(b"ab" * 5_000) is None
+
+
+def test_links_are_all_pairs_within_the_score(spark, documents):
+    """The search against all pairs, the SQL's score against the plain one, for two thresholds."""
+    docs = spark.createDataFrame(documents)
+    classes = fingerprint._prints(docs, "doc_id", "text").where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in fingerprint._CODED]).cache()
+    held = classes.select("node", "digest").toPandas().sort_values("node", ignore_index=True)
+    rows = np.array([np.frombuffer(bytes.fromhex(d), np.uint8) for d in held.digest])
+    ids = held.node.tolist()
+    scores = {(ids[i], ids[j]): int(s) for i in range(len(ids)) for j, s in zip(range(i + 1, len(ids)), fingerprint.differences(np.repeat(rows[i : i + 1], len(ids) - i - 1, 0), rows[i + 1 :]))}
+    for link in (fingerprint.LINK, 25):
+        got = {(r["a"], r["b"]): r["difference"] for r in fingerprint.linked_digests(classes, link).collect()}
+        assert got == {p: s for p, s in scores.items() if s <= link} and got
+    a, b = (classes.where("node % 40 = 0").select(*[F.col(c).alias(f"{n}_{c}") for c in ("node", *fingerprint._CODED)]) for n in "ab")
+    for r in a.crossJoin(b).where("a_node < b_node").select("a_node", "b_node", F.expr(fingerprint.score_sql("a_", "b_")).alias("s")).collect():
+        assert r["s"] == scores[r["a_node"], r["b_node"]]
+
+
+def test_documents_by_class_and_group(spark):
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(900)]
+    a, near, other = " ".join(words), " ".join(words) + " too", " ".join(reversed([w[::-1] for w in words]))
+    rows = [(5, a), (3, a), (9, near), (7, other), (7, other), (8, "short"), (2, None), (4, ""), (None, a), (6, "x" * 9_000)]
+    docs = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, digest string")
+    got = sorted(((r["doc_id"], r["class_id"], r["n_links"], r["group_id"]) for r in fingerprint.group_documents(docs).collect()), key=str)
+    assert fingerprint.difference(*(fingerprint.digest(t.encode()) for t in (a, near))) <= fingerprint.LINK
+    assert got == sorted([(5, 3, 1, 3), (3, 3, 1, 3), (9, 9, 1, 3), (7, 7, 0, 7), (7, 7, 0, 7), (8, 8, 0, 8), (2, 2, 0, 2), (4, 4, 0, 4), (6, 6, 0, 6), (None, None, 0, None)], key=str)
+    assert fingerprint.group_documents(docs.limit(0)).collect() == []
+
+
 # ---- 5: rules
 
 
