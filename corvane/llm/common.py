@@ -56,6 +56,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes what was written under a path of :func:`scratch_path`."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, quoted, so that odd or clashing names elsewhere don't matter."""
     return df.select(*[df[f"`{n}`"] for n in names])

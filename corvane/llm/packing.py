@@ -29,7 +29,8 @@ from corvane.llm.common import checkpointed
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: What a bin costs besides its length, in tokens (the step's fixed part).
 OVERHEAD = 32
-SALTS = 64
+#: A length's items are ranked in cells of about so many, each in one task; a hot length has many cells.
+CELL_ROWS = 1_000_000
 
 
 def cost(capacity: int, overhead: int = OVERHEAD) -> int:
@@ -112,30 +113,38 @@ def plan(counts: dict[int, int], capacities: Sequence[int] = CAPACITIES, overhea
     return np.array(runs, np.int64).reshape(-1, 6), np.array(sorted(ranges), np.int64).reshape(-1, 4)
 
 
-def pack_lengths(items: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead: int = OVERHEAD) -> DataFrame:
+def pack_lengths(items: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead: int = OVERHEAD, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Packs ``items`` ``(id, length)`` and returns ``(id, piece, n_pieces, length, bin, capacity, offset)``.
 
     ``piece`` counts from 0 within a row of ``items``.  Rows with a null or non-positive length
     hold nothing and have one row with null bin.  Repeated rows are packed as often as they
-    occur.  Bins are numbered from 0; ``capacity`` is the downsized one.
+    occur.  Bins are numbered from 0; ``capacity`` is the downsized one.  A third column of ``items``,
+    their token ids as little-endian int32, is cut along and comes as ``token_ids``.
     """
     capacities = sorted(capacities)
     top = capacities[-1]
-    id_col = items.columns[0]
+    id_col, *more = [c for c in items.columns if c != "length"]
     n_pieces = F.greatest(F.lit(1), F.ceil(F.col("length") / top)).cast("int")
-    pieces = items.select(F.col(f"`{id_col}`"), F.coalesce(F.greatest(F.col("length"), F.lit(0)), F.lit(0)).cast("long").alias("length"))
-    pieces = pieces.select(f"`{id_col}`", F.col("length").alias("total"), n_pieces.alias("n_pieces"), F.explode(F.sequence(F.lit(0), n_pieces - 1)).alias("piece"))
-    pieces = pieces.select(f"`{id_col}`", "piece", "n_pieces", F.least(F.lit(top), F.col("total") - F.col("piece").cast("long") * top).cast("int").alias("length"), F.pmod(F.xxhash64(f"`{id_col}`", "piece"), F.lit(SALTS)).cast("int").alias("salt"))
+    pieces = items.select(F.col(f"`{id_col}`"), F.coalesce(F.greatest(F.col("length"), F.lit(0)), F.lit(0)).cast("long").alias("length"), *[F.col(f"`{c}`").alias("tokens") for c in more])
+    held_along = ["tokens"] if more else []
+    pieces = pieces.select(f"`{id_col}`", F.col("length").alias("total"), n_pieces.alias("n_pieces"), *held_along, F.explode(F.sequence(F.lit(0), n_pieces - 1)).alias("piece"))
+    cut = [F.substring(F.col("tokens"), F.col("piece") * top * 4 + 1, F.lit(top * 4)).alias("tokens") for _ in held_along]
+    pieces = pieces.select(f"`{id_col}`", "piece", "n_pieces", F.least(F.lit(top), F.col("total") - F.col("piece").cast("long") * top).cast("int").alias("length"), *cut)
     pieces = checkpointed(pieces)
-    cells = pieces.where("length > 0").groupBy("length", "salt").agg(F.count("*").alias("n"))
-    # At most SALTS rows for each length up to the largest: bounded by the parameters, not by the corpus.
+    some = pieces.where("length > 0")
+    # At most one row for each length up to the largest, and one more for so many items: all that the driver sees of the corpus.
+    sizes = some.groupBy("length").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / cell_rows).cast("int"))
+    sizes = checkpointed(sizes)
+    salted = pieces.join(F.broadcast(sizes.where("salts > 1").select("length", "salts")), "length", "left")
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64(f"`{id_col}`", "piece"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    cells = salted.where("length > 0").groupBy("length", "salt").agg(F.count("*").alias("n"))
     held = cells.toPandas().sort_values(["length", "salt"], ignore_index=True)
     held["first"] = held.groupby("length")["n"].cumsum() - held["n"]
     runs, ranges = plan({int(k): int(v) for k, v in held.groupby("length")["n"].sum().items()}, capacities, overhead)
     order = np.lexsort((runs[:, 1], runs[:, 0]))
-    tables = (held["length"].to_numpy(np.int64) * SALTS + held["salt"].to_numpy(np.int64), held["first"].to_numpy(np.int64), runs[order], ranges)
+    tables = (held["length"].to_numpy(np.int64) << 32 | held["salt"].to_numpy(np.int64), held["first"].to_numpy(np.int64), runs[order], ranges)
     sent = items.sparkSession.sparkContext.broadcast(tables)
-    in_order = pieces.repartition("length", "salt").sortWithinPartitions("length", "salt", f"`{id_col}`", "piece")
+    in_order = salted.repartition("length", "salt").sortWithinPartitions("length", "salt", f"`{id_col}`", "piece")
     names = [id_col, "piece", "n_pieces", "length", "bin", "capacity", "offset"]
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,7 +152,7 @@ def pack_lengths(items: DataFrame, capacities: Sequence[int] = CAPACITIES, overh
         cell, seen = None, 0  # the cell that the last batch ended in, and its rows so far
         for b in batches:
             length, salt = b["length"].to_numpy(np.int64), b["salt"].to_numpy(np.int64)
-            key = length * SALTS + salt
+            key = length << 32 | salt
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, int)
             within = np.arange(len(key)) - np.repeat(start, np.diff(np.r_[start, len(key)]))
             if len(key):
@@ -163,13 +172,24 @@ def pack_lengths(items: DataFrame, capacities: Sequence[int] = CAPACITIES, overh
             out = b[[id_col, "piece", "n_pieces", "length"]].copy()
             for n, v in (("bin", bin_), ("capacity", capacity), ("offset", offset)):
                 out[n] = pd.Series(v, index=out.index, dtype="Int64").mask(v < 0)
-            yield out[names]
+            if more:
+                out["token_ids"] = [np.frombuffer(t or b"", "<i4") for t in b["tokens"]]
+            yield out
 
     kind = items.schema[id_col].dataType.simpleString()
-    return in_order.mapInPandas(assign, f"`{id_col}` {kind}, piece int, n_pieces int, length int, bin long, capacity long, offset long")
+    ids = ", token_ids array<int>" if more else ""
+    return in_order.mapInPandas(assign, f"`{id_col}` {kind}, piece int, n_pieces int, length int, bin long, capacity long, offset long{ids}")
 
 
-def pack_documents(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead: int = OVERHEAD, vocabulary: str = bpe.DEFAULT_VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """:func:`pack_lengths` of the documents' token counts; null and empty texts hold nothing."""
-    items = docs.select(docs[f"`{id_col}`"].alias(id_col), bpe.count_column(docs, text_col, vocabulary).alias("length"))
+def pack_documents(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead: int = OVERHEAD, vocabulary: str = bpe.DEFAULT_VOCABULARY, id_col: str = "doc_id", text_col: str = "text", tokens: bool = False) -> DataFrame:
+    """:func:`pack_lengths` of the documents' token counts; null and empty texts hold nothing.
+
+    With ``tokens`` each piece carries its ``token_ids``, so that a bin's pieces by offset are a
+    training sequence; pieces without tokens have an empty list.
+    """
+    if tokens:
+        held = docs.select(docs[f"`{id_col}`"].alias(id_col), bpe.tokens_column(docs, text_col, vocabulary).alias("tokens"))
+        items = held.select(f"`{id_col}`", (F.octet_length("tokens") / 4).cast("int").alias("length"), "tokens")
+    else:
+        items = docs.select(docs[f"`{id_col}`"].alias(id_col), bpe.count_column(docs, text_col, vocabulary).alias("length"))
     return pack_lengths(items, capacities, overhead)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm.features import feature_columns
-from corvane.llm import fingerprint, langid, packing, quality_classifier, quality_rules, simhash, toxicity
+from corvane.llm import bpe, fingerprint, langid, packing, quality_classifier, quality_rules, simhash, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -192,6 +192,35 @@ def test_packed_rows_fill_bins_without_overlap(spark):
     assert (out["bin"].isna() == (out["length"] == 0)).all()
 
 
+def test_cells_do_not_change_the_packing(spark):
+    """A hot length in many cells gives the same bins of lengths; each document has its own place."""
+    rows = [(i, 5 if i % 3 else 1 + i % 60) for i in range(900)] + [(2000, None)]
+    items = spark.createDataFrame(rows, "doc_id long, length int")
+    bins = []
+    for cell_rows in (1_000_000, 50):
+        out = packing.pack_lengths(items, (16, 32, 64), cell_rows=cell_rows).toPandas()
+        assert sorted(out.doc_id) == sorted(i for i, _ in rows)
+        held = out[out.bin.notna()]
+        assert not held.duplicated(["bin", "offset"]).any()
+        bins.append(Counter(tuple(sorted(b.length)) for _, b in held.groupby("bin")))
+    assert bins[0] == bins[1]
+
+
+def test_packed_tokens_are_the_documents(spark, documents):
+    """Pieces in order give each text's tokens; a bin's pieces fill it from its start without gaps."""
+    docs = spark.createDataFrame(documents.head(120))
+    out = packing.pack_documents(docs, (64, 256), tokens=True).toPandas()
+    codec = bpe.Codec.of(bpe.read_vocabulary())
+    for i, b in out.sort_values("piece").groupby("doc_id"):
+        text = documents.text[documents.doc_id == i].iloc[0]
+        assert [t for x in b.token_ids for t in x] == codec.encode(text).tolist()
+    assert (out.token_ids.str.len() == out.length).all()
+    for _, b in out[out.bin.notna()].sort_values("offset").groupby("bin"):
+        assert b.offset.tolist() == [0, *b.length.cumsum().tolist()[:-1]]
+    plain = packing.pack_documents(docs, (64, 256)).toPandas()
+    assert set(map(tuple, plain.to_numpy().tolist())) == set(map(tuple, out[plain.columns].to_numpy().tolist()))
+
+
 # ---- 7: language
 
 
