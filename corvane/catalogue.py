@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import chunking
 from corvane.functions import text as tx
-from corvane.operators import analyzers, graph, incremental, keyword, metadata, ranking, vector
+from corvane.functions.embedding import embed_column
+from corvane.operators import analyzers, graph, incremental, keyword, metadata, ranking, sequences, vector
 from corvane.plans import search
 from corvane.sources.markdown import table
 from corvane.streaming import usage as streams
@@ -135,21 +136,21 @@ def bm25_stemmed(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", tx.stemmed(keyword.tokens(F.col("text"))).alias("toks"))
     each = docs.select("doc_id", F.explode("toks").alias("term"))
     posted = each.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(tx.stemmed(keyword.tokens(F.col("text"))), 1, 3)).alias("term"))
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(tx.stemmed(keyword.tokens(F.col("text")))).alias("term"))
     return keyword.bm25_from_postings(posted, docs.select("doc_id", F.size("toks").alias("dl")), queries)
 
 
 @query(f"""WITH d AS (SELECT doc_id, {_TOK} AS toks FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM d) GROUP BY ALL), l AS (SELECT doc_id, len(toks) AS dl FROM d),
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-w AS (SELECT DISTINCT item_id AS query_id, unnest(list_slice({_TOK}, 1, 3)) AS term FROM benchmark), need AS (SELECT query_id, count(*) AS need FROM w GROUP BY 1),
+w AS (SELECT DISTINCT item_id AS query_id, unnest({_TOK}) AS term FROM benchmark), need AS (SELECT query_id, count(*) AS need FROM w GROUP BY 1),
 s AS (SELECT query_id, p.doc_id, round(sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score, count(*) AS have FROM p JOIN w USING (term) JOIN df USING (term) JOIN l ON l.doc_id = p.doc_id, st GROUP BY 1, 2)
 SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s JOIN need USING (query_id) WHERE have = need QUALIFY rank <= 10""")
 def bm25_batch(spark, sf_dir):
-    """RT9 for all benchmark items at once: their first three words."""
+    """RT9 for all benchmark items at once, each with all of its words."""
     docs = table(spark, sf_dir, "documents")
     toks = docs.select("doc_id", keyword.tokens(F.col("text")).alias("toks"))
     posted = toks.select("doc_id", F.explode("toks").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(keyword.tokens(F.col("text")), 1, 3)).alias("term"))
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(keyword.tokens(F.col("text"))).alias("term"))
     return keyword.bm25_from_postings(posted, toks.select("doc_id", F.size("toks").alias("dl")), queries)
 
 
@@ -168,35 +169,38 @@ def hybrid_rrf_search(spark, sf_dir):
     return ranking.reciprocal_rank_fusion(lists).where("rank <= 10")
 
 
-_LISTS = """l AS (SELECT 0 AS list_no, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank, doc_id, 0.5::DOUBLE AS similarity FROM documents QUALIFY rank <= {n}
-UNION ALL SELECT 1, row_number() OVER (ORDER BY doc_id) AS rank, doc_id, 0.7::DOUBLE FROM labels QUALIFY rank <= {n}
-UNION ALL SELECT 2, row_number() OVER (ORDER BY vec_id DESC) AS rank, vec_id, 0.6::DOUBLE FROM embeddings QUALIFY rank <= {n})"""
+_LISTS = """l AS (SELECT 0 AS list_no, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank, doc_id, 0.5::DOUBLE AS similarity FROM documents
+UNION ALL SELECT 1, row_number() OVER (ORDER BY doc_id) AS rank, doc_id, 0.7::DOUBLE FROM labels
+UNION ALL SELECT 2, row_number() OVER (ORDER BY vec_id DESC) AS rank, vec_id, 0.6::DOUBLE FROM embeddings),
+t AS (SELECT * FROM l WHERE (SELECT count(*) FROM l) <= 1000 OR rank <= 333)"""
 _RRF = "SELECT doc_id, round(s, 4) AS rrf_score, CAST(row_number() OVER (ORDER BY round(s, 12) DESC, seen, doc_id) AS INTEGER) AS rank FROM (SELECT doc_id, sum(1 / (60.0::DOUBLE + rank)) AS s, min(list_no * 100000 + rank) AS seen FROM {t} GROUP BY doc_id)"
 
 
-def _three_lists(spark, sf_dir, n):
-    a = ranking.ranked(table(spark, sf_dir, "documents"), F.desc("n_chars"), "doc_id", top=n).select(F.lit(0).alias("list_no"), "rank", "doc_id", F.lit(0.5).alias("similarity"))
-    b = ranking.ranked(table(spark, sf_dir, "labels"), "doc_id", top=n).select(F.lit(1).alias("list_no"), "rank", "doc_id", F.lit(0.7).alias("similarity"))
-    c = ranking.ranked(table(spark, sf_dir, "embeddings"), F.desc("vec_id"), top=n).select(F.lit(2).alias("list_no"), "rank", F.col("vec_id").alias("doc_id"), F.lit(0.6).alias("similarity"))
+def _three_lists(spark, sf_dir):
+    """Three whole tables as ranked lists; of each list only ranks that may count are worked out (TK12)."""
+    top = ranking.MAX_TOTAL + 1
+    a = ranking.ranked(table(spark, sf_dir, "documents"), F.desc("n_chars"), "doc_id", top=top).select(F.lit(0).alias("list_no"), "rank", "doc_id", F.lit(0.5).alias("similarity"))
+    b = ranking.ranked(table(spark, sf_dir, "labels"), "doc_id", top=top).select(F.lit(1).alias("list_no"), "rank", "doc_id", F.lit(0.7).alias("similarity"))
+    c = ranking.ranked(table(spark, sf_dir, "embeddings"), F.desc("vec_id"), top=top).select(F.lit(2).alias("list_no"), "rank", F.col("vec_id").alias("doc_id"), F.lit(0.6).alias("similarity"))
     return a.unionByName(b).unionByName(c)
 
 
-@query("WITH " + _LISTS.format(n=100) + " " + _RRF.format(t="l"))
+@query("WITH " + _LISTS + " " + _RRF.format(t="t"))
 def rrf_fuse_three_lists(spark, sf_dir):
-    """RT5/AG10/TK5."""
-    return ranking.reciprocal_rank_fusion(_three_lists(spark, sf_dir, 100))
+    """RT5/AG10/TK5, and TK12's cut."""
+    return ranking.reciprocal_rank_fusion(_three_lists(spark, sf_dir))
 
 
-@query("WITH " + _LISTS.format(n=390) + ", t AS (SELECT * FROM l WHERE (SELECT count(*) FROM l) <= 1000 OR rank <= 333) " + _RRF.format(t="t"))
+@query("WITH " + _LISTS + " SELECT list_no, CAST(rank AS INTEGER) AS rank, doc_id FROM t")
 def rrf_truncated(spark, sf_dir):
     """TK12."""
-    return ranking.reciprocal_rank_fusion(_three_lists(spark, sf_dir, 390))
+    return ranking.truncated(_three_lists(spark, sf_dir)).select("list_no", "rank", "doc_id")
 
 
-@query("WITH " + _LISTS.format(n=100) + " SELECT doc_id, max(similarity) AS similarity FROM l GROUP BY doc_id")
+@query("WITH " + _LISTS + " SELECT doc_id, max(similarity) AS similarity FROM t GROUP BY doc_id")
 def rrf_version_pick(spark, sf_dir):
     """AG11: the most similar version of each item."""
-    return ranking.reciprocal_rank_fusion(_three_lists(spark, sf_dir, 100), similarity="similarity").select("doc_id", "similarity")
+    return ranking.reciprocal_rank_fusion(_three_lists(spark, sf_dir), similarity="similarity").select("doc_id", "similarity")
 
 
 @query("SELECT page_id, url FROM (SELECT *, row_number() OVER (PARTITION BY regexp_extract(url, '[^/]*$') ORDER BY page_id) AS nth FROM pages) WHERE nth = 1")
@@ -210,7 +214,7 @@ def file_dedupe(spark, sf_dir):
 def exact_match_promotion(spark, sf_dir):
     """TK11/RT13."""
     part = table(spark, sf_dir, "part").withColumn("rank", F.col("p_partkey"))
-    return ranking.promoted(part, F.col("p_name"), "part-7", score="p_retailprice").select("p_partkey", "p_name", "rank")
+    return ranking.promoted(part, F.col("p_name"), "part-7", score="p_retailprice", many=True).select("p_partkey", "p_name", "rank")
 
 
 @query("""SELECT doc_id, source FROM (SELECT doc_id, CASE WHEN lang = 'en' THEN 'keyword' WHEN lang = 'fr' THEN 'graph' ELSE 'metadata' END AS source FROM documents)
@@ -254,7 +258,7 @@ def query_variants_full(spark, sf_dir):
 
 def _documents(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("filename"), F.substring("text", 1, 60).alias("title"), F.col("lang").alias("category"), F.col("source").alias("project"), F.col("n_chars").alias("updated_at"))
+    return d.select(F.col("doc_id").alias("filename"), F.col("lang").alias("category"), F.col("source").alias("project"), F.col("n_chars").alias("updated_at"))
 
 
 def _tags(spark, sf_dir):
@@ -271,11 +275,19 @@ def metadata_filter_query(spark, sf_dir):
     return metadata.filter_documents(_documents(spark, sf_dir), _tags(spark, sf_dir), any_tag=["Good", "toxic"], category="en", project="src3").select("filename", "category", "project")
 
 
-@query("SELECT doc_id AS filename, left(text, 60) AS title FROM documents WHERE contains(lower(left(text, 60)), 'then') OR contains(lower(CAST(doc_id AS VARCHAR)), 'then') OR contains(lower(left(text, 60)), 'ther') ORDER BY n_chars DESC, doc_id LIMIT 40")
+_TITLED = "p AS (SELECT url AS filename, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, page_id FROM pages)"
+
+
+def _pages(spark, sf_dir):
+    """Pages as documents with titles."""
+    p = table(spark, sf_dir, "pages")
+    return p.select(F.col("url").alias("filename"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.col("page_id").alias("updated_at"), "page_id", "html")
+
+
+@query(f"WITH {_TITLED} SELECT filename, title FROM p WHERE contains(lower(title), 'then') OR contains(lower(filename), 'then') OR contains(lower(title), 'ther') OR contains(lower(filename), 'ther') ORDER BY page_id DESC, filename LIMIT 40")
 def title_search(spark, sf_dir):
-    """FLT3/FLT4."""
-    d = _documents(spark, sf_dir).withColumn("filename", F.col("filename").cast("string"))
-    return metadata.title_search(d, "of then ther", 40).select(F.col("filename").cast("long").alias("filename"), "title")
+    """FLT3/FLT4 over the pages' titles and addresses."""
+    return metadata.title_search(_pages(spark, sf_dir), "of then ther", 40).select("filename", "title")
 
 
 @query(f"WITH {_TAGS} SELECT doc_id AS filename, lang AS category FROM documents WHERE doc_id IN (SELECT filename FROM tg WHERE tag = 'toxic')")
@@ -356,7 +368,7 @@ def usage_summary(spark, sf_dir):
 @query("SELECT event_type AS action, count(*) AS n, count(DISTINCT user_id) AS documents FROM events GROUP BY 1")
 def usage_by_action(spark, sf_dir):
     """AG6."""
-    return _usage(spark, sf_dir).groupBy("action").agg(F.count("*").alias("n"), F.count_distinct("filename").alias("documents"))
+    return metadata.usage_by_action(_usage(spark, sf_dir))
 
 
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -368,20 +380,19 @@ def usage_by_day_window(spark, sf_dir):
 @query("SELECT DISTINCT source FROM documents ORDER BY source LIMIT 50")
 def list_sources(spark, sf_dir):
     """AG9."""
-    return table(spark, sf_dir, "documents").select("source").distinct().orderBy("source").limit(50)
+    return metadata.distinct_values(table(spark, sf_dir, "documents"), "source")
 
 
 @query("SELECT source, count(*) AS n, count(DISTINCT lang) AS langs FROM documents GROUP BY source")
 def source_breakdown(spark, sf_dir):
     """AG8."""
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("lang").alias("langs"))
+    return metadata.breakdown(table(spark, sf_dir, "documents"), "source", "lang", "langs")
 
 
 @query("SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, count(*) AS n FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1")
 def json_extract_counts(spark, sf_dir):
     """FLT8/AG8."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, sf_dir, "events").where(k.isNotNull()).groupBy(k.alias("k")).agg(F.count("*").alias("n"))
+    return metadata.json_counts(table(spark, sf_dir, "events"), "props", "$.k", "int", "k")
 
 
 # ---- graph ---------------------------------------------------------------------------------
@@ -468,11 +479,11 @@ def merge_duplicate_nodes(spark, sf_dir):
     return kept.select("id", F.lower(F.trim("title")).alias("name")).join(moved.select(F.col("target_id").alias("id")).distinct(), "id").join(n, "name").select("id", "name", "merged")
 
 
-@query("SELECT 's' || s_suppkey AS id FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50)")
+@query("SELECT 'c' || c_custkey AS id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def orphan_prune(spark, sf_dir):
-    """SNK10."""
-    nodes = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.lit("entity").alias("type"))
-    edges = table(spark, sf_dir, "lineitem").where("l_quantity >= 50").select(F.concat(F.lit("o"), "l_orderkey").alias("source_id"), F.concat(F.lit("s"), "l_suppkey").alias("target_id"))
+    """SNK10: customers without orders go."""
+    nodes = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.lit("entity").alias("type"))
+    edges = table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("source_id"), F.concat(F.lit("c"), "o_custkey").alias("target_id"))
     return graph.prune_orphans(nodes, edges).select("id")
 
 
@@ -513,12 +524,21 @@ def centrality_importance(spark, sf_dir):
 
 # ---- analyzers -----------------------------------------------------------------------------
 
-@query("""WITH o AS (SELECT o_orderkey AS id, o_orderdate AS ts FROM orders WHERE o_custkey % 1 = 0 AND o_totalprice > 300000)
-SELECT a.id AS a, b.id AS b, CAST(floor((epoch(b.ts) - epoch(a.ts)) / 86400) AS INTEGER) AS days FROM o a JOIN o b ON (a.ts < b.ts OR (a.ts = b.ts AND a.id < b.id)) AND epoch(b.ts) - epoch(a.ts) < 3 * 86400""".replace("o_custkey % 1 = 0 AND ", ""))
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderdate AS ts, epoch(o_orderdate) AS s FROM orders)
+SELECT a.id AS a, b.id AS b, CAST(floor((b.s - a.s) / 86400) AS INTEGER) AS days FROM o a JOIN o b ON b.s >= a.s AND b.s < a.s + 8 * 86400 WHERE a.ts < b.ts OR a.id < b.id""")
 def temporal_edges(spark, sf_dir):
-    """JN7/JN8/AN3, without caps: large orders at most two days apart."""
-    o = table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("ts"))
-    return analyzers.within_days(o, window=2)
+    """JN7/AN3, without caps: all orders at most seven days apart."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("ts"))
+    return analyzers.within_days(o)
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderstatus AS st, o_orderdate AS ts, epoch(o_orderdate) AS s FROM orders),
+p AS (SELECT x.id AS x, y.id AS y, x.ts AS xt, y.ts AS yt, x.s AS xs, y.s AS ys FROM o x JOIN o y ON y.s < x.s + 2 * 86400 AND y.s > x.s - 2 * 86400 WHERE x.st = 'P' AND x.id <> y.id)
+SELECT DISTINCT CASE WHEN xt < yt OR (xt = yt AND x < y) THEN x ELSE y END AS a, CASE WHEN xt < yt OR (xt = yt AND x < y) THEN y ELSE x END AS b, CAST(floor(abs(ys - xs) / 86400) AS INTEGER) AS days FROM p""")
+def temporal_edges_of_changed(spark, sf_dir):
+    """JN8: pairs of an order in progress with any other at most a day apart, as an increment needs them."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("ts"), "o_orderstatus")
+    return analyzers.within_days(o.where("o_orderstatus = 'P'").drop("o_orderstatus"), o.drop("o_orderstatus"), window=1)
 
 
 @query("""WITH w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word FROM documents),
@@ -594,9 +614,7 @@ a AS (SELECT vec_id, label, round(list_dot_product(v, lag(v) OVER (PARTITION BY
 
 
 def _adjacent(spark, sf_dir):
-    w = Window.partitionBy("label").orderBy("vec_id")
-    e = table(spark, sf_dir, "embeddings").withColumn("prev", F.lag("embedding").over(w))
-    return e.select("vec_id", "label", F.round(vector.dot(F.col("embedding"), F.col("prev")), 6).alias("similarity"))
+    return sequences.adjacent_similarity(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), "label", "vec_id")
 
 
 @query(f"WITH {_ADJ} SELECT * FROM a WHERE similarity IS NOT NULL")
@@ -608,22 +626,20 @@ def adjacent_similarity(spark, sf_dir):
 @query(f"WITH {_ADJ} SELECT label, round(quantile_cont(similarity, 0.25), 6) AS cut, round(avg(similarity), 6) AS mean, round(stddev_pop(similarity), 6) AS sd FROM a GROUP BY label")
 def boundary_percentile(spark, sf_dir):
     """CH7/AG15."""
-    a = _adjacent(spark, sf_dir)
-    return a.groupBy("label").agg(F.round(F.percentile("similarity", F.lit(0.25)), 6).alias("cut"), F.round(F.avg("similarity"), 6).alias("mean"), F.round(F.stddev_pop("similarity"), 6).alias("sd"))
+    return sequences.cut_statistics(_adjacent(spark, sf_dir), "label")
 
 
 @query(f"WITH {_ADJ} SELECT vec_id, label, CAST(sum(CASE WHEN similarity < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY vec_id) AS BIGINT) AS chunk FROM a")
 def gaps_islands_chunks(spark, sf_dir):
     """WN8."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return _adjacent(spark, sf_dir).select("vec_id", "label", F.sum(F.when(F.col("similarity") < 0, 1).otherwise(0)).over(w).alias("chunk"))
+    return sequences.islands(_adjacent(spark, sf_dir), "label", "vec_id", F.col("similarity") < 0).select("vec_id", "label", "chunk")
 
 
 @query("SELECT conv_id, turn, role, coalesce(last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn), -1) AS parent, coalesce(lead(turn) OVER (PARTITION BY conv_id ORDER BY turn), -1) AS next FROM conversations")
 def parent_and_next(spark, sf_dir):
     """WN6/WN7: the running parent of each turn, and where it ends."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce(F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(-1)).alias("parent"), F.coalesce(F.lead("turn").over(w), F.lit(-1)).alias("next"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return sequences.next_value(sequences.running_last(turns, "conv_id", "turn", F.col("role") == "user", "turn"), "conv_id", "turn", "turn")
 
 
 # ---- maintenance ---------------------------------------------------------------------------
@@ -682,12 +698,43 @@ def relational_pricing(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
 
 
+def _page_stores(spark, sf_dir):
+    """The pages as an indexed corpus: whole texts as chunks, titles as documents, their languages as the graph's topics."""
+    p = _pages(spark, sf_dir).withColumn("file", F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".md")))
+    text = F.regexp_replace(F.regexp_replace("html", "(?s)<(script|style)[^>]*>.*?</\\1>", " "), "<[^>]*>", " ")
+    chunks = p.select(F.col("page_id").cast("string").alias("doc_id"), text.alias("content"), F.col("file").alias("file_path"), embed_column(text).alias("embedding"))
+    note = F.concat(F.lit("note_"), F.col("page_id").cast("string"))
+    lang = F.regexp_extract("filename", "^https?://[^/]*/([a-z]+)/", 1)
+    notes = p.select(note.alias("id"), F.lit("note").alias("type"), "title", F.col("file").alias("source_file"))
+    topics = p.select(F.concat(F.lit("topic_"), lang).alias("id"), F.lit("topic").alias("type"), F.concat(F.lit("Pages in "), lang).alias("title")).distinct()
+    edges = p.select(F.concat(F.lit("e"), F.col("page_id").cast("string")).alias("id"), note.alias("source_id"), F.concat(F.lit("topic_"), lang).alias("target_id"), F.lit("discusses").alias("type"), F.lit(0.7).alias("weight"), F.lit(0.6).alias("confidence"))
+    return search.Stores(chunks, notes.unionByName(topics, allowMissingColumns=True), edges, p.select(F.col("file").alias("filename"), "title", "updated_at"))
+
+
 @query()
 def unified_search(spark, sf_dir):
-    """RT3/RT11-RT13/JN15/JN16: the composed search over documents, their embeddings made here."""
-    from corvane.functions.embedding import embed_column
+    """RT3/RT11-RT13/JN12/JN15/JN16/WN4: the composed search over all layers of the pages, their embeddings made here."""
+    return search.unified(_page_stores(spark, sf_dir), "then ther", threshold=0.0).select("doc_id", "rrf_score", "rank", "source", "mode", F.array_join("related", "; ").alias("related"))
 
-    d = table(spark, sf_dir, "documents")
-    chunks = d.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("content"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file_path"), embed_column(F.col("text")).alias("embedding"))
-    docs = d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"), F.substring("text", 1, 60).alias("title"), F.col("n_chars").alias("updated_at"))
-    return search.unified(search.Stores(chunks, documents=docs), "then ther", threshold=0.0).select("doc_id", "rrf_score", "rank", "source")
+
+@query()
+def vector_search_page(spark, sf_dir):
+    """RT3: variants, fusion, one chunk a file, reranking and blending over the pages' vectors."""
+    return search.vector_search(_page_stores(spark, sf_dir), "thble42 ther", threshold=0.0).select("doc_id", "file_path", "similarity", "rrf_score", "rerank", "score", "rank")
+
+
+@query()
+def bm25_columns(spark, sf_dir):
+    """RT9/SNK13: stemmed and folded words and a phrase, over three columns, from postings with places."""
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("text").alias("content"), F.concat(F.lit("docs/"), "source", F.lit("/"), "lang", F.lit(".md")).alias("file_path"))
+    return keyword.bm25_indexed(keyword.postings(chunks), chunks, "Docs of-the EN").select("doc_id", "score")
+
+
+@query("""WITH d AS (SELECT doc_id, lower(text) AS t FROM documents)
+SELECT 'title' AS kind, a.item_id AS part, b.page_id AS whole FROM (SELECT item_id, lower(regexp_extract(text, '^\\S+', 0)) AS w FROM benchmark) a JOIN (SELECT page_id, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS t FROM pages) b ON contains(b.t, a.w)""")
+def title_containment(spark, sf_dir):
+    """JN11: which pages' titles hold the first word of which items, met by pieces of three characters."""
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.regexp_extract("text", r"^\S+", 0)).alias("part"))
+    titles = _pages(spark, sf_dir).select("page_id", F.lower("title").alias("whole"))
+    met = analyzers.contained(words.select("part").distinct(), titles.select("whole").distinct())
+    return met.join(words, "part").join(titles, "whole").select(F.lit("title").alias("kind"), F.col("item_id").alias("part"), F.col("page_id").alias("whole"))

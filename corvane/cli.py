@@ -17,14 +17,10 @@ from corvane.session import session
 from corvane.sources.snapshots import Snapshots
 
 
-def stores(store: Snapshots) -> search.Stores:
-    return search.Stores(*(store.read(t) for t in ("chunks", "nodes", "edges", "documents", "document_tags")))
-
-
 def health(store: Snapshots) -> dict:
     """Rows of each table, and edges whose ends are missing (there should be none)."""
     rows = {r["part"]: r["n"] for r in incremental.health(**{t: store.read(t) for t in store.tables()}).collect()}
-    return {"version": store.version, "rows": rows, "dangling_edges": graph.integrity(store.read("nodes"), store.read("edges")).count()}
+    return {"version": store.version, "rows": rows, "consistent": incremental.consistency(store.read("chunks")).first()["consistent"], "dangling_edges": graph.integrity(store.read("nodes"), store.read("edges")).count()}
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> list[dict] | dict:
@@ -33,13 +29,13 @@ def run(spark: SparkSession, args: argparse.Namespace) -> list[dict] | dict:
     if args.command in ("index", "reindex"):
         return indexing.index_folder(spark, args.folder, store, args.source, args.chunker, force=args.command == "reindex")
     if args.command == "search":
-        found = search.unified(stores(store), args.query, args.limit, args.threshold).orderBy("rank")
+        found = search.unified(search.Stores.of(store), args.query, args.limit, args.threshold).orderBy("rank")
         return [r.asDict(recursive=True) for r in found.collect()]
     if args.command == "query":
-        held = stores(store)
+        held = search.Stores.of(store)
         if args.recent:
             return [r.asDict() for r in metadata.latest(held.documents, args.limit).collect()]
-        return [r.asDict() for r in search.query_documents(held, any_tag=args.tag, limit=args.limit).collect()]
+        return [r.asDict() for r in search.query_documents(held, any_tag=args.tag, category=args.category, status=args.status, project=args.project, created_after=args.after, created_before=args.before, limit=args.limit).collect()]
     if args.command == "status":
         return {"version": store.version, "tables": store.tables()}
     return health(store)
@@ -62,6 +58,8 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--limit", type=int, default=5)
         if name == "query":
             c.add_argument("--tag", action="append")
+            for name in ("category", "status", "project", "after", "before"):
+                c.add_argument(f"--{name}")
             c.add_argument("--recent", action="store_true")
     return p
 

@@ -93,11 +93,12 @@ def context_header(path: str, front: dict, h1: str | None = None) -> str:
     return "\n".join([*lines, "---"])
 
 
-def by_headers(content: str | None, path: str = "") -> list[Chunk]:
+def by_headers(content: str | None, path: str = "", strict: bool = False) -> list[Chunk]:
     """CH1: a chunk for each second- or third-level header; short and headerless files are one.
 
     Text before the first header isn't emitted.  A chunk begins with the file's context, its
-    title and, below the second level, the header it stands under.
+    title and, below the second level, the header it stands under.  ``strict`` cuts a section
+    off after 4,000 characters, and loses the rest; else a section is whole, however long.
     """
     if not content or not content.strip():
         return []
@@ -120,7 +121,7 @@ def by_headers(content: str | None, path: str = "") -> list[Chunk]:
         text = "\n\n".join((["\n".join(lead)] if lead else []) + [body[h.start() : end].strip()])
         if len(text.strip()) < SMALL_SECTION:
             continue
-        if len(text) > LARGEST:
+        if strict and len(text) > LARGEST:
             text = text[: LARGEST - 3] + "..."
         out.append(Chunk(f"{context}\n{text}".strip(), path, name, above if deep else title, digest(text.strip()), front))
     return out
@@ -215,7 +216,7 @@ def hybrid(content: str | None, path: str = "", embed: Callable | None = hashed,
 
     Very large headerless texts are packed by size.  Without an embedder, headers only.
     """
-    chunks = by_headers(content, path)
+    chunks = by_headers(content, path, strict)
     if embed is None:
         return chunks
     out: list[Chunk] = []
@@ -256,7 +257,7 @@ def semantic(content: str | None, path: str = "", embed: Callable = hashed, meth
     title = m.group(1).strip() if m else None
     parts = _semantic_parts(body, embed, method, threshold, least, most, strict)
     if not parts:
-        return by_headers(content, path)
+        return by_headers(content, path, strict)
     context = context_header(path, front, title)
     out = []
     for i, p in enumerate(parts, 1):

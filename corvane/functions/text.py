@@ -91,14 +91,15 @@ _QUESTION = re.compile(r"(?:what (?:is|are)|how (?:to|do|does)|why (?:is|are|doe
 
 
 def register_acronyms(more: dict[str, str]) -> None:
-    """UX7: further acronyms, known from the next call on."""
+    """UX7: further acronyms, known from the next call on, also in the frames that are made from then on."""
     ACRONYMS.update({k.lower(): v.lower() for k, v in more.items()})
 
 
-def all_query_variants(query: str | None) -> list[str]:
+def all_query_variants(query: str | None, acronyms: dict[str, str] | None = None) -> list[str]:
     """RT4b: RT4's spellings, and underscores, dots, first and last word pairs, acronyms both ways, questions as statements; at most 12."""
     if not query or not query.strip():
         return []
+    acronyms = ACRONYMS if acronyms is None else acronyms
     q, low = query, query.lower()
     found: dict[str, None] = {q: None}
 
@@ -120,12 +121,12 @@ def all_query_variants(query: str | None) -> list[str]:
         for pair in (words[:2], words[-2:]):
             add(" ".join(pair), " ".join(pair).lower())
     whole = low.strip()
-    back = {v: k for k, v in ACRONYMS.items()}
-    if whole in ACRONYMS or whole in back:
-        add(ACRONYMS.get(whole) or back[whole])
+    back = {v: k for k, v in acronyms.items()}
+    if whole in acronyms or whole in back:
+        add(acronyms.get(whole) or back[whole])
     for w in low.split():
-        if w in ACRONYMS:
-            add(low.replace(w, ACRONYMS[w]))
+        if w in acronyms:
+            add(low.replace(w, acronyms[w]))
     if m := _QUESTION.match(whole):
         rest = q[m.end() :].strip().rstrip("?")
         if rest:
@@ -134,11 +135,12 @@ def all_query_variants(query: str | None) -> list[str]:
 
 
 def variants_frame(queries: DataFrame, key: str, query: str) -> DataFrame:
-    """RT4b over a frame: ``(key, n, variant)``."""
+    """RT4b over a frame: ``(key, n, variant)``; the acronyms known now go with it to the workers."""
+    acronyms = dict(ACRONYMS)
 
     @F.pandas_udf("array<string>")
     def expand(q: pd.Series) -> pd.Series:
-        return q.map(all_query_variants)
+        return q.map(lambda x: all_query_variants(x, acronyms))
 
     return queries.select(key, F.posexplode(expand(F.col(query))).alias("n", "variant"))
 

@@ -6,8 +6,6 @@ edges, one hop a step, with lineage cut by checkpoints; no node set has to fit o
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections import deque
 from collections.abc import Iterator
 
@@ -15,19 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.session import checkpointed
+
 #: An adjacency list of at most so many edges is broadcast for betweenness.
 MAX_BROADCAST_EDGES = 5_000_000
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` in the shared folder of ``spark.checkpoint.dir``, its lineage cut; a local one only where none is set."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        at = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "corvane-checkpoint")
-        spark.sparkContext.setCheckpointDir(at)
-    return df.checkpoint(eager=True)
-
-
 def undirected(edges: DataFrame, *cols: str) -> DataFrame:
     """``(u, v, cols...)`` in both directions; self-loops once."""
     a = edges.select(F.col("source_id").alias("u"), F.col("target_id").alias("v"), *cols)
@@ -202,10 +193,11 @@ def weak_edges_removed(edges: DataFrame, least: float = 0.3) -> DataFrame:
 def prune_greedy(edges: DataFrame, least: float = 0.3, cap: int = 50) -> DataFrame:
     """GR9 exactly: by falling weight, an edge stays iff both its ends have fewer than ``cap`` kept edges.
 
-    The order makes this sequential, so it runs in one task over ids and weights only; meant
+    The order makes this sequential, so it runs in one task over ids and weights only (what makes
+    the edges stays parallel); meant
     for graphs whose edge list one executor can stream.  :func:`prune_ranked` scales.
     """
-    cols = edges.select("id", "source_id", "target_id", "weight").where(F.col("weight") >= least).coalesce(1).sortWithinPartitions(F.desc("weight"), "id")
+    cols = edges.select("id", "source_id", "target_id", "weight").where(F.col("weight") >= least).repartition(1).sortWithinPartitions(F.desc("weight"), "id")
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: dict = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import content_hash
 from corvane.operators import graph
+from corvane.session import checkpointed
 
 
 def changes(now: DataFrame, known: DataFrame, key: str = "path") -> DataFrame:
@@ -30,7 +32,7 @@ def provenance(files: DataFrame, nodes: DataFrame, edges: DataFrame, source_name
     """SNK16: a row for each file with its hash and how many nodes and edges it gave."""
     n = nodes.groupBy(F.col("source_file").alias("path")).agg(F.count("*").alias("node_count"))
     e = edges.groupBy(F.col("source_file").alias("path")).agg(F.count("*").alias("edge_count"))
-    out = with_hash(files).join(n, "path", "left").join(e, "path", "left")
+    out = (files if "hash" in files.columns else with_hash(files)).join(n, "path", "left").join(e, "path", "left")
     return out.select("path", F.lit(source_name).alias("source_name"), F.col("modified").alias("last_modified"), F.col("hash").alias("content_hash"), F.coalesce("node_count", F.lit(0)).alias("node_count"), F.coalesce("edge_count", F.lit(0)).alias("edge_count"))
 
 
@@ -46,18 +48,18 @@ def update(files: DataFrame, nodes: DataFrame, edges: DataFrame, known: DataFram
     Rows of changed, deleted and dependent files are dropped, ``build`` makes those of changed
     and dependent files anew, both are joined by id.  The caller commits the frames at once.
     """
-    found = graph.checkpointed(changes(with_hash(files), known))
+    found = checkpointed(changes(with_hash(files), known))
     touched = found.where("status <> 'unchanged'").select("path")
     touched = touched.unionByName(dependents(nodes, edges, found.where("status IN ('deleted', 'modified')").select("path"))).distinct()
-    touched = graph.checkpointed(touched)
+    touched = checkpointed(touched)
     mine = touched.select(F.col("path").alias("source_file"))
     kept_nodes, kept_edges = nodes.join(mine, "source_file", "left_anti").select(*nodes.columns), edges.join(mine, "source_file", "left_anti").select(*edges.columns)
-    new_nodes, new_edges = (graph.checkpointed(x) for x in build(files.join(touched, "path", "left_semi")))
+    new_nodes, new_edges = (checkpointed(x) for x in build(files.join(touched, "path", "left_semi")))
     all_nodes = kept_nodes.join(new_nodes.select("id"), "id", "left_anti").unionByName(new_nodes, allowMissingColumns=True).select(*nodes.columns)
     all_edges = kept_edges.join(new_edges.select("id"), "id", "left_anti").unionByName(new_edges, allowMissingColumns=True).select(*edges.columns)
     for end in ("source_id", "target_id"):
         all_edges = all_edges.join(all_nodes.select(F.col("id").alias(end)), end, "left_semi").select(*edges.columns)
-    all_edges = graph.checkpointed(all_edges)
+    all_edges = checkpointed(all_edges)
     return graph.prune_orphans(all_nodes, all_edges), all_edges, found
 
 
@@ -66,6 +68,41 @@ def fill_abstracts(chunks: DataFrame, generate, column: str = "l0_abstract", con
     return chunks.withColumn(column, F.coalesce(F.col(column), generate(F.col(content))))
 
 
+def consistency(chunks: DataFrame, dimensions: int | None = None, vector: str = "embedding") -> DataFrame:
+    """AG16/RT15: one row: chunks, vectors, the least and greatest number of dimensions, and whether all agree."""
+    n = F.size(vector)
+    out = chunks.agg(F.count("*").alias("chunks"), F.count(vector).alias("vectors"), F.min(n).alias("least"), F.max(n).alias("greatest"))
+    fine = (F.col("chunks") == F.col("vectors")) & ((F.col("chunks") == 0) | (F.col("least") == F.col("greatest")))
+    if dimensions is not None:
+        fine = fine & ((F.col("chunks") == 0) | (F.col("greatest") == dimensions))
+    return out.withColumn("consistent", fine)
+
+
+class Consistency:
+    """RT15: :func:`consistency` of a store, worked out again after ``ttl`` seconds, after a commit, or on demand."""
+
+    def __init__(self, store, dimensions: int | None = None, ttl: float = 600.0, clock: Callable[[], float] = time.monotonic):
+        self.store, self.dimensions, self.ttl, self.clock = store, dimensions, ttl, clock
+        self._held: tuple[int, float, dict] | None = None
+
+    def check(self, force: bool = False) -> dict:
+        version, now = self.store.version, self.clock()
+        if force or self._held is None or self._held[0] != version or now - self._held[1] >= self.ttl:
+            found = consistency(self.store.read("chunks"), self.dimensions).first().asDict() if "chunks" in self.store.tables() else {"consistent": True}
+            self._held = (version, now, found)
+        return self._held[2]
+
+    def invalidate(self) -> None:
+        self._held = None
+
+    def status(self) -> dict:
+        """What is held, and how old it is; nothing is worked out."""
+        if self._held is None:
+            return {"cached": False, "consistent": None, "age_seconds": None, "ttl_seconds": self.ttl, "expired": True}
+        age = self.clock() - self._held[1]
+        return {"cached": True, "consistent": self._held[2]["consistent"], "age_seconds": round(age, 1), "ttl_seconds": self.ttl, "expired": age >= self.ttl}
+
+
 def health(**tables: DataFrame) -> DataFrame:
     """AG16: ``(part, n)``: the rows of each store, one aggregation each."""
     out = None

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import unicodedata
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.text import porter
+from corvane.session import spread
+
 K1, B = 1.2, 0.75
+#: The distinct terms of a batch of queries are broadcast up to this number.
+MAX_BROADCAST_TERMS = 1_000_000
+_TOKEN = re.compile(r"[^\W_]+")
 #: Characters that a query word loses.
 STRIPPED = "\"'\\(){}[]*^:~@#$%&|<>!"
 
@@ -17,21 +28,97 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, term, tf, positions)`` of each document and term."""
-    each = docs.select(key, F.posexplode(tokens(F.col(text))).alias("pos", "term"))
-    return each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+def folded(text: str | None) -> str:
+    """Small letters without diacritics."""
+    low = (text or "").lower()
+    if low.isascii():
+        return low
+    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", low) if not unicodedata.combining(c)))
+
+
+def terms(text: str | None) -> list[str]:
+    """A text's tokens as the index holds them: folded runs of letters and digits, stemmed."""
+    return [stem(t) for t in _TOKEN.findall(folded(text))]
+
+
+@functools.lru_cache(maxsize=200_000)
+def stem(token: str) -> str:
+    return porter(token)
+
+
+#: The columns that a search looks through; a phrase doesn't go on from one to the next.
+SEARCHED = ("doc_id", "content", "file_path")
+
+
+def postings(chunks: DataFrame, key: str = "doc_id", columns: tuple[str, ...] = SEARCHED) -> DataFrame:
+    """``(key, term, tf, positions, dl)`` of each chunk and term, over all ``columns`` together.
+
+    Terms are folded Porter stems; ``dl`` is the chunk's number of tokens.  A chunk's postings are
+    made where the chunk is, so nothing is shuffled.  A chunk without tokens has none.
+    """
+    names = [key, "term", "tf", "positions", "dl"]
+    kind = chunks.schema[key].dataType.simpleString()
+    rows = chunks.select(F.col(key).alias("__key"), *[F.col(c).cast("string").alias(f"__{i}") for i, c in enumerate(columns)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                row, term, places, length = [], [], [], []
+                for i, texts in enumerate(zip(*(c.to_pylist() for c in part.columns[1:]))):
+                    held: dict[str, list[int]] = {}
+                    at = n = 0
+                    for text in texts:
+                        for t in terms(text):
+                            held.setdefault(t, []).append(at)
+                            at += 1
+                            n += 1
+                        at += 1  # so that no phrase crosses columns
+                    row += [i] * len(held)
+                    term += held
+                    places += held.values()
+                    length += [n] * len(held)
+                out = [part.column(0).take(pa.array(row, pa.int64())), pa.array(term, pa.string()), pa.array([len(p) for p in places], pa.int32()), pa.array(places, pa.list_(pa.int32())), pa.array(length, pa.int32())]
+                yield pa.RecordBatch.from_arrays(out, names=names)
+
+    return spread(rows).mapInArrow(run, f"`{key}` {kind}, term string, tf int, positions array<int>, dl int")
+
+
+def search_terms(query: str) -> list[list[str]]:
+    """A query's words as the index holds them, each as the terms of a phrase."""
+    return [[t for w in phrase for t in terms(w)] for phrase in query_words(query)]
+
+
+def bm25_indexed(posted: DataFrame, chunks: DataFrame, query: str, key: str = "doc_id") -> DataFrame:
+    """RT9 over :func:`postings`: ``(key, score)`` of the chunks that hold every word (or phrase) of a query.
+
+    Only the postings of the query's terms are read (the table is sorted by term), and the corpus's
+    number of chunks and of tokens, which come as one row.
+    """
+    words = [w for w in search_terms(query) if w]
+    wanted = sorted({t for w in words for t in w})
+    hits = posted.where(F.col("term").isin(wanted))
+    held = hits.groupBy(key).agg(F.max("dl").alias("dl"), *[F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"p{i}") for i, t in enumerate(wanted)])
+    places = {t: F.coalesce(F.col(f"p{i}"), F.array().cast("array<int>")) for i, t in enumerate(wanted)}
+
+    def count(phrase: list[str]) -> Column:
+        if len(phrase) == 1:
+            return F.size(places[phrase[0]])
+        return F.size(F.filter(places[phrase[0]], lambda p: reduce(lambda a, b: a & b, [F.array_contains(places[t], p + F.lit(i)) for i, t in enumerate(phrase) if i])))
+
+    counted = held.select(key, "dl", *[count(w).alias(f"tf{i}") for i, w in enumerate(words)])
+    corpus = chunks.agg(F.count("*").alias("n")).crossJoin(posted.agg(F.sum("tf").alias("tokens"))).select("n", (F.col("tokens") / F.col("n")).alias("avgdl"))
+    seen = counted.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
+    return _scored(counted, corpus.crossJoin(seen), len(words), key)
 
 
 def document_frequency(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(term, df, cf)``: in how many documents a term occurs, and how often."""
-    return docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").count().groupBy("term").agg(F.count("*").alias("df"), F.sum("count").alias("cf"))
+    return spread(docs.select(key, text)).select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").count().groupBy("term").agg(F.count("*").alias("df"), F.sum("count").alias("cf"))
 
 
 def query_words(query: str) -> list[list[str]]:
     """A query's words, each as the tokens of a phrase: characters that search syntax uses go, and hyphens at the edges."""
-    import re
-
     out = []
     for w in query.split():
         w = "".join(c for c in w if c not in STRIPPED).strip("-")
@@ -41,31 +128,44 @@ def query_words(query: str) -> list[list[str]]:
     return out
 
 
-def _phrase_count(toks: Column, phrase: list[str]) -> Column:
-    """How often the tokens of a phrase follow each other."""
-    if len(phrase) == 1:
-        return F.size(F.filter(toks, lambda t: t == phrase[0]))
-    same = lambda i: reduce(lambda a, b: a & b, [F.coalesce(F.get(toks, i + k) == w, F.lit(False)) for k, w in enumerate(phrase)])
-    places = F.when(F.size(toks) >= len(phrase), F.sequence(F.lit(0), F.size(toks) - len(phrase))).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(places, same))
+_EDGE_BEFORE, _EDGE_AFTER, _GAP = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])", r"[^\p{L}\p{N}]+"
+
+
+def _phrase_count(lowered: Column, phrase: list[str]) -> Column:
+    """How often the tokens of a phrase follow each other in a text in small letters.
+
+    Counted by a pattern, so that no array of tokens is made, and only where the words occur at all;
+    only the first word is consumed, so overlapping occurrences all count.
+    """
+    words = [re.escape(w) for w in phrase]
+    rest = "".join(f"{_GAP}{w}" for w in words[1:])
+    pattern = f"{_EDGE_BEFORE}{words[0]}(?={rest}{_EDGE_AFTER})"
+    there = reduce(lambda a, b: a & b, [F.contains(lowered, F.lit(w)) for w in phrase])
+    return F.when(there, F.regexp_count(lowered, F.lit(pattern))).otherwise(0)
 
 
 def bm25(docs: DataFrame, words: list[list[str]], key: str = "doc_id", text: str = "text") -> DataFrame:
     """RT9: ``(key, score)`` of the documents that hold every word (or phrase); larger is better.
 
-    One pass tokenises and counts; document counts and the mean length come as a single row
-    that is joined back, so no posting is shuffled.
+    One pass counts, one more scores; document counts and the mean length come as a single row
+    that is joined back, so no posting is shuffled.  Null texts count as empty ones.
     """
-    toks = docs.select(key, tokens(F.col(text)).alias("toks"))
-    counted = toks.select(key, F.size("toks").alias("dl"), *[_phrase_count(F.col("toks"), w).alias(f"tf{i}") for i, w in enumerate(words)])
+    rows = spread(docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("t")))
+    low = F.lower("t")
+    counted = rows.select(key, F.regexp_count("t", F.lit(r"[\p{L}\p{N}]+")).alias("dl"), *[_phrase_count(low, w).alias(f"tf{i}") for i, w in enumerate(words)])
     totals = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
+    return _scored(counted, totals, len(words), key)
+
+
+def _scored(counted: DataFrame, totals: DataFrame, words: int, key: str) -> DataFrame:
+    """Scores from ``(key, dl, tf0, ...)`` and one row ``(n, avgdl, df0, ...)``."""
     score = F.lit(0.0)
-    for i in range(len(words)):
+    for i in range(words):
         idf = F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
         idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
         tf = F.col(f"tf{i}")
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    every = reduce(lambda a, b: a & b, [F.col(f"tf{i}") > 0 for i in range(len(words))], F.lit(bool(words)))
+    every = reduce(lambda a, b: a & b, [F.col(f"tf{i}") > 0 for i in range(words)], F.lit(bool(words)))
     return counted.where(every).crossJoin(F.broadcast(totals)).select(key, F.round(score, 6).alias("score"))
 
 
@@ -74,10 +174,9 @@ def bm25_from_postings(posted: DataFrame, lengths: DataFrame, queries: DataFrame
 
     ``queries`` has ``(query_id, term)``; a document has to hold all of a query's distinct terms.
     """
-    from pyspark.sql import Window
-
     wanted = queries.select("query_id", "term").distinct()
     need = wanted.groupBy("query_id").agg(F.count("*").alias("need"))
+    posted = posted.join(F.broadcast(wanted.select("term").distinct()) if wanted.count() <= MAX_BROADCAST_TERMS else wanted.select("term").distinct(), "term", "left_semi")
     df = posted.groupBy("term").agg(F.count("*").alias("df"))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -91,6 +91,27 @@ def trend_summary(usage: DataFrame, days: int, now: Column, actions: tuple[str,
     return _since(usage, days, now).agg(F.count("*").alias("total"), *[F.count_if(F.col("action") == a).alias(a) for a in actions], F.round(F.count("*") / F.lit(days), 2).alias("per_day"))
 
 
+def usage_by_action(usage: DataFrame, key: str = "filename") -> DataFrame:
+    """AG6: events by action, and how many documents they touch."""
+    return usage.groupBy("action").agg(F.count("*").alias("n"), F.count_distinct(F.col(key)).alias("documents"))
+
+
+def distinct_values(docs: DataFrame, column: str, limit: int = 50) -> DataFrame:
+    """AG9: a column's values in order, the first so many."""
+    return docs.select(column).distinct().orderBy(column).limit(limit)
+
+
+def breakdown(docs: DataFrame, by: str, of: str, name: str) -> DataFrame:
+    """AG8: rows of each value of ``by``, and how many values of ``of`` they have."""
+    return docs.groupBy(by).agg(F.count("*").alias("n"), F.count_distinct(F.col(of)).alias(name))
+
+
+def json_counts(rows: DataFrame, column: str, path: str, kind: str, name: str) -> DataFrame:
+    """FLT8/AG8: rows by the value at a path of a JSON column; those without it don't count."""
+    value = F.get_json_object(column, path).cast(kind)
+    return rows.where(value.isNotNull()).groupBy(value.alias(name)).agg(F.count("*").alias("n"))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str | list[str] = "filename") -> DataFrame:
     """SNK1/SNK3: rows of ``new`` replace those of the same key; of rows in ``new`` that share a key one stays."""
     keys = [key] if isinstance(key, str) else key
@@ -113,6 +134,16 @@ def log_usage(usage: DataFrame, events: DataFrame, docs: DataFrame, key: str = "
     return usage.unionByName(events.join(docs.select(key), key, "left_semi"), allowMissingColumns=True)
 
 
+def cross_references(refs: DataFrame, kind: str = "wiki_link", key: str = "filename") -> DataFrame:
+    """SNK6: ``(key, ref_type, ref_target)``, each once and none to nothing."""
+    return refs.where(F.length(F.trim("ref_target")) > 0).select(key, F.lit(kind).alias("ref_type"), "ref_target").distinct()
+
+
+def add_cross_refs(held: DataFrame, refs: DataFrame, docs: DataFrame, kind: str = "references", key: str = "filename") -> DataFrame:
+    """SNK6: the table with references of documents that exist; those it has already stay once."""
+    return held.unionByName(cross_references(refs, kind, key).join(docs.select(key), key, "left_semi")).distinct()
+
+
 def remove_documents(names: DataFrame, docs: DataFrame, *children: DataFrame, key: str = "filename") -> tuple[DataFrame, ...]:
     """SNK2/SNK7: documents and their rows in all child tables (tags without documents go with them)."""
     gone = names.select(key).distinct()

@@ -5,21 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.session import checkpointed
+
 MAX_TOTAL = 1000
 
 
 def ranked(df: DataFrame, *order: Column | str, by: str | list[str] | None = None, top: int | None = None) -> DataFrame:
-    """WN1/WN2: ``rank`` from 1, within ``by`` if given, and only the first ``top``."""
+    """WN1/WN2: ``rank`` from 1, within ``by`` if given, and only the first ``top``.
+
+    Without ``by`` and ``top`` this is one task's work, for lists of a bounded size; :func:`numbered`
+    ranks any number of rows.
+    """
+    if not by and top is not None:
+        df = df.orderBy(*order).limit(top)
     w = Window.partitionBy(*([by] if isinstance(by, str) else by or [F.lit(0)])).orderBy(*order)
     out = df.withColumn("rank", F.row_number().over(w))
     return out if top is None else out.where(F.col("rank") <= top)
 
 
+def numbered(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
+    """Rows with their place from 1 in a total order, at any size: sorted by ranges, each range counted, then shifted.
+
+    The sorted rows are checkpointed, so that counts and places come from the same ranges.
+    """
+    placed = checkpointed(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))  # a row for each range
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = placed.withColumn("__part", part).join(F.broadcast(counts.select("__part", before.alias("__before"))), "__part")
+    return joined.withColumn(name, (F.col("__before") + (F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))) + 1).cast("int" if name == "rank" else "long")).drop("__at", "__part", "__before")
+
+
 def truncated(lists: DataFrame) -> DataFrame:
-    """TK12: where all lists together have over 1,000 rows, each is cut to its equal share."""
-    totals = lists.agg(F.count("*").alias("__n"), F.count_distinct("list_no").alias("__lists"))
-    cut = F.floor(F.lit(MAX_TOTAL) / F.greatest(F.lit(1), F.col("__lists")))
-    return lists.crossJoin(F.broadcast(totals)).where((F.col("__n") <= MAX_TOTAL) | (F.col("rank") <= cut)).drop("__n", "__lists")
+    """TK12: where all lists together have over 1,000 rows, each is cut to its equal share.
+
+    Rows beyond a list's first 1,001 can't stay and prove the excess, so only the rows up to there
+    are counted, in the same pass; a list is bounded then, whatever its length.
+    """
+    w = Window.partitionBy(F.lit(0))
+    some = lists.where(F.col("rank") <= MAX_TOTAL + 1).withColumns({"__n": F.count("*").over(w), "__lists": F.size(F.collect_set("list_no").over(w))})
+    return some.where((F.col("__n") <= MAX_TOTAL) | (F.col("rank") <= F.floor(F.lit(MAX_TOTAL) / F.col("__lists")))).drop("__n", "__lists")
 
 
 def reciprocal_rank_fusion(lists: DataFrame, k: int = 60, key: str = "doc_id", similarity: str | None = None, payload: list[str] | None = None) -> DataFrame:
@@ -82,13 +107,18 @@ def filename_match(stem: Column, query: str) -> Column:
     return F.when(s == q, 3).when(F.contains(s, F.lit(q)) | F.contains(F.lit(q), s), 2).when(F.arrays_overlap(F.split(s, r"\s+"), F.array(*[F.lit(w) for w in q.split() or [""]])), 1).otherwise(0)
 
 
-def promoted(results: DataFrame, stem: Column, query: str, order: str = "rank", score: str = "rrf_score") -> DataFrame:
-    """TK11: for queries of up to three words, results whose stem matches well move to the front."""
+def promoted(results: DataFrame, stem: Column, query: str, order: str = "rank", score: str = "rrf_score", many: bool = False) -> DataFrame:
+    """TK11: for queries of up to three words, results whose stem matches well move to the front.
+
+    A search's results are few and ranked in one task; with ``many`` they may be any number (:func:`numbered`).
+    """
     if len(query.split()) > 3:
         return results
     m = filename_match(stem, query)
-    w = Window.orderBy(F.desc(m >= 2), F.desc(F.when(m >= 2, m)), F.desc(F.when(m >= 2, F.col(score))), order)
-    return results.withColumn("__new", F.row_number().over(w)).drop(order).withColumnRenamed("__new", order)
+    by = (F.desc("__good"), F.desc(F.when(F.col("__good"), F.col("__match"))), F.desc(F.when(F.col("__good"), F.col(score))), F.col(order))
+    marked = results.withColumn("__match", m).withColumn("__good", F.col("__match") >= 2)
+    out = numbered(marked, *by, name="__new") if many else marked.withColumn("__new", F.row_number().over(Window.orderBy(*by)))
+    return out.drop(order, "__match", "__good").withColumn(order, F.col("__new").cast("int")).drop("__new")
 
 
 def confirmed(candidates: DataFrame, vector_hits: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:

@@ -6,12 +6,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.embedding import hashed
 from corvane.functions.text import all_query_variants
 from corvane.operators import graph, keyword, metadata, ranking, vector
+from corvane.session import checkpointed
+from corvane.sources.snapshots import Snapshots
 
 MAX_LIMIT, MAX_QUERY = 100, 1000
 
@@ -25,6 +27,12 @@ class Stores:
     edges: DataFrame | None = None
     documents: DataFrame | None = None
     tags: DataFrame | None = None
+    postings: DataFrame | None = None  # keyword.postings of the chunks; made for the query where they aren't stored
+
+    @classmethod
+    def of(cls, store: Snapshots) -> Stores:
+        """What an indexed store holds."""
+        return cls(*(store.read(t) for t in ("chunks", "nodes", "edges", "documents", "document_tags", "postings")))
 
 
 def simple_variants(query: str) -> list[str]:
@@ -39,6 +47,11 @@ def simple_variants(query: str) -> list[str]:
     return list(dict.fromkeys(forms)) if query.strip() else []
 
 
+def lexical(query: str, content: Column) -> Column:
+    """The default reranker."""
+    return ranking.lexical_rerank(query.split(), content)
+
+
 def _check(query: str, limit: int, threshold: float) -> None:
     if not query or not query.strip() or len(query) > MAX_QUERY:
         raise ValueError(f"a query has 1 to {MAX_QUERY} characters")
@@ -46,11 +59,13 @@ def _check(query: str, limit: int, threshold: float) -> None:
         raise ValueError(f"limits are 1 to {MAX_LIMIT}, thresholds 0 to 1")
 
 
-def vector_search(stores: Stores, query: str, limit: int = 5, threshold: float = 0.3, embed: Callable[[list[str]], np.ndarray] = hashed, rerank_limit: int | None = 5, expand: str = "simple") -> DataFrame:
+def vector_search(stores: Stores, query: str, limit: int = 5, threshold: float = 0.3, embed: Callable[[list[str]], np.ndarray] = hashed, rerank_limit: int | None = 5, expand: str = "simple", reranker: Callable[[str, Column], Column] | None = lexical) -> DataFrame:
     """RT3: ``(doc_id, file_path, content, similarity, rrf_score, rerank, score, rank)``.
 
     All variants are searched in one batch, fused by rank, cut to one chunk a file, reranked
-    (``rerank_limit`` keeps so many, as the reference does) and blended.
+    (``rerank_limit`` keeps so many) and blended.  ``reranker`` makes a column of probabilities from
+    the query and the content (UX2), for instance a Pandas UDF over a cross-encoder; with none,
+    the score is the fused one and ``rerank`` is null.
     """
     _check(query, limit, threshold)
     forms = [query] if len(query) < 3 else all_query_variants(query) if expand == "full" else simple_variants(query)
@@ -60,7 +75,10 @@ def vector_search(stores: Stores, query: str, limit: int = 5, threshold: float =
     fused = ranking.reciprocal_rank_fusion(hits, similarity="similarity")
     full = fused.join(stores.chunks.select("doc_id", "file_path", "content"), "doc_id")
     once = ranking.dedupe_by_file(full)
-    scored = once.withColumn("rerank", ranking.lexical_rerank(query.split(), F.col("content")))
+    if reranker is None:
+        scored = once.withColumn("rerank", F.lit(None).cast("double")).withColumn("score", F.col("rrf_score")).drop("rank")
+        return ranking.ranked(scored, F.desc("score"), F.desc("similarity"), "doc_id", top=limit)
+    scored = once.withColumn("rerank", reranker(query, F.col("content")))
     if rerank_limit:
         scored = ranking.ranked(scored.withColumnRenamed("rank", "fused_rank"), F.desc("rerank"), "fused_rank", top=rerank_limit).drop("rank", "fused_rank")
     else:
@@ -88,8 +106,10 @@ def graph_candidates(stores: Stores, query: str, stop: tuple[str, ...] = ("the",
     return out.join(stores.nodes.select("id", "title", "source_file"), "id").groupBy("title").agg(F.max("score").alias("score"), F.min("source_file").alias("source_file"))
 
 
-def unified(stores: Stores, query: str, limit: int = 5, threshold: float = 0.3, enrich: bool = True, filters: dict | None = None, key: str = "name", embed: Callable = hashed) -> DataFrame:
-    """RT11: vector, keyword, metadata and graph lists fused; one lazy plan, its layers parallel stages.
+def unified(stores: Stores, query: str, limit: int = 5, threshold: float = 0.3, enrich: bool = True, filters: dict | None = None, key: str = "name", embed: Callable = hashed, reranker: Callable[[str, Column], Column] | None = lexical) -> DataFrame:
+    """RT11/FLT11: vector, keyword, metadata and graph lists fused, with the ``mode`` of the search: the layers that took part.
+
+    The layers are branches of one plan; only the graph's walk, which goes hop by hop, cuts its own with checkpoints.
 
     ``key="name"`` fuses vector hits under the file's base name and the others under their path, as
     the reference does; ``key="path"`` uses paths throughout.
@@ -97,11 +117,12 @@ def unified(stores: Stores, query: str, limit: int = 5, threshold: float = 0.3,
     _check(query, limit, threshold)
     each = 3 * limit
     name = (lambda c: ranking.basename(c)) if key == "name" else (lambda c: c)
-    near = vector_search(stores, query, min(each, MAX_LIMIT), threshold, embed).select(name(F.col("file_path")).alias("doc_id"), "rank", F.col("doc_id").alias("chunk"), "content")
+    near = vector_search(stores, query, min(each, MAX_LIMIT), threshold, embed, reranker=reranker).select(name(F.col("file_path")).alias("doc_id"), "rank", F.col("doc_id").alias("chunk"), "content")
+    near = checkpointed(near)  # a few rows, needed in three places
     lists = [near.select(F.lit(0).alias("list_no"), "rank", "doc_id", F.lit("vector").alias("source"))]
-    words = keyword.query_words(query)
-    if words:
-        hits = keyword.bm25(stores.chunks, words, "doc_id", "content").orderBy(F.desc("score"), "doc_id").limit(each)
+    if any(keyword.search_terms(query)):
+        posted = stores.postings if stores.postings is not None else keyword.postings(stores.chunks)
+        hits = keyword.bm25_indexed(posted, stores.chunks, query).orderBy(F.desc("score"), "doc_id").limit(each)
         hits = ranking.ranked(hits, F.desc("score"), "doc_id").join(stores.chunks.select("doc_id", "file_path"), "doc_id")
         lists.append(hits.select(F.lit(1).alias("list_no"), "rank", F.col("file_path").alias("doc_id"), F.lit("keyword").alias("source")))
     if stores.documents is not None:
@@ -110,13 +131,14 @@ def unified(stores: Stores, query: str, limit: int = 5, threshold: float = 0.3,
     if stores.nodes is not None:
         found = graph_candidates(stores, query).where("source_file IS NOT NULL")
         lists.append(ranking.ranked(found, F.desc("score"), "title").select(F.lit(3).alias("list_no"), "rank", F.col("source_file").alias("doc_id"), F.lit("graph").alias("source")))
+    names = ["vector", *(["keyword"] if any(keyword.search_terms(query)) else []), *(["metadata"] if stores.documents is not None else []), *(["graph"] if stores.nodes is not None else [])]
     union = lists[0]
     for other in lists[1:]:
         union = union.unionByName(other)
     fused = ranking.reciprocal_rank_fusion(union, payload=["source"])
     good = ranking.confirmed(fused, near)
     best = ranking.promoted(good, F.regexp_replace(ranking.basename(F.col("doc_id")), r"\.[^.]*$", ""), query)
-    top = best.orderBy("rank").limit(limit).join(near.dropDuplicates(["doc_id"]).select("doc_id", "chunk", "content"), "doc_id", "left")
+    top = best.orderBy("rank").limit(limit).join(near.dropDuplicates(["doc_id"]).select("doc_id", "chunk", "content"), "doc_id", "left").withColumn("mode", F.lit("+".join(names)))
     return with_related(stores, top) if enrich and stores.nodes is not None else top
 
 

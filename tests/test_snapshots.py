@@ -52,7 +52,7 @@ def test_index_search_and_incremental(spark, folder):
     assert top[0]["file_path"] == "a.md" and len({r["file_path"] for r in top}) == len(top)
     got = search.unified(stores, "search", 5, 0.0).orderBy("rank").collect()
     assert got and got[0]["rank"] == 1
-    assert search.query_documents(stores, any_tag=["ranking"]).select("filename", "tags").first().asDict() == {"filename": "sub/beta.md", "tags": ["project", "ranking"]}
+    assert search.query_documents(stores, any_tag=["ranking"]).select("filename", "tags").first().asDict() == {"filename": "sub/beta.md", "tags": ["project", "ranking", "x"]}
     for bad in ("", " ", "x" * 1001):
         with pytest.raises(ValueError):
             search.vector_search(stores, bad)

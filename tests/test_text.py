@@ -85,7 +85,11 @@ def test_headers():
     got = chunking.by_headers(text, "d/f.md")
     assert [(c.section, c.parent_header) for c in got] == [("A", "Title"), ("A1", "A"), ("B", "Title"), ("C", "Title")]
     assert "# Title\n## A\n\n### A1" in got[1].content and "lost" not in "".join(c.content for c in got)
-    assert got[3].content.endswith("...") and len(got[3].content.split("---\n", 1)[1]) == 4000
+    assert got[3].content.endswith("x" * 5000)
+    cut = chunking.by_headers(text, "d/f.md", strict=True)
+    assert cut[3].content.endswith("...") and len(cut[3].content.split("---\n", 1)[1]) == 4000
+    words = " ".join(f"Sentence number {i} ends here." for i in range(600))
+    assert "number 599 ends" in "".join(c.content for c in chunking.hybrid(f"# T\n## A\n{words}", "f.md"))
     assert [c.section for c in chunking.by_headers("## A\nsmall", "f.md")] == ["full_document"]
     assert [c.section for c in chunking.by_headers(filler, "f.md")] == ["no_headers"]
     assert chunking.by_headers(None) == chunking.by_headers("  ") == []
