@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import pick
+from corvane.session import spread
 
 #: The cutting pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -587,7 +588,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_c
 
     names = [id_col, "n_tokens", "token_ids", "round_trip"]
     kind = docs.schema[id_col].dataType.simpleString()
-    return pick(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens int, token_ids array<int>, round_trip boolean")
+    return spread(pick(docs, id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_tokens int, token_ids array<int>, round_trip boolean")
 
 
 def decode_tokens(df: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col: str = "doc_id", tokens_col: str = "token_ids") -> DataFrame:
@@ -605,7 +606,7 @@ def decode_tokens(df: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], names=[id_col, "text"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return pick(df, id_col, tokens_col).mapInArrow(run, f"`{id_col}` {kind}, text string")
+    return spread(pick(df, id_col, tokens_col)).mapInArrow(run, f"`{id_col}` {kind}, text string")
 
 
 def token_counts(docs: DataFrame, budgets: tuple[int, ...] = (512, 2048, 8192), vocabulary: str = DEFAULT_VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -644,7 +645,7 @@ def token_counts(docs: DataFrame, budgets: tuple[int, ...] = (512, 2048, 8192),
 
     kind = docs.schema[id_col].dataType.simpleString()
     keep = "".join(f", keep_{b} int" for b in budgets)
-    return pick(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens int, prefix_deltas binary{keep}")
+    return spread(pick(docs, id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_tokens int, prefix_deltas binary{keep}")
 
 
 def count_column(df: DataFrame, text: str = "text", vocabulary: str = DEFAULT_VOCABULARY):

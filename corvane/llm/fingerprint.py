@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import checkpointed, pick
 from corvane.llm.simhash import components
+from corvane.session import spread
 
 BUCKETS = 128
 #: A window's triplets: all pairs with its first byte but the farthest combinations, each with a salt.
@@ -148,7 +149,7 @@ def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if t is None else len(t) for t in texts], pa.int64()), pa.array(digests, pa.string()), *columns], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return pick(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, digest string, {', '.join(f'{c} long' for c in _CODED)}")
+    return spread(pick(docs, id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, digest string, {', '.join(f'{c} long' for c in _CODED)}")
 
 
 def score_sql(a: str, b: str) -> str:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import checkpointed, pick
+from corvane.session import spread
 
 #: At most so many labelled texts of each language are trained on, taken in the order of a hash, copies once.
 TEXTS_EACH = 400
@@ -237,4 +238,4 @@ def identify_documents(docs: DataFrame, net: Network | None, id_col: str = "doc_
                 found, sure = applier.identify(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.string()), pa.array(sure, pa.float64())], names=names)
 
-    return pick(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, language string, confidence double")
+    return spread(pick(docs, id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, language string, confidence double")

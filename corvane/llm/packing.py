@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import bpe
-from corvane.llm.common import checkpointed
+from corvane.llm.common import checkpointed, pick
+from corvane.session import spread
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: What a bin costs besides its length, in tokens (the step's fixed part).
@@ -187,6 +188,7 @@ def pack_documents(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, over
     With ``tokens`` each piece carries its ``token_ids``, so that a bin's pieces by offset are a
     training sequence; pieces without tokens have an empty list.
     """
+    docs = spread(pick(docs, id_col, text_col))
     if tokens:
         held = docs.select(docs[f"`{id_col}`"].alias(id_col), bpe.tokens_column(docs, text_col, vocabulary).alias("tokens"))
         items = held.select(f"`{id_col}`", (F.octet_length("tokens") / 4).cast("int").alias("length"), "tokens")

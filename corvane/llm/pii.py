@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import pick
+from corvane.session import spread
 
 _LOOK = dict(zip("аеорсухіјѕԁһԛԝьвнкмтАВЕКМНОРСТУХІЈЅοανικρτυχεΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhqwbBHKMTABEKMHOPCTYXIJSoavikptuxeABEZHIKMNOPTYX"))
 _LOOK |= {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
@@ -369,7 +370,7 @@ def find_in_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if f is None else len(f) for f in found], pa.int32()), pa.array(lists, pa.list_(_SPAN)), pa.array(clean, pa.string())], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return pick(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_found int, found array<struct<kind: string, start: int, end: int, source: string, plain: string>>, redacted string")
+    return spread(pick(docs, id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_found int, found array<struct<kind: string, start: int, end: int, source: string, plain: string>>, redacted string")
 
 
 def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
@@ -383,6 +384,7 @@ def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str |
     def cleaned(texts: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else redact(t, find(t)) for t in texts], dtype=object)
 
+    docs = spread(docs)
     out = docs.withColumn(text_col, cleaned(docs[f"`{text_col}`"]))
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.length(out[f"`{text_col}`"]).cast(docs.schema[length_col].dataType))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import checkpointed, fresh, pick
 from corvane.llm.features import NAMES, feature_columns
+from corvane.session import spread
 
 #: The classifier is fitted on so many labelled rows at most, taken in the order of a hash of their id.
 MAX_TRAINING_ROWS = 20_000
@@ -141,6 +142,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col:
     from.  With no labelled rows everything is kept; an empty table gives an empty result.
     """
     weights = fit(docs, labels, max_rows, id_col, text_col)
+    docs = spread(docs)
     host, path = _sites(docs, host_col, path_col, url_col)
     scored = checkpointed(docs.select(docs[f"`{id_col}`"].alias(id_col), host.alias("host"), path.alias("path"), evidence(docs[f"`{text_col}`"], weights).alias("evidence")))
     sites = checkpointed(site_posteriors(scored.withColumn("p", _probability(F.col("evidence")))).drop("n"))
@@ -162,6 +164,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col
     cheaper than to shuffle the texts.  Without labelled rows, and of an empty table, all rows stay.
     """
     weights = fit(docs, labels, MAX_TRAINING_ROWS, id_col, text_col)
+    docs = spread(docs)
     host, path = _sites(docs, host_col, path_col, url_col)
     scored = docs.select(host.alias("host"), path.alias("path"), _probability(evidence(docs[f"`{text_col}`"], weights)).alias("p"))
     sites = checkpointed(site_posteriors(scored))

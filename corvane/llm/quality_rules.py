@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import checkpointed, pick
 from corvane.llm.features import NAMES, feature_columns
+from corvane.session import spread
 
 #: Cutoffs that are tried, the same for each rule.
 GRID = tuple(round(k / 200, 3) for k in range(2, 201))
@@ -96,6 +97,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: f
     Null strata count as the empty name; null and empty texts break no rule; strata without
     labelled documents, and all of them without labels, reject nothing.  Repeated rows are kept.
     """
+    docs = spread(docs)
     features = checkpointed(
         docs.select(docs[f"`{id_col}`"].alias(id_col), F.coalesce(docs[f"`{stratum_col}`"].cast("string"), F.lit("")).alias("stratum"), F.md5(F.coalesce(docs[f"`{text_col}`"], F.lit(""))).alias("copy"), *[c.alias(n) for n, c in feature_columns(docs[f"`{text_col}`"]).items()])
     )

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import checkpointed, pick
+from corvane.session import spread
 
 #: Labelled texts that word families are taken from, and texts that the classifier is trained on, at most.
 MAX_LABELLED, MAX_TRAINING = 8_000, 8_000
@@ -332,6 +333,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     the rows that they stand for.  Of conflicting labels "toxic" counts.
     """
     spark, at = docs.sparkSession, F.col(f"`{id_col}`")
+    docs = spread(docs)
     texts = docs.where(docs[f"`{text_col}`"].isNotNull()).select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"), F.xxhash64(docs[f"`{text_col}`"]).alias("key"))
     marked = pick(labels, id_col, "toxic").where(at.isNotNull() & F.col("toxic").isNotNull()).groupBy(at.alias("id")).agg(F.max("toxic").alias("toxic"))
     marked = texts.join(F.broadcast(marked.orderBy(F.xxhash64("id"), "id").limit(max_labelled)), "id")
@@ -400,7 +402,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if x is None else round(x, 6) for x in p], pa.float64()), pa.array([None if x is None else x >= threshold for x in p], pa.bool_())], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return pick(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, toxic boolean")
+    return spread(pick(docs, id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, score double, toxic boolean")
 
 
 def keep_harmless(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -409,6 +411,7 @@ def keep_harmless(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     Of an empty table, or where no voter speaks (as without labels and insults), all rows stay.
     """
     sent = _sent(docs, train(docs, labels, id_col, text_col))
+    docs = spread(docs)
 
     @F.pandas_udf("boolean")
     def harmless(texts: pd.Series) -> pd.Series:
