@@ -17,6 +17,7 @@ from corvane.functions import text as tx
 from corvane.functions.embedding import embed_column
 from corvane.operators import analyzers, graph, incremental, keyword, metadata, ranking, sequences, vector
 from corvane.plans import search
+from corvane.session import spread
 from corvane.sources.markdown import table
 from corvane.streaming import usage as streams
 
@@ -90,10 +91,10 @@ def l2_normalise(spark, sf_dir):
 
 @query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) v0 FROM embeddings),
 u AS (SELECT vec_id, list_transform(v0, lambda x: x / sqrt(list_dot_product(v0, v0))) v FROM e)
-SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v), 6) AS similarity FROM u a JOIN u b ON a.vec_id < b.vec_id) WHERE similarity >= 0.7""")
+SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v), 6) AS similarity FROM u a JOIN u b ON a.vec_id < b.vec_id) WHERE similarity >= 0.3""")
 def semantic_edges(spark, sf_dir):
     """JN9/AN5, without caps."""
-    return vector.similar_pairs(table(spark, sf_dir, "embeddings"), 0.7)
+    return vector.similar_pairs(table(spark, sf_dir, "embeddings"), 0.3)
 
 
 # ---- keywords ------------------------------------------------------------------------------
@@ -584,14 +585,30 @@ def context_header(spark, sf_dir):
     return m.select("doc_id", tx.context_header(F.col("path"), F.col("lang"), F.array("lang", "source"), F.lit(None).cast("string"), F.lit(None).cast("string")).alias("header"))
 
 
-@query()
+def _entity_sql() -> str:
+    """Names by the patterns and links, once a document and in two documents at least, classed by the first pattern that fits."""
+    quoted = lambda p: p.replace("'", "''")
+    # RE2's word boundaries know ASCII only; a letter or digit beyond it counts as a word character that no pattern takes
+    words = "regexp_replace(text, '[^\\P{L}A-Za-z]|[^\\P{N}0-9]', '_', 'g')"
+    found = ", ".join(f"regexp_extract_all({words}, '{quoted(p)}')" for ps in analyzers.PATTERNS.values() for p in ps)
+    links = f"list_transform(regexp_extract_all(text, '{quoted(tx.LOOSE_WIKI)}', 1), lambda x: trim(string_split(x, '|')[1]))"
+    fits = lambda k: " OR ".join(f"regexp_matches(title, '^(?:{quoted(p)})')" for p in analyzers.PATTERNS[k])
+    kinds = " ".join(f"WHEN {fits(k)} THEN '{k}'" for k in ("person", "project", "technology"))
+    stop = ", ".join(f"'{w}'" for w in analyzers.STOPWORDS)
+    return f"""WITH e AS (SELECT doc_id, unnest(list_distinct(list_transform(flatten([{found}, {links}]), lambda x: trim(x)))) AS title FROM documents),
+n AS (SELECT title, count(*) AS frequency FROM e WHERE length(title) > 2 AND title NOT IN ({stop}) GROUP BY title HAVING count(*) >= 2)
+SELECT 'entity_' || left(md5(lower(title)), 8) AS id, title, CASE {kinds} ELSE 'concept' END AS entity_type, frequency FROM n"""
+
+
+@query(_entity_sql())
 def entity_extract(spark, sf_dir):
     """AN2/AG12."""
     notes = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"))
     return analyzers.entities(notes)[0].select("id", "title", "entity_type", "frequency")
 
 
-@query()
+@query("""WITH m AS (SELECT 'docs/' || source || '/d' || doc_id || '.md::chunk_0' AS doc_id, lang, source, '# ' || lang || chr(10) || chr(10) AS lead, '## ' || source || chr(10) || text || chr(10) || '#' || lang || ' #' || source || ' [[' || source || '|Home]] [[' || lang || ']]' AS body FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN length(lead || body) < 500 THEN 'full_document' ELSE source END AS section, CASE WHEN length(lead || body) < 500 THEN NULL ELSE lang END AS parent_header, left(md5(lead || body), 12) AS content_hash FROM m""")
 def header_chunks(spark, sf_dir):
     """CH1."""
     return chunking.chunk_files(_markdown(spark, sf_dir), "headers").select("doc_id", "section", "parent_header", "content_hash")
@@ -603,10 +620,19 @@ def hybrid_chunks(spark, sf_dir):
     return chunking.chunk_files(_markdown(spark, sf_dir), "hybrid").select("doc_id", "section", "content_hash", "part_number", "total_parts")
 
 
-@query()
+def _sentences_sql() -> str:
+    """The splits marked by a character that no text has; RE2 has no look-behind, so the sign and the capital are put back."""
+    held = "text"
+    for a in sorted(tx.ABBREVIATIONS, key=lambda x: (-len(x), x)):
+        held = f"replace({held}, '{a}.', '{a}' || chr(57344))"
+    marked = f"regexp_replace(regexp_replace({held}, '([.!?])\\s+([A-Z])', '\\1' || chr(57345) || '\\2', 'g'), '\\n\\s*\\n', chr(57345), 'g')"
+    return f"SELECT doc_id, CAST(len(list_filter(string_split({marked}, chr(57345)), lambda s: length(regexp_replace(s, '^\\s+|\\s+$', '', 'g')) >= 5)) AS INTEGER) AS n_sentences FROM documents"
+
+
+@query(_sentences_sql())
 def sentence_split(spark, sf_dir):
     """CH5."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(tx.sentences(F.col("text"))).alias("n_sentences"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.size(tx.sentences(F.col("text"))).alias("n_sentences"))
 
 
 _ADJ = """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) v FROM embeddings),
@@ -730,8 +756,7 @@ def bm25_columns(spark, sf_dir):
     return keyword.bm25_indexed(keyword.postings(chunks), chunks, "Docs of-the EN").select("doc_id", "score")
 
 
-@query("""WITH d AS (SELECT doc_id, lower(text) AS t FROM documents)
-SELECT 'title' AS kind, a.item_id AS part, b.page_id AS whole FROM (SELECT item_id, lower(regexp_extract(text, '^\\S+', 0)) AS w FROM benchmark) a JOIN (SELECT page_id, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS t FROM pages) b ON contains(b.t, a.w)""")
+@query("""SELECT 'title' AS kind, a.item_id AS part, b.page_id AS whole FROM (SELECT item_id, lower(regexp_extract(text, '^\\S+', 0)) AS w FROM benchmark) a JOIN (SELECT page_id, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS t FROM pages) b ON contains(b.t, a.w)""")
 def title_containment(spark, sf_dir):
     """JN11: which pages' titles hold the first word of which items, met by pieces of three characters."""
     words = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.regexp_extract("text", r"^\S+", 0)).alias("part"))
