@@ -661,14 +661,19 @@ def count_column(df: DataFrame, text: str = "text", vocabulary: str = DEFAULT_VO
     return count(df[f"`{text}`"])
 
 
-def tokens_column(df: DataFrame, text: str = "text", vocabulary: str = DEFAULT_VOCABULARY):
-    """A column with the token ids of ``text`` as little-endian int32, found as in :func:`count_column`; null for null."""
-    held = _broadcast(df, vocabulary)
+def quick_tokens(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, length, tokens)``: token ids as little-endian int32, found as in :func:`count_column`; null for null."""
+    held = _broadcast(docs, vocabulary)
+    names = [id_col, "length", "tokens"]
 
-    @F.pandas_udf("binary")
-    def encode(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(held.value)
-        with no_cycle_search():
-            return pd.Series([None if t is None else b"".join(map(codec.quick.__getitem__, pieces(t))) for t in texts], dtype=object)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                with no_cycle_search():
+                    out = [None if t is None else b"".join(map(codec.quick.__getitem__, pieces(t))) for t in (x.as_py() for x in part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if x is None else len(x) // 4 for x in out], pa.int32()), pa.array(out, pa.binary())], names=names)
 
-    return encode(df[f"`{text}`"])
+    kind = docs.schema[id_col].dataType.simpleString()
+    return pick(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, length int, tokens binary")

@@ -19,7 +19,7 @@ import bisect
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +32,8 @@ CAPACITIES = (512, 1024, 2048, 4096, 8192)
 OVERHEAD = 32
 #: A length's items are ranked in cells of about so many, each in one task; a hot length has many cells.
 CELL_ROWS = 1_000_000
+#: So many rows at once leave a Python worker, so that long token lists don't pile up.
+SLICE_ROWS = 500
 
 
 def cost(capacity: int, overhead: int = OVERHEAD) -> int:
@@ -145,41 +147,50 @@ def pack_lengths(items: DataFrame, capacities: Sequence[int] = CAPACITIES, overh
     order = np.lexsort((runs[:, 1], runs[:, 0]))
     tables = (held["length"].to_numpy(np.int64) << 32 | held["salt"].to_numpy(np.int64), held["first"].to_numpy(np.int64), runs[order], ranges)
     sent = items.sparkSession.sparkContext.broadcast(tables)
+    salted = salted.select(f"`{id_col}`", "piece", "n_pieces", "length", "salt", *held_along)
     in_order = salted.repartition("length", "salt").sortWithinPartitions("length", "salt", f"`{id_col}`", "piece")
-    names = [id_col, "piece", "n_pieces", "length", "bin", "capacity", "offset"]
+    names = [id_col, "piece", "n_pieces", "length", "bin", "capacity", "offset", *(["token_ids"] if more else [])]
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, firsts, runs, ranges = sent.value
-        cell, seen = None, 0  # the cell that the last batch ended in, and its rows so far
-        for b in batches:
-            length, salt = b["length"].to_numpy(np.int64), b["salt"].to_numpy(np.int64)
-            key = length << 32 | salt
-            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, int)
-            within = np.arange(len(key)) - np.repeat(start, np.diff(np.r_[start, len(key)]))
-            if len(key):
+        wide = np.int64(1) << 40
+        starts = runs[:, 0] * wide + runs[:, 1]
+        cell, seen = None, 0  # the cell that the last rows were of, and how many of it there were
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                col = dict(zip(part.schema.names, part.columns))
+                length, salt = (col[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "salt"))
+                key = length << 32 | salt
+                start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                within = np.arange(len(key)) - np.repeat(start, np.diff(np.r_[start, len(key)]))
                 if key[0] == cell:
                     within[: start[1] if len(start) > 1 else len(key)] += seen
                 cell, seen = key[-1], within[-1] + 1
-            bin_, capacity, offset = (np.full(len(key), -1, np.int64) for _ in range(3))
-            some = np.flatnonzero(length > 0)
-            if len(some):
-                rank = firsts[np.searchsorted(keys, key[some])] + within[some]
-                wide = np.int64(1) << 40
-                r = runs[np.searchsorted(runs[:, 0] * wide + runs[:, 1], length[some] * wide + rank, side="right") - 1]
-                nth = rank - r[:, 1]
-                bin_[some] = r[:, 3] + nth // r[:, 4]
-                offset[some] = r[:, 5] + nth % r[:, 4] * r[:, 0]
-                capacity[some] = ranges[np.searchsorted(ranges[:, 0], bin_[some], side="right") - 1, 2]
-            out = b[[id_col, "piece", "n_pieces", "length"]].copy()
-            for n, v in (("bin", bin_), ("capacity", capacity), ("offset", offset)):
-                out[n] = pd.Series(v, index=out.index, dtype="Int64").mask(v < 0)
-            if more:
-                out["token_ids"] = [np.frombuffer(t or b"", "<i4") for t in b["tokens"]]
-            yield out
+                bin_, capacity, offset = (np.full(len(key), -1, np.int64) for _ in range(3))
+                some = np.flatnonzero(length > 0)
+                if len(some):
+                    rank = firsts[np.searchsorted(keys, key[some])] + within[some]
+                    r = runs[np.searchsorted(starts, length[some] * wide + rank, side="right") - 1]
+                    nth = rank - r[:, 1]
+                    bin_[some] = r[:, 3] + nth // r[:, 4]
+                    offset[some] = r[:, 5] + nth % r[:, 4] * r[:, 0]
+                    capacity[some] = ranges[np.searchsorted(ranges[:, 0], bin_[some], side="right") - 1, 2]
+                out = [part.column(0), *(col[c] for c in ("piece", "n_pieces", "length")), *(pa.array(v, pa.int64(), mask=v < 0) for v in (bin_, capacity, offset))]
+                yield pa.RecordBatch.from_arrays(out + ([_as_ids(col["tokens"])] if more else []), names=names)
 
     kind = items.schema[id_col].dataType.simpleString()
     ids = ", token_ids array<int>" if more else ""
-    return in_order.mapInPandas(assign, f"`{id_col}` {kind}, piece int, n_pieces int, length int, bin long, capacity long, offset long{ids}")
+    return in_order.mapInArrow(assign, f"`{id_col}` {kind}, piece int, n_pieces int, length int, bin long, capacity long, offset long{ids}")
+
+
+def _as_ids(tokens: pa.Array) -> pa.Array:
+    """Little-endian int32 in a binary column as lists, without copying them; nulls are empty."""
+    tokens = tokens.fill_null(b"") if tokens.null_count else tokens
+    ends = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset : tokens.offset + len(tokens) + 1]
+    data = tokens.buffers()[2]
+    values = pa.Array.from_buffers(pa.int32(), int(ends[-1]) // 4, [None, data if data is not None else pa.py_buffer(b"")])
+    return pa.ListArray.from_arrays(pa.array(ends // 4, pa.int32()), values)
 
 
 def pack_documents(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead: int = OVERHEAD, vocabulary: str = bpe.DEFAULT_VOCABULARY, id_col: str = "doc_id", text_col: str = "text", tokens: bool = False) -> DataFrame:
@@ -190,8 +201,7 @@ def pack_documents(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, over
     """
     docs = spread(pick(docs, id_col, text_col))
     if tokens:
-        held = docs.select(docs[f"`{id_col}`"].alias(id_col), bpe.tokens_column(docs, text_col, vocabulary).alias("tokens"))
-        items = held.select(f"`{id_col}`", (F.octet_length("tokens") / 4).cast("int").alias("length"), "tokens")
+        items = bpe.quick_tokens(docs, vocabulary, id_col, text_col)
     else:
         items = docs.select(docs[f"`{id_col}`"].alias(id_col), bpe.count_column(docs, text_col, vocabulary).alias("length"))
     return pack_lengths(items, capacities, overhead)
