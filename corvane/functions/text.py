@@ -40,6 +40,12 @@ def loose_wiki_links(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(LOOSE_WIKI), F.lit(1)), lambda x: F.trim(F.substring_index(x, "|", 1))), lambda x: x != ""))
 
 
+def without_parents(chunk: Column) -> Column:
+    """RT17: a chunk without the headers above its own, so that a vector holds the section and not its place."""
+    lead = r"\A(?:[^\S\n]*(?:#[^\n]*)?\n)+(?=[^\S\n]*#)"
+    return F.when(F.rlike(chunk, F.lit(lead)), F.regexp_replace(F.regexp_replace(chunk, lead, ""), r"\A\s+|\s+\z", "")).otherwise(chunk)
+
+
 def title_from_filename(path: Column) -> Column:
     """A file's stem as a title: hyphens and underscores are spaces, and each run of letters begins large."""
     stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")

@@ -47,15 +47,17 @@ def truncated(lists: DataFrame) -> DataFrame:
     return some.where((F.col("__n") <= MAX_TOTAL) | (F.col("rank") <= F.floor(F.lit(MAX_TOTAL) / F.col("__lists")))).drop("__n", "__lists")
 
 
-def reciprocal_rank_fusion(lists: DataFrame, k: int = 60, key: str = "doc_id", similarity: str | None = None, payload: list[str] | None = None) -> DataFrame:
+def reciprocal_rank_fusion(lists: DataFrame, k: int = 60, key: str = "doc_id", similarity: str | None = None, payload: list[str] | None = None, fallback: Column | None = None) -> DataFrame:
     """RT5: lists ``(list_no, rank, key, ...)`` fused: ``(key, rrf_score, rank, payload...)``.
 
     The score adds 1 / (k + rank) over every occurrence.  Of several versions of an item the
-    most similar one stays, the first seen on a tie.  Order is by full precision, ties by first
+    most similar one stays, the first seen on a tie.  ``fallback`` names items whose key is null (UX3).  Order is by full precision, ties by first
     appearance; the score is rounded to 4 places after that.
     """
     if isinstance(k, bool) or not isinstance(k, int) or not 1 <= k <= 1000:
         raise ValueError("k has to be a whole number from 1 to 1000")
+    if fallback is not None:
+        lists = lists.withColumn(key, F.coalesce(F.col(key), fallback))
     seen = F.struct("list_no", "rank")
     pick = F.struct(F.coalesce(F.col(similarity), F.lit(float("-inf"))).alias("s"), (-F.col("list_no")).alias("l"), (-F.col("rank")).alias("r")) if similarity else F.struct((-F.col("list_no")).alias("l"), (-F.col("rank")).alias("r"))
     cols = [c for c in (payload or []) + ([similarity] if similarity else [])]

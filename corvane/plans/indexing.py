@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from corvane.functions import text as tx
 from corvane.functions.chunking import chunk_files, front_matter
 from corvane.functions.embedding import embed_cached, embed_column, hashed
-from corvane.operators import analyzers, graph, incremental, keyword, metadata
+from corvane.operators import analyzers, graph, incremental, keyword, metadata, vector
+from corvane.schemas import filled
 from corvane.session import checkpointed
 from corvane.sources.markdown import files as scan
 from corvane.sources.markdown import notes as note_nodes
@@ -28,6 +29,27 @@ from corvane.sources.snapshots import Snapshots
 PER_NODE, IN_ALL = 20, 50_000
 
 
+def upsert_chunks(held: DataFrame, new: DataFrame, embed: Callable = hashed, dimensions: int | None = None) -> DataFrame:
+    """SNK1/SRC3: chunks ``(doc_id, content[, embedding, ...])`` checked, embedded where a vector is missing, normalised, and put in place of those with their ids.
+
+    Blank ids or contents, and vectors of another size than the others or ``dimensions``, raise
+    ``ValueError`` and change nothing.
+    """
+    if "embedding" not in new.columns:
+        new = new.withColumn("embedding", F.lit(None).cast("array<float>"))
+    given = new.where("embedding IS NOT NULL").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    made = new.where("embedding IS NULL").withColumn("embedding", embed_column(F.col("content"), embed).cast("array<double>"))
+    full = checkpointed(given.unionByName(made))
+    size = F.size("embedding")
+    bad = full.agg(F.count_if(~(filled(F.col("doc_id")) & filled(F.col("content")))).alias("blank"), F.min(size).alias("least"), F.max(size).alias("greatest")).first()
+    if bad["blank"]:
+        raise ValueError(f"{bad['blank']} chunks have a blank id or content")
+    sizes = {x for x in (bad["least"], bad["greatest"], dimensions) if x is not None}
+    if len(sizes) > 1:
+        raise ValueError(f"vectors have different numbers of dimensions: {sorted(sizes)}")
+    return metadata.upsert(held, full.withColumn("embedding", vector.l2_normalise(F.col("embedding")).cast("array<float>")), "doc_id")
+
+
 def with_front_matter(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """``(path, front, front_tags, body)``: front-matter values as strings, its tags apart, the text without it."""
 

@@ -304,6 +304,28 @@ def test_front_matter_is_searchable(spark, tmp_path):
     assert incremental.consistency(store.read("chunks"), dimensions=3).first()["consistent"] is False
 
 
+def test_chunks_are_checked_before_they_are_put(spark):
+    held = indexing.upsert_chunks(spark.createDataFrame([], "doc_id string, content string, embedding array<float>"), spark.createDataFrame([("a", "old"), ("b", "stays")], "doc_id string, content string"))
+    held = held.cache()
+    new = spark.createDataFrame([("a", "new", [3.0] + [0.0] * 63), ("c", "more", None)], "doc_id string, content string, embedding array<double>")
+    got = {r["doc_id"]: r for r in indexing.upsert_chunks(held, new).collect()}
+    assert set(got) == {"a", "b", "c"} and got["a"]["content"] == "new" and got["a"]["embedding"][0] == 1.0 and len(got["c"]["embedding"]) == 64
+    for rows in ([(" ", "x", None)], [("x", "", None)], [("x", None, None)], [("x", "y", [1.0])], [("x", "y", [1.0] * 64), ("z", "y", [1.0] * 3)]):
+        with pytest.raises(ValueError):
+            indexing.upsert_chunks(held, spark.createDataFrame(rows, "doc_id string, content string, embedding array<double>"), dimensions=64)
+
+
+def test_headers_above_go_before_embedding(spark):
+    cases = {"# T\n\n## P\n\n### S\nbody\n# not": "### S\nbody\n# not", "## S\nbody": "## S\nbody", "body\n# x": "body\n# x", "": "", "\n # a\nb ": "# a\nb", "# a\n## b": "## b"}
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", tx.without_parents(F.col("t")).alias("x")).collect()
+    assert {r["t"]: r["x"] for r in got} == cases
+
+
+def test_keys_fall_back(spark):
+    lists = spark.createDataFrame([(0, 1, None, "f1"), (0, 2, "d", "f2"), (1, 1, "d", "f2")], "list_no int, rank int, doc_id string, file string")
+    assert {r["doc_id"] for r in ranking.reciprocal_rank_fusion(lists, fallback=F.col("file")).collect()} == {"d", "f1"}
+
+
 def test_another_entity_extractor(spark, tmp_path):
     write(tmp_path / "notes", NOTES)
     from corvane.sources.markdown import files
