@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 
 from corvane.functions.embedding import hashed
 from corvane.functions.text import ABBREVIATIONS
+from corvane.session import spread
 
 SMALL_FILE, SMALL_SECTION, LARGEST = 500, 10, 4000
 TITLE_WITHIN = 500
@@ -290,4 +291,4 @@ def chunk_files(files: DataFrame, chunker: str | Callable[..., list[Chunk]] = "h
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
             yield out.astype({"part_number": "Int32", "total_parts": "Int32"})
 
-    return files.select(path, content).mapInPandas(run, SCHEMA)
+    return spread(files.select(path, content)).mapInPandas(run, SCHEMA)
