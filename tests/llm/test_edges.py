@@ -62,6 +62,36 @@ def test_null_and_empty_texts_have_the_stated_results(odd):
     assert {r["doc_id"]: r["digest"] for r in fingerprint.fingerprint_documents(odd).collect()}[1] is None
 
 
+def test_stated_results_of_the_other_operators(odd, labels):
+    """Null, empty and wordless texts, and rows without an id, under operators 3, 4, 5 and 7 to 10."""
+    by = lambda df: {r["doc_id"]: r for r in df.collect() if r["doc_id"] is not None}
+    three = by(pii.find_in_documents(odd))
+    assert three[1]["found"] is None and three[1]["redacted"] is None and three[2]["found"] == [] and three[2]["redacted"] == "" and three[3]["redacted"] == LONG
+    four = by(fingerprint.group_documents(odd))
+    assert [(four[i]["digest"], four[i]["class_id"], four[i]["n_links"], four[i]["group_id"]) for i in (1, 2, 4)] == [(None, i, 0, i) for i in (1, 2, 4)]
+    assert all(r["class_id"] is None and r["group_id"] is None and r["n_links"] == 0 for r in fingerprint.group_documents(odd).where("doc_id IS NULL").collect())
+    five = by(quality_rules.apply_rules(odd, labels))
+    assert all(five[i]["broken"] == "" and five[i]["keep"] for i in (1, 2)) and five[2]["stratum"] == "" and five[2]["symbols"] == 0.0
+    seven = by(langid.identify_documents(odd, langid.train(odd)))
+    assert all(r["language"] is None and r["confidence"] is None for r in seven.values())  # no label has enough texts
+    eight = simhash.near_duplicates(odd).collect()
+    held = {r["doc_id"]: r for r in eight if r["doc_id"] is not None}
+    assert all(held[i]["group_id"] == i and held[i]["keep"] and held[i]["n_links"] == 0 for i in (1, 2, 3, 5, 6))
+    assert sorted(r["keep"] for r in eight if r["doc_id"] == 4) == [False, True] and all(r["keep"] and r["group_id"] is None for r in eight if r["doc_id"] is None)
+    nine = by(toxicity.score_documents(odd, labels))
+    assert nine[1]["score"] is None and nine[1]["toxic"] is None and nine[2]["score"] == 0.0 and nine[5]["score"] == 0.0 and not any(r["toxic"] for r in nine.values())
+    ten = by(quality_classifier.classify(odd, labels))
+    assert ten[2]["host"] == "" and ten[2]["path"] == "" and ten[1]["evidence"] == ten[2]["evidence"]
+
+
+def test_without_labels(spark, odd, labels):
+    none = labels.limit(0)
+    assert quality_rules.apply_rules(odd, none).where("NOT keep").count() == 0
+    assert quality_classifier.classify(odd, none).where("NOT keep").count() == 0 and quality_classifier.keep_good(odd, none).count() == len(ROWS)
+    assert toxicity.score_documents(odd, none).where("toxic").count() == 0 and toxicity.keep_harmless(odd, none).count() == len(ROWS)
+    assert toxicity.keep_harmless(odd.limit(0), labels).count() == 0 and quality_classifier.keep_good(odd.limit(0), labels).count() == 0
+
+
 def test_stages_keep_columns_and_handle_odd_rows(spark, odd, labels, tmp_path):
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     for docs in (odd, odd.limit(0)):
