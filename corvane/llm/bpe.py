@@ -52,6 +52,8 @@ DEFAULT_VOCABULARY = os.environ.get("CORVANE_VOCABULARY", "/opt/tokenizers/byte_
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Bounds of what a worker keeps; a full memo takes no more, states and pairs are dropped and met again.
 MEMO_ENTRIES = 400_000
+#: Where whole texts' tokens travel on with their rows, workers hold fewer.
+QUICK_ENTRIES = 100_000
 MAX_STATES = 100_000
 MAX_PAIRS = 300_000
 #: Pieces of more bytes are encoded as a stream, so that not all of their prefixes are held at once.
@@ -419,13 +421,13 @@ def pack(n: int) -> Callable[..., bytes]:
 class Memo(dict):
     """Results by piece; a full memo takes no more, and what it lacks is worked out each time."""
 
-    def __init__(self, work: Callable):
+    def __init__(self, work: Callable, most: int | None = None):
         super().__init__()
-        self.work = work
+        self.work, self.most = work, MEMO_ENTRIES if most is None else most
 
     def __missing__(self, piece: str):
         got = self.work(piece)
-        if len(self) < MEMO_ENTRIES:
+        if len(self) < self.most:
             self[piece] = got
         return got
 
@@ -451,10 +453,17 @@ class Codec:
 
     def __init__(self, data: bytes):
         self.v = Vocabulary(data)
-        self.transducer, self.decoder = Transducer(self.v), Decoder(self.v)
         self.ids, self.deltas = Memo(self._packed), Memo(self.piece_deltas)
         self.n = Memo(lambda p: len(longest_first(self.v, p.encode())))
-        self.quick = Memo(lambda p: np.array(longest_first(self.v, p.encode()), "<i4").tobytes())
+        self.quick = Memo(lambda p: np.array(longest_first(self.v, p.encode()), "<i4").tobytes(), QUICK_ENTRIES)
+
+    @functools.cached_property
+    def transducer(self) -> Transducer:
+        return Transducer(self.v)
+
+    @functools.cached_property
+    def decoder(self) -> Decoder:
+        return Decoder(self.v)
 
     @classmethod
     def of(cls, data: bytes) -> Codec:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import bpe
-from corvane.llm.common import checkpointed, pick
+from corvane.llm.common import checkpointed, pick, text_batches
 from corvane.session import spread
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
@@ -133,7 +133,8 @@ def pack_lengths(items: DataFrame, capacities: Sequence[int] = CAPACITIES, overh
     pieces = pieces.select(f"`{id_col}`", F.col("length").alias("total"), n_pieces.alias("n_pieces"), *held_along, F.explode(F.sequence(F.lit(0), n_pieces - 1)).alias("piece"))
     cut = [F.substring(F.col("tokens"), F.col("piece") * top * 4 + 1, F.lit(top * 4)).alias("tokens") for _ in held_along]
     pieces = pieces.select(f"`{id_col}`", "piece", "n_pieces", F.least(F.lit(top), F.col("total") - F.col("piece").cast("long") * top).cast("int").alias("length"), *cut)
-    pieces = checkpointed(pieces)
+    with text_batches(items.sparkSession):
+        pieces = checkpointed(pieces)
     some = pieces.where("length > 0")
     # At most one row for each length up to the largest, and one more for so many items: all that the driver sees of the corpus.
     sizes = some.groupBy("length").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / cell_rows).cast("int"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import checkpointed, pick
+from corvane.llm.common import checkpointed, pick, text_batches
 from corvane.session import spread
 
 #: Labelled texts that word families are taken from, and texts that the classifier is trained on, at most.
@@ -347,7 +347,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 part = batch.slice(at, 1000)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([voters.votes(t.as_py().lower()) for t in part.column(2)], pa.int32())], names=["key", "n", "votes"])
 
-    votes = checkpointed(texts.select("key", F.length("text").alias("n"), "text").mapInArrow(vote, "key long, n int, votes int"))
+    with text_batches(spark):
+        votes = checkpointed(texts.select("key", F.length("text").alias("n"), "text").mapInArrow(vote, "key long, n int, votes int"))
     counts = votes.groupBy("votes").count().toPandas().sort_values("votes")  # at most one row for each vote pattern
     masks, n = counts["votes"].to_numpy(np.int64), counts["count"].to_numpy(np.int64)
     if not n.sum() or not (masks > 0).any():
