@@ -24,12 +24,13 @@ def session(app: str = "corvane", master: str | None = None, **settings: str) ->
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt to all cores if it is read from few files of few bytes, so that work on each row keeps them busy.
 
-    A file of one row group is one task however many cores there are.  Larger inputs, and frames
-    that aren't read from files, stay as they are.
+    A file of one row group is one task however many cores there are; with a file for every other
+    core the shuffle costs more than it saves.  Larger inputs, and frames that aren't read from
+    files, stay as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     files = len(df.inputFiles())
-    if not 0 < files < 2 * cores:
+    if not 0 < files < cores / 2:
         return df
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(4 * cores) if size < cores * SMALL_PER_CORE else df
