@@ -1,23 +1,19 @@
-"""Operator 8: near-duplicates by SimHash, with pigeonring filtering.
+"""Operator 8: near-duplicates by SimHash, with an exact search for links.
 
 A document's fingerprint has 128 bits: the signs of the sums, over its distinct words, of the
 words' hashes as vectors of +1 and -1.  Documents are near-duplicates if their fingerprints
 differ in at most ``TAU`` bits.
 
-The fingerprint is a ring of 4 segments of 32 bits.  If two differ in at most TAU bits, then from
-some segment on every chain of 1, 2, 3 and 4 consecutive segments differs in at most chain x TAU / 4
-bits (Qin and Xiao, "Pigeonring: A Principle for Faster Thresholded Similarity Search", 2018).
-Candidates meet where such a chain starts.  Each document enters every segment's value, and the
-values with some of its least certain bits (smallest sums) turned: the ``PROBES`` sets of up to
-three of them that are likeliest to differ.  So two documents meet when what differs in the
-segment is one's set and the other's together.  An entry carries what was turned and the next
-segment, so pairs have to pass the chains of one and two where they meet; those that do have to
-pass the chain of three before the full Hamming distance counts.
-
-The probing is approximate: against comparing all pairs it finds over 0.99 of the links on the test
-data, those at the very threshold least often.  Two unlike documents meet with a chance of some
-10^-6, as segments are 32 bits wide, so candidates stay in proportion to documents well beyond the
-sizes at which a narrower key's would outnumber them.
+All links are found.  The fingerprint is cut into 7 parts of 18 or 19 bits; if two differ in at most
+TAU = 20 bits, they differ in at most 2 of one part, as 3 in each would make 21 (the pigeonhole
+principle; for other thresholds see :func:`parts`).  Fingerprints are dealt to blocks and each two
+blocks compared in one task, which looks up, part by part, all values within 2 bits and counts the
+whole distance of what it meets, or compares all with all where that is cheaper.  A block holds at
+most ``BLOCK_ROWS``, so memory is bounded; rows are sent once for every block there is.  The work
+grows with the square of the fingerprints, by a factor of some 1/200: that many pairs are alike
+enough in a part by chance.
+
+:func:`entered` with its probes is an approximate key of an index by segments.  No query uses it.
 
 Documents with equal fingerprints are one node from the start, so thousands of copies cost no
 more than one.  Groups are the connected components, found by repeatedly joining every node to
@@ -28,13 +24,14 @@ checkpointed.
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import checkpointed, fresh, pick, text_batches
@@ -46,6 +43,14 @@ SEGMENTS, WIDTH = 4, 32
 UNCERTAIN, PROBES = 12, 40
 #: The sets, by rank: the likeliest first, as if a bit's certainty grew with its rank.
 SETS = sorted((c for n in range(4) for c in itertools.combinations(range(UNCERTAIN), n)), key=lambda c: (sum(r + 2 for r in c), len(c), c))[:PROBES]
+#: Fingerprints are cut into so many parts at least, so that a part's values fit a table.
+LEAST_PARTS, MOST_WIDTH = 7, 20
+#: A block has so many fingerprints at most; fewer make up to ``BLOCKS`` blocks of ``SMALL_BLOCK``.
+BLOCK_ROWS, BLOCKS, SMALL_BLOCK = 500_000, 6, 4_096
+#: Candidates held at a time.
+CHUNK = 1 << 18
+#: What numpy takes for one lookup, one candidate and one compared pair, about; they only choose between two exact ways.
+NS_LOOKUP, NS_CANDIDATE, NS_COMPARED = 25, 50, 10
 _WORD = re.compile(r"\w+")
 
 
@@ -66,16 +71,19 @@ def sums(text: str) -> np.ndarray | None:
     return 2 * out - len(words)
 
 
+def _halves(v: np.ndarray) -> np.ndarray:
+    return np.packbits(v > 0, axis=1).view(">i8").astype(np.int64)
+
+
 def signatures(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """From rows of sums: the fingerprints' halves, two segments each, and by segment the places of its uncertain bits from its low end."""
-    halves = np.packbits(v > 0, axis=1).view(">i8").astype(np.int64)
     weak = np.argsort(np.abs(v).reshape(len(v), SEGMENTS, WIDTH), axis=2, kind="stable")[:, :, :UNCERTAIN]
-    return halves, WIDTH - 1 - weak
+    return _halves(v), WIDTH - 1 - weak
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, hi, lo, weak)``: the fingerprint's halves and the bits to probe, a letter from A for each; null for texts without words."""
-    names = [id_col, "hi", "lo", "weak"]
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", probes: bool = True) -> DataFrame:
+    """``(id, hi, lo, weak)``: the fingerprint's halves and, for ``probes``, the bits to probe, a letter from A for each; null for texts without words."""
+    names = [id_col, "hi", "lo", "weak"][: 3 + probes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,15 +94,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 hi, lo = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
                 weak: list[str | None] = [None] * len(rows)
                 if some:
-                    halves, bits = signatures(np.stack([rows[i] for i in some]))
+                    v = np.stack([rows[i] for i in some])
+                    halves, bits = signatures(v) if probes else (_halves(v), None)
                     hi[some], lo[some] = halves[:, 0], halves[:, 1]
-                    for i, w in zip(some, (bits + 65).astype(np.uint8).reshape(len(some), -1)):
+                    for i, w in zip(some, (bits + 65).astype(np.uint8).reshape(len(some), -1) if probes else ()):
                         weak[i] = w.tobytes().decode()
-                none = np.array([w is None for w in weak], bool)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hi, pa.int64(), mask=none), pa.array(lo, pa.int64(), mask=none), pa.array(weak, pa.string())], names=names)
+                none = np.array([r is None for r in rows], bool)
+                columns = [part.column(0), pa.array(hi, pa.int64(), mask=none), pa.array(lo, pa.int64(), mask=none), pa.array(weak, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns[: len(names)], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return spread(pick(docs, id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, hi long, lo long, weak string")
+    return spread(pick(docs, id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, hi long, lo long" + ", weak string" * probes)
 
 
 def _segment(k: int, of: str = "") -> str:
@@ -117,26 +127,121 @@ def entered(nodes: DataFrame) -> DataFrame:
     return sets.select(F.expr("at ^ set").alias("entry"), "node", F.expr(f"shiftleft(set, {WIDTH}) | next").alias("turned"))
 
 
-def _meet(tau: int) -> Column:
-    """Whether a pair passes the chains of one and two where it met: the bits turned by either are those that
-    differ.  A pair meets under each way to share these among both sets; sets that overlap only repeat one."""
-    first, second = (c * tau // SEGMENTS for c in (1, 2))
-    differ = "(a_turned ^ b_turned)"
-    return F.expr(f"shiftrightunsigned(a_turned & b_turned, {WIDTH}) = 0 AND bit_count(shiftrightunsigned({differ}, {WIDTH})) <= {first} AND bit_count({differ}) <= {second}")
+def parts(tau: int) -> list[tuple[int, int, int]]:
+    """``(at, width, radius)``: parts of the 128 bits such that fingerprints within ``tau`` bits differ in at most ``radius`` bits of one of them.
+
+    If each part had more, they would differ in the sum of radius + 1 = tau + 1 bits.  Parts that
+    need not be looked at (radius -1) are left out.
+    """
+    n = max(LEAST_PARTS, tau // 3 + 1)
+    radius, more = divmod(tau - n + 1, n)
+    ends = [128 * k // n for k in range(n + 1)]
+    each = [(ends[k], ends[k + 1] - ends[k], radius + (k < more)) for k in range(n)]
+    return [p for p in each if p[2] >= 0]
+
+
+def _part(x: np.ndarray, at: int, width: int) -> np.ndarray:
+    """The part's bits of fingerprints given as two rows, their halves."""
+    low, end = np.uint64((1 << width) - 1), at + width
+    if end <= 64:
+        return (x[0] >> np.uint64(64 - end)) & low
+    if at >= 64:
+        return (x[1] >> np.uint64(128 - end)) & low
+    return ((x[0] << np.uint64(end - 64)) | (x[1] >> np.uint64(128 - end))) & low
+
+
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).astype(np.int16)
+
+
+def _product(a: np.ndarray, b: np.ndarray, tau: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in ``a`` and in ``b`` of fingerprints within ``tau`` bits: by comparing all."""
+    rows = max(1, CHUNK // 16 // max(1, b.shape[1]))
+    for at in range(0, a.shape[1], rows):
+        i, j = np.nonzero(np.bitwise_count(a[0, at : at + rows, None] ^ b[0]) <= tau)
+        i += at
+        near = _distance(a[0, i], b[0, j]) + _distance(a[1, i], b[1, j]) <= tau
+        yield i[near], j[near]
+
+
+def _probed(a: np.ndarray, b: np.ndarray, tau: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As :func:`_product`, each pair once: where a part is within its radius all values are looked up that far from it."""
+    split = parts(tau)
+    for nth, (at, width, radius) in enumerate(split):
+        of_a, of_b = (_part(x, at, width).astype(np.int32) for x in (a, b))
+        in_a, in_b = np.argsort(of_a), np.argsort(of_b)
+        start = np.zeros((1 << width) + 1, np.int32)
+        np.cumsum(np.bincount(of_b, minlength=1 << width), out=start[1:])
+        sorted_a, first, second = of_a[in_a], int(at + width <= 64), int(at + width > 64)
+        xa, xb = a[:, in_a], b[:, in_b]
+        for turned in itertools.chain.from_iterable(itertools.combinations(range(width), n) for n in range(radius + 1)):
+            key = sorted_a ^ np.int32(sum(1 << t for t in turned))
+            begin = start[key]
+            count = start[key + 1] - begin
+            some = np.flatnonzero(count)
+            begin, count = begin[some], count[some]
+            until = np.cumsum(count, dtype=np.int64)
+            # so many of the rows at a time as have about CHUNK candidates
+            cuts = np.searchsorted(until, np.arange(CHUNK, until[-1] + CHUNK, CHUNK)) if len(some) else []
+            low = 0
+            for high in np.unique(np.minimum(np.asarray(cuts, np.int64) + 1, len(some))):
+                n = count[low:high]
+                i = np.repeat(some[low:high], n)
+                j = np.repeat(begin[low:high] - (until[low:high] - n), n) + np.arange(until[low] - n[0], until[high - 1])
+                low = high
+                # the half without the part tells more
+                near = np.flatnonzero(np.bitwise_count(xa[first][i] ^ xb[first][j]) <= tau)
+                i, j = i[near], j[near]
+                near = _distance(xa[0, i], xb[0, j]) + _distance(xa[1, i], xb[1, j]) <= tau
+                i, j = in_a[i[near]], in_b[j[near]]
+                for at_, width_, radius_ in split[:nth]:
+                    new = np.bitwise_count(_part(a[:, i], at_, width_) ^ _part(b[:, j], at_, width_)) > radius_
+                    i, j = i[new], j[new]
+                if len(i):
+                    yield i, j
+
+
+def _probing_pays(a: np.ndarray, b: np.ndarray, tau: int) -> bool:
+    """Whether looking up is cheaper than comparing all; how many candidates meet is estimated on some pairs."""
+    split, n = parts(tau), min(a.shape[1], b.shape[1], 4_096)
+    if not n or max((width for _, width, _ in split), default=0) > MOST_WIDTH:
+        return False
+    lookups = sum(math.comb(width, k) for _, width, radius in split for k in range(radius + 1))
+    x, y = a[:, :n], b[:, :n][:, ::-1]
+    meet = sum((np.bitwise_count(_part(x, at, width) ^ _part(y, at, width)) <= radius).mean() for at, width, radius in split)
+    return a.shape[1] * lookups * NS_LOOKUP < a.shape[1] * b.shape[1] * (NS_COMPARED - meet * NS_CANDIDATE)
+
+
+def close(a: np.ndarray, b: np.ndarray, tau: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all fingerprints of ``a`` and ``b`` (rows of halves) within ``tau`` bits, each pair once."""
+    return (_probed if _probing_pays(a, b, tau) else _product)(a, b, tau)
 
 
 def similar_pairs(nodes: DataFrame, tau: int = TAU) -> DataFrame:
-    """``(a, b)``, a < b: nodes ``(node, hi, lo, weak)`` whose fingerprints differ in at most ``tau`` bits."""
-    each = entered(nodes)
-    # Both sides are the same rows, so that Spark shuffles them once and reads them twice.
-    a, b = (each.select("entry", F.col("node").alias(n), F.col("turned").alias(f"{n}_turned")) for n in "ab")
-    met = a.join(b, "entry").where(F.col("a") < F.col("b")).where(_meet(tau)).select("a", "b", F.expr(f"cast(shiftrightunsigned(entry, {WIDTH}) as int)").alias("k")).distinct()
-    for n in "ab":
-        met = met.join(nodes.select(F.col("node").alias(n), F.col("hi").alias(f"{n}_hi"), F.col("lo").alias(f"{n}_lo")), n)
-    whole = "(bit_count(a_hi ^ b_hi) + bit_count(a_lo ^ b_lo))"
-    # the segment before the one where they met is the chain's last
-    last = " ".join(f"WHEN {k} THEN bit_count({_segment((k + 3) % SEGMENTS, '(a_{0} ^ b_{0})')})" for k in range(SEGMENTS))
-    return met.where(F.expr(f"{whole} <= {tau} AND {whole} - CASE k {last} END <= {3 * tau // SEGMENTS}")).select("a", "b").distinct()
+    """``(a, b)``, a < b: all nodes ``(node, hi, lo)`` whose fingerprints differ in at most ``tau`` bits."""
+    nodes = nodes.where("hi IS NOT NULL").select("node", "hi", "lo")
+    n = nodes.count()
+    blocks = max(1, -(-n // BLOCK_ROWS), min(BLOCKS, -(-n // SMALL_BLOCK)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches))
+        both, block = rows.column("both")[0].as_py(), rows.column("block").to_numpy()
+        sides = []
+        for at in divmod(both, blocks):
+            some = rows.filter(pa.array(block == at))
+            sides.append((some.column("node").combine_chunks(), np.stack([some.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo")])))
+        (ids_a, a), (ids_b, b) = sides
+        for i, j in close(a, b, tau):
+            if both % (blocks + 1) == 0:  # a block with itself
+                i, j = i[i < j], j[i < j]
+            for at in range(0, len(i), CHUNK):
+                yield pa.RecordBatch.from_arrays([ids_a.take(pa.array(i[at : at + CHUNK])), ids_b.take(pa.array(j[at : at + CHUNK]))], names=["a", "b"])
+
+    kind = nodes.schema["node"].dataType.simpleString()
+    dealt = nodes.withColumn("block", F.expr(f"cast(pmod(xxhash64(hi, lo), {blocks}) as int)"))
+    dealt = dealt.withColumn("both", F.expr(f"explode(transform(sequence(0, {blocks - 1}), o -> least(o, block) * {blocks} + greatest(o, block)))"))
+    met = dealt.repartition(blocks * (blocks + 1) // 2, "both").groupBy("both").applyInArrow(run, f"a {kind}, b {kind}")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -171,9 +276,9 @@ def near_duplicates(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", tex
     is true for one of them at most.
     """
     with text_batches(docs.sparkSession):
-        prints = checkpointed(fingerprints(docs, id_col, text_col).withColumnRenamed(id_col, "__id"))
+        prints = checkpointed(fingerprints(docs, id_col, text_col, probes=False).withColumnRenamed(id_col, "__id"))
     known = prints.where("hi IS NOT NULL AND __id IS NOT NULL")
-    nodes = checkpointed(known.groupBy("hi", "lo").agg(F.min("__id").alias("node"), F.min_by("weak", "__id").alias("weak")))
+    nodes = checkpointed(known.groupBy("hi", "lo").agg(F.min("__id").alias("node")))
     pairs = checkpointed(similar_pairs(nodes, tau))
     roots = components(pairs)
     links = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))

@@ -333,6 +333,49 @@ def test_segments_turn_to_their_place():
         assert [31 - i for i in order] == weak[0][k].tolist()
 
 
+@pytest.mark.parametrize("tau", [0, 3, 8, 20, 31, 64])
+def test_both_searches_find_what_all_pairs_show(tau, monkeypatch):
+    """Parts that can't all be missed, and each link once by either way, whatever is held at a time."""
+    split = simhash.parts(tau)
+    n = max(simhash.LEAST_PARTS, tau // 3 + 1)
+    assert sum(r + 1 for _, _, r in split) == tau + 1 and len(split) <= n
+    rng = np.random.default_rng(tau)
+    base = rng.integers(0, 2, (150, 128))
+    bits = np.concatenate([base] + [base ^ (rng.random(base.shape) < p) for p in (tau / 128, tau / 160, 0.02)])
+    x = np.packbits(bits.astype(bool), axis=1).view(">u8").astype(np.uint64).T.copy()
+    a, b = x[:, ::2].copy(), x[:, 1::2].copy()
+    near = set(zip(*(k.tolist() for k in np.nonzero(np.bitwise_count(a.T[:, None] ^ b.T[None]).astype(int).sum(2) <= tau))))
+    for chunk in (1 << 18, 7):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        for way in (simhash._product, simhash._probed) if tau <= 31 else (simhash._product,):
+            got = [(int(p), int(q)) for i, j in way(a, b, tau) for p, q in zip(i, j)]
+            assert len(got) == len(set(got)) and set(got) == near
+
+
+def test_links_at_the_threshold_in_certain_bits(spark, monkeypatch):
+    """Five bits of each segment, none of those that would be probed; in one block and in many."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(60):
+        x = [int(v) for v in rng.integers(-(2**62), 2**62, 2)]
+        far = (0x01F00000 << 32) | 0x01F00000
+        rows += [(f"a{k}", x[0], x[1], "ABCDEFGHIJKL" * 4), (f"b{k}", x[0] ^ far, x[1] ^ far, "ABCDEFGHIJKL" * 4)]
+    nodes = spark.createDataFrame([*rows, ("none", None, None, None)], "node string, hi long, lo long, weak string")
+    for most in (simhash.BLOCK_ROWS, 15):
+        monkeypatch.setattr(simhash, "BLOCK_ROWS", most)
+        assert sorted(map(tuple, simhash.similar_pairs(nodes).collect())) == sorted((f"a{k}", f"b{k}") for k in range(60))
+    assert simhash.similar_pairs(nodes, 19).count() == 0 and simhash.similar_pairs(nodes.limit(0)).count() == 0
+
+
+def test_every_link_of_the_larger_table_is_counted(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    nodes = simhash.fingerprints(docs).where("hi IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("node")).toPandas()
+    x = nodes[["hi", "lo"]].to_numpy(np.int64).view(np.uint64)
+    links = np.concatenate([(np.bitwise_count(x[i : i + 256, None, :] ^ x[None]).sum(2) <= simhash.TAU).sum(1) - 1 for i in range(0, len(x), 256)])
+    of = {r["doc_id"]: r["n_links"] for r in simhash.near_duplicates(docs).collect()}
+    assert links.sum() > 2000 and [of[n] for n in nodes.node] == links.tolist()
+
+
 def test_components_are_those_of_union_find(spark):
     rnd = random.Random(4)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 440)]
