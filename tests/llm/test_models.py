@@ -406,6 +406,22 @@ def test_copies_and_near_copies_are_one_group(spark):
     assert kept.columns == docs.columns and sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([2, 7, 8, 4, None], key=str)
 
 
+def test_the_pipeline_keeps_one_of_each_linked_pair(spark):
+    """Texts that differ in some words, at most ``TAU`` bits apart: of all pairs one stays."""
+    import corpus_pipeline
+
+    rnd, docs, left = random.Random(9), [], 0
+    bits = lambda t: simhash.sums(t) > 0
+    while left < 300:
+        a = [f"w{rnd.randrange(10**6)}" for _ in range(60)]
+        b = [f"w{rnd.randrange(10**6)}" if k < 8 else w for k, w in enumerate(a)]
+        if 16 <= (bits(" ".join(a)) != bits(" ".join(b))).sum() <= simhash.TAU:
+            docs += [(2 * left, " ".join(a)), (2 * left + 1, " ".join(b))]
+            left += 1
+    kept = corpus_pipeline.distinct(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2 * k for k in range(300)]
+
+
 # ---- 9: toxicity
 
 
