@@ -58,6 +58,11 @@ MAX_STATES = 100_000
 MAX_PAIRS = 300_000
 #: Pieces of more bytes are encoded as a stream, so that not all of their prefixes are held at once.
 LONG_PIECE = 1 << 16
+#: Pieces of at most so many bytes are encoded many at once, so many in a matrix.
+SHORT_PIECE = 48
+MERGED_ROWS = 4096
+#: Texts whose pieces are looked up together: so many, or fewer of this many characters.
+TOGETHER, TOGETHER_CHARS = 500, 1 << 20
 #: A stream looks for settled tokens after so many bytes each time.
 STREAM_STEP = 64
 NONE = -1
@@ -328,6 +333,78 @@ def longest_first(v: Vocabulary, data: bytes) -> list[int]:
     return out
 
 
+class Merges:
+    """BPE by definition, of many short pieces at once: each round merges every piece's leftmost pair of least rank.
+
+    A row of a matrix holds a piece's tokens, and another one the ranks of its pairs; rows that have
+    nothing left to merge leave.  The same tokens as :meth:`Vocabulary.merge`.
+    """
+
+    #: No rank: what a pair that isn't in the vocabulary has.
+    NO = np.int32(2**31 - 1)
+
+    def __init__(self, rank: dict[bytes, int]):
+        self.pad = max(rank.values()) + 1  # after a piece's end; in no pair
+        found = {}
+        for t, r in rank.items():
+            for i in range(1, len(t)):
+                a = rank.get(t[:i])
+                if a is not None and (b := rank.get(t[i:])) is not None:
+                    found[a * (self.pad + 1) + b] = r
+        self.keys = np.fromiter(sorted(found), np.int64, len(found))
+        self.ranks = np.array([found[k] for k in self.keys.tolist()] + [self.NO], np.int32)
+        self.keys = np.append(self.keys, np.iinfo(np.int64).max)
+        self.byte = np.array([*(rank[bytes([b])] for b in range(256)), self.pad], np.int32)
+        self.first = self.of(np.repeat(self.byte, 257), np.tile(self.byte, 257)).reshape(257, 257)
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ranks of pairs."""
+        key = a.astype(np.int64) * (self.pad + 1) + b
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.ranks[at], self.NO)
+
+    def encode(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces' tokens one after another, and how many each has; for pieces of up to :data:`SHORT_PIECE` bytes."""
+        size = np.fromiter(map(len, data), np.int64, len(data))
+        rows = np.full((len(data), int(size.max(initial=1))), self.pad, np.int32)
+        n = size.copy()
+        order = np.argsort(size, kind="stable")
+        flat, start = np.frombuffer(b"".join(data), np.uint8), np.cumsum(size) - size
+        for lo in range(0, len(order), MERGED_ROWS):
+            some = order[lo : lo + MERGED_ROWS]
+            wide = np.arange(max(1, int(size[some[-1]])))
+            inside = wide < size[some, None]
+            raw = np.full(inside.shape, 256, np.int64)
+            raw[inside] = flat[(start[some, None] + wide)[inside]]
+            at = some
+            tokens, ranks = self.byte[raw], np.full(raw.shape, self.NO, np.int32)
+            ranks[:, :-1] = self.first[raw[:, :-1], raw[:, 1:]]
+            while len(at):
+                left = ranks.argmin(1)
+                each = np.arange(len(at))
+                best = ranks[each, left]
+                done = best == self.NO
+                if done.any():
+                    rows[at[done], : tokens.shape[1]] = tokens[done]
+                    go = ~done
+                    at, tokens, ranks, left, best = at[go], tokens[go], ranks[go], left[go], best[go]
+                    if not len(at):
+                        break
+                    each = each[: len(at)]
+                n[at] -= 1
+                after = wide[1 : tokens.shape[1]] > left[:, None]
+                tokens[:, :-1][after], ranks[:, :-1][after] = tokens[:, 1:][after], ranks[:, 1:][after]
+                tokens[:, -1], ranks[:, -1] = self.pad, self.NO
+                tokens[each, left] = best
+                last = tokens.shape[1] - 1
+                ranks[each, left] = np.where(left < last, self.of(best, tokens[each, np.minimum(left + 1, last)]), self.NO)
+                inner = np.flatnonzero(left)
+                ranks[inner, left[inner] - 1] = self.of(tokens[inner, left[inner] - 1], best[inner])
+                keep = int(n[at].max())
+                tokens, ranks = tokens[:, :keep], ranks[:, :keep]
+        return rows[np.arange(rows.shape[1]) < n[:, None]], n
+
+
 class Decoder:
     """Streaming decoder: tokens in, text out as soon as its characters are whole.
 
@@ -446,6 +523,19 @@ def no_cycle_search() -> Iterator[None]:
             gc.enable()
 
 
+def _together(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
+    """The texts in runs of up to :data:`TOGETHER`, of no more than :data:`TOGETHER_CHARS` but for their last text."""
+    held, chars = [], 0
+    for t in texts:
+        held.append(t)
+        chars += len(t or "")
+        if len(held) == TOGETHER or chars >= TOGETHER_CHARS:
+            yield held
+            held, chars = [], 0
+    if held:
+        yield held
+
+
 class Codec:
     """What a Python worker keeps: vocabulary, transducer, decoder and memos by piece."""
 
@@ -454,8 +544,12 @@ class Codec:
     def __init__(self, data: bytes):
         self.v = Vocabulary(data)
         self.ids, self.deltas = Memo(self._packed), Memo(self.piece_deltas)
-        self.n = Memo(lambda p: len(longest_first(self.v, p.encode())))
-        self.quick = Memo(lambda p: np.array(longest_first(self.v, p.encode()), "<i4").tobytes(), QUICK_ENTRIES)
+        self.n: dict[str, int] = {}
+        self.quick: dict[str, bytes] = {}
+
+    @functools.cached_property
+    def merges(self) -> Merges:
+        return Merges(self.v.rank)
 
     @functools.cached_property
     def transducer(self) -> Transducer:
@@ -484,9 +578,41 @@ class Codec:
         """Token ids (int32) of a whole text."""
         return np.frombuffer(b"".join(map(self.ids.__getitem__, pieces(text))), "<i4")
 
+    def counted(self, texts: Iterable[str | None]) -> list[int | None]:
+        """The number of tokens of each text; None for None."""
+        return self._looked_up(texts, self.n, MEMO_ENTRIES, lambda flat, n: n.tolist(), sum, len)
+
+    def joined(self, texts: Iterable[str | None]) -> list[bytes | None]:
+        """Each text's token ids as little-endian int32; None for None."""
+
+        def parts(flat: np.ndarray, n: np.ndarray) -> list[bytes]:
+            data, ends = flat.astype("<i4").tobytes(), (np.cumsum(n) * 4).tolist()
+            return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+        return self._looked_up(texts, self.quick, QUICK_ENTRIES, parts, b"".join, lambda tokens: np.array(tokens, "<i4").tobytes())
+
+    def _looked_up(self, texts: Iterable[str | None], memo: dict, most: int, short: Callable, join: Callable, long: Callable) -> list:
+        """``join`` of the results of each text's pieces; those that ``memo`` lacks are encoded together.
+
+        A full memo takes no more, so that it holds ``most`` of them between calls.
+        """
+        out: list = []
+        for some in _together(texts):
+            cut = [None if t is None else pieces(t) for t in some]
+            new = list(set().union(*(c for c in cut if c)).difference(memo))
+            data = [p.encode() for p in new]
+            brief = [i for i, d in enumerate(data) if len(d) <= SHORT_PIECE]
+            memo.update(zip((new[i] for i in brief), short(*self.merges.encode([data[i] for i in brief]))))
+            if len(brief) < len(new):
+                memo.update((p, long(longest_first(self.v, d))) for p, d in zip(new, data) if len(d) > SHORT_PIECE)
+            out += [None if c is None else join(map(memo.__getitem__, c)) for c in cut]
+            for p in new[max(0, most - len(memo) + len(new)) :]:
+                del memo[p]
+        return out
+
     def count(self, text: str) -> int:
         """The number of tokens of a whole text."""
-        return sum(map(self.n.__getitem__, pieces(text)))
+        return self.counted([text])[0]
 
     def _piece_counts(self, piece: str) -> list[int]:
         """Token counts at each character of a piece, as if the text ended there."""
@@ -665,7 +791,7 @@ def count_column(df: DataFrame, text: str = "text", vocabulary: str = DEFAULT_VO
     def count(texts: pd.Series) -> pd.Series:
         codec = Codec.of(held.value)
         with no_cycle_search():
-            return pd.Series([None if t is None else codec.count(t) for t in texts], dtype="Int32")
+            return pd.Series(codec.counted(texts), dtype="Int32")
 
     return count(df[f"`{text}`"])
 
@@ -681,7 +807,7 @@ def quick_tokens(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 with no_cycle_search():
-                    out = [None if t is None else b"".join(map(codec.quick.__getitem__, pieces(t))) for t in (x.as_py() for x in part.column(1))]
+                    out = codec.joined(x.as_py() for x in part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if x is None else len(x) // 4 for x in out], pa.int32()), pa.array(out, pa.binary())], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()

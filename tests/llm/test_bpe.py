@@ -110,3 +110,32 @@ def test_streaming_decoder_is_an_incremental_utf8_machine(codec):
         d = bpe.Decoder(codec.v)
         parts = [d.feed([codec.v.rank[bytes([b])]]) for b in data] + [d.finish()]
         assert "".join(parts) == data.decode(errors="replace")
+
+
+def test_pieces_are_encoded_together_as_merging_by_definition(codec, reference, monkeypatch):
+    """The short pieces of many texts go through one call, and no piece alone, whatever the memo holds."""
+    rnd = random.Random(8)
+    data = [bytes(rnd.choice(b"abcdeinst ho\xc3\xa9\xe2\x82") for _ in range(rnd.randrange(bpe.SHORT_PIECE + 1))) for _ in range(2000)]
+    flat, n = codec.merges.encode(data)
+    assert n.tolist() == [len(codec.v.merge(d)) for d in data]
+    assert flat.tolist() == [t for d in data for t in codec.v.merge(d)]
+    assert [[x.tolist() for x in codec.merges.encode(d)] for d in ([], [b""])] == [[[], []], [[], [0]]]
+
+    docs = [*texts(600, 9), None, "", "word " * 50]
+    want = [None if t is None else reference.encode_ordinary(t) for t in docs]
+    monkeypatch.setattr(bpe, "longest_first", None)
+    for most in (0, 50, 10**6):
+        monkeypatch.setattr(bpe, "MEMO_ENTRIES", most)
+        monkeypatch.setattr(bpe, "QUICK_ENTRIES", most)
+        own = bpe.Codec(bpe.read_vocabulary())
+        for _ in range(2):
+            assert own.counted(iter(docs)) == [None if w is None else len(w) for w in want]
+            assert own.joined(docs) == [None if w is None else b"".join(t.to_bytes(4, "little") for t in w) for w in want]
+        assert len(own.n) <= most and len(own.quick) <= most
+
+
+def test_long_pieces_are_counted_alone(codec, reference):
+    docs = ["ab" * 300 + " x", "é" * (bpe.SHORT_PIECE // 2 + 1), "!" * 5000]
+    want = [reference.encode_ordinary(t) for t in docs]
+    assert codec.counted(docs) == [len(w) for w in want]
+    assert [len(x) // 4 for x in codec.joined(docs)] == [len(w) for w in want]
