@@ -86,6 +86,11 @@ def read_vocabulary(path: str = DEFAULT_VOCABULARY) -> bytes:
         return f.read()
 
 
+def id_bytes(data: bytes) -> int:
+    """How many bytes hold any token id of a vocabulary file: 2 or 4."""
+    return 2 if max(int(x.split()[1]) for x in data.splitlines() if x.strip()) < 1 << 16 else 4
+
+
 class Vocabulary:
     """Token bytes by rank; which pairs of tokens are stable side by side."""
 
@@ -546,6 +551,7 @@ class Codec:
         self.ids, self.deltas = Memo(self._packed), Memo(self.piece_deltas)
         self.n: dict[str, int] = {}
         self.quick: dict[str, bytes] = {}
+        self.quick_short: dict[str, bytes] = {}
 
     @functools.cached_property
     def merges(self) -> Merges:
@@ -582,14 +588,15 @@ class Codec:
         """The number of tokens of each text; None for None."""
         return self._looked_up(texts, self.n, MEMO_ENTRIES, lambda flat, n: n.tolist(), sum, len)
 
-    def joined(self, texts: Iterable[str | None]) -> list[bytes | None]:
-        """Each text's token ids as little-endian int32; None for None."""
+    def joined(self, texts: Iterable[str | None], id_bytes: int = 4) -> list[bytes | None]:
+        """Each text's token ids as little-endian integers of 4 or 2 bytes; None for None."""
 
         def parts(flat: np.ndarray, n: np.ndarray) -> list[bytes]:
-            data, ends = flat.astype("<i4").tobytes(), (np.cumsum(n) * 4).tolist()
+            data, ends = flat.astype(f"<u{id_bytes}").tobytes(), (np.cumsum(n) * id_bytes).tolist()
             return [data[a:b] for a, b in zip([0, *ends], ends)]
 
-        return self._looked_up(texts, self.quick, QUICK_ENTRIES, parts, b"".join, lambda tokens: np.array(tokens, "<i4").tobytes())
+        memo = self.quick if id_bytes == 4 else self.quick_short
+        return self._looked_up(texts, memo, QUICK_ENTRIES, parts, b"".join, lambda tokens: np.array(tokens, f"<u{id_bytes}").tobytes())
 
     def _looked_up(self, texts: Iterable[str | None], memo: dict, most: int, short: Callable, join: Callable, long: Callable) -> list:
         """``join`` of the results of each text's pieces; those that ``memo`` lacks are encoded together.
@@ -796,8 +803,8 @@ def count_column(df: DataFrame, text: str = "text", vocabulary: str = DEFAULT_VO
     return count(df[f"`{text}`"])
 
 
-def quick_tokens(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, length, tokens)``: token ids as little-endian int32, found as in :func:`count_column`; null for null."""
+def quick_tokens(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col: str = "doc_id", text_col: str = "text", id_bytes: int = 4) -> DataFrame:
+    """``(id, length, tokens)``: token ids as little-endian integers of 4 or 2 bytes, found as in :func:`count_column`; null for null."""
     held = _broadcast(docs, vocabulary)
     names = [id_col, "length", "tokens"]
 
@@ -807,8 +814,8 @@ def quick_tokens(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 with no_cycle_search():
-                    out = codec.joined(x.as_py() for x in part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if x is None else len(x) // 4 for x in out], pa.int32()), pa.array(out, pa.binary())], names=names)
+                    out = codec.joined((x.as_py() for x in part.column(1)), id_bytes)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if x is None else len(x) // id_bytes for x in out], pa.int32()), pa.array(out, pa.binary())], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return pick(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, length int, tokens binary")

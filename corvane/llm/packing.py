@@ -116,13 +116,13 @@ def plan(counts: dict[int, int], capacities: Sequence[int] = CAPACITIES, overhea
     return np.array(runs, np.int64).reshape(-1, 6), np.array(sorted(ranges), np.int64).reshape(-1, 4)
 
 
-def pack_lengths(items: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead: int = OVERHEAD, cell_rows: int = CELL_ROWS) -> DataFrame:
+def pack_lengths(items: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead: int = OVERHEAD, cell_rows: int = CELL_ROWS, id_bytes: int = 4) -> DataFrame:
     """Packs ``items`` ``(id, length)`` and returns ``(id, piece, n_pieces, length, bin, capacity, offset)``.
 
     ``piece`` counts from 0 within a row of ``items``.  Rows with a null or non-positive length
     hold nothing and have one row with null bin.  Repeated rows are packed as often as they
     occur.  Bins are numbered from 0; ``capacity`` is the downsized one.  A third column of ``items``,
-    their token ids as little-endian int32, is cut along and comes as ``token_ids``.
+    their token ids as little-endian integers of ``id_bytes`` (2 or 4), is cut along and comes as ``token_ids``.
     """
     capacities = sorted(capacities)
     top = capacities[-1]
@@ -131,7 +131,7 @@ def pack_lengths(items: DataFrame, capacities: Sequence[int] = CAPACITIES, overh
     pieces = items.select(F.col(f"`{id_col}`"), F.coalesce(F.greatest(F.col("length"), F.lit(0)), F.lit(0)).cast("long").alias("length"), *[F.col(f"`{c}`").alias("tokens") for c in more])
     held_along = ["tokens"] if more else []
     pieces = pieces.select(f"`{id_col}`", F.col("length").alias("total"), n_pieces.alias("n_pieces"), *held_along, F.explode(F.sequence(F.lit(0), n_pieces - 1)).alias("piece"))
-    cut = [F.substring(F.col("tokens"), F.col("piece") * top * 4 + 1, F.lit(top * 4)).alias("tokens") for _ in held_along]
+    cut = [F.substring(F.col("tokens"), F.col("piece") * top * id_bytes + 1, F.lit(top * id_bytes)).alias("tokens") for _ in held_along]
     pieces = pieces.select(f"`{id_col}`", "piece", "n_pieces", F.least(F.lit(top), F.col("total") - F.col("piece").cast("long") * top).cast("int").alias("length"), *cut)
     with text_batches(items.sparkSession):
         pieces = checkpointed(pieces)
@@ -139,10 +139,14 @@ def pack_lengths(items: DataFrame, capacities: Sequence[int] = CAPACITIES, overh
     # At most one row for each length up to the largest, and one more for so many items: all that the driver sees of the corpus.
     sizes = some.groupBy("length").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / cell_rows).cast("int"))
     sizes = checkpointed(sizes)
-    salted = pieces.join(F.broadcast(sizes.where("salts > 1").select("length", "salts")), "length", "left")
-    salted = salted.withColumn("salt", F.pmod(F.xxhash64(f"`{id_col}`", "piece"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    cells = salted.where("length > 0").groupBy("length", "salt").agg(F.count("*").alias("n"))
-    held = cells.toPandas().sort_values(["length", "salt"], ignore_index=True)
+    held = sizes.toPandas()
+    if (held["salts"] > 1).any():
+        salted = pieces.join(F.broadcast(sizes.where("salts > 1").select("length", "salts")), "length", "left")
+        salted = salted.withColumn("salt", F.pmod(F.xxhash64(f"`{id_col}`", "piece"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        held = salted.where("length > 0").groupBy("length", "salt").agg(F.count("*").alias("n")).toPandas()
+    else:  # each length is one cell, so the rows needn't be read again to count them
+        salted, held = pieces.withColumn("salt", F.lit(0)), held.assign(salt=0)
+    held = held.sort_values(["length", "salt"], ignore_index=True)
     held["first"] = held.groupby("length")["n"].cumsum() - held["n"]
     runs, ranges = plan({int(k): int(v) for k, v in held.groupby("length")["n"].sum().items()}, capacities, overhead)
     order = np.lexsort((runs[:, 1], runs[:, 0]))
@@ -178,18 +182,21 @@ def pack_lengths(items: DataFrame, capacities: Sequence[int] = CAPACITIES, overh
                     offset[some] = r[:, 5] + nth % r[:, 4] * r[:, 0]
                     capacity[some] = ranges[np.searchsorted(ranges[:, 0], bin_[some], side="right") - 1, 2]
                 out = [part.column(0), *(col[c] for c in ("piece", "n_pieces", "length")), *(pa.array(v, pa.int64(), mask=v < 0) for v in (bin_, capacity, offset))]
-                yield pa.RecordBatch.from_arrays(out + ([_as_ids(col["tokens"])] if more else []), names=names)
+                yield pa.RecordBatch.from_arrays(out + ([_as_ids(col["tokens"], id_bytes)] if more else []), names=names)
 
     kind = items.schema[id_col].dataType.simpleString()
     ids = ", token_ids array<int>" if more else ""
     return in_order.mapInArrow(assign, f"`{id_col}` {kind}, piece int, n_pieces int, length int, bin long, capacity long, offset long{ids}")
 
 
-def _as_ids(tokens: pa.Array) -> pa.Array:
-    """Little-endian int32 in a binary column as lists, without copying them; nulls are empty."""
+def _as_ids(tokens: pa.Array, id_bytes: int = 4) -> pa.Array:
+    """Little-endian integers of 4 bytes in a binary column as lists, without copying them, or of 2 bytes; nulls are empty."""
     tokens = tokens.fill_null(b"") if tokens.null_count else tokens
     ends = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset : tokens.offset + len(tokens) + 1]
     data = tokens.buffers()[2]
+    if id_bytes == 2:
+        ids = np.frombuffer(data if data is not None else b"", "<u2", (int(ends[-1]) - int(ends[0])) // 2, int(ends[0])).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array((ends - ends[0]) // 2, pa.int32()), pa.array(ids))
     values = pa.Array.from_buffers(pa.int32(), int(ends[-1]) // 4, [None, data if data is not None else pa.py_buffer(b"")])
     return pa.ListArray.from_arrays(pa.array(ends // 4, pa.int32()), values)
 
@@ -202,7 +209,8 @@ def pack_documents(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, over
     """
     docs = spread(pick(docs, id_col, text_col))
     if tokens:
-        items = bpe.quick_tokens(docs, vocabulary, id_col, text_col)
-    else:
-        items = docs.select(docs[f"`{id_col}`"].alias(id_col), bpe.count_column(docs, text_col, vocabulary).alias("length"))
+        # ids that fit 2 bytes travel in them, which halves what is written, shuffled, sorted and held in batches
+        wide = bpe.id_bytes(bpe.read_vocabulary(vocabulary))
+        return pack_lengths(bpe.quick_tokens(docs, vocabulary, id_col, text_col, wide), capacities, overhead, id_bytes=wide)
+    items = docs.select(docs[f"`{id_col}`"].alias(id_col), bpe.count_column(docs, text_col, vocabulary).alias("length"))
     return pack_lengths(items, capacities, overhead)

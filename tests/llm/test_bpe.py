@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 
-from corvane.llm import bpe
+from corvane.llm import bpe, packing
 
 LETTERS = [*"ab eE'\n\t  .,!1290éß日²½ 😀x's\r_- \xa0\x1c", "'s", "'ll", "'re", "'ve", " the", "ing", "  ", "\n\n"]
 
@@ -139,3 +141,24 @@ def test_long_pieces_are_counted_alone(codec, reference):
     want = [reference.encode_ordinary(t) for t in docs]
     assert codec.counted(docs) == [len(w) for w in want]
     assert [len(x) // 4 for x in codec.joined(docs)] == [len(w) for w in want]
+
+
+def test_ids_that_fit_two_bytes_take_two(spark, codec):
+    """What the packing carries along: half of the bytes, the same ids; 4 bytes for a vocabulary that needs them."""
+    data = bpe.read_vocabulary()
+    assert bpe.id_bytes(data) == 2 and bpe.id_bytes(data + b"\nYWJjYWJjYWJj 65536\n") == 4
+    docs = [*texts(300, 10), None, "", "ab" * 300]
+    for short, full in zip(codec.joined(docs, 2), codec.joined(docs)):
+        assert short is full is None or np.frombuffer(short, "<u2").tolist() == np.frombuffer(full, "<i4").tolist()
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in bpe.quick_tokens(df, id_bytes=2).collect()}
+    assert all(rows[i].tokens is rows[i].length is None if t is None else len(rows[i].tokens) == 2 * rows[i].length == 2 * codec.count(t) for i, t in enumerate(docs))
+
+
+def test_ids_of_either_width_are_unpacked_alike():
+    lists = [[1, 50_000, 65_535], [], None, [7]]
+    for width in (2, 4):
+        held = pa.array([None if x is None else np.array(x, f"<u{width}").tobytes() for x in lists], pa.binary())
+        assert packing._as_ids(held, width).to_pylist() == [x or [] for x in lists]
+        assert packing._as_ids(held.slice(1, 3), width).to_pylist() == [[], [], [7]]
+        assert packing._as_ids(held.slice(1, 1), width).to_pylist() == [[]]
