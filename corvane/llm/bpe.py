@@ -101,12 +101,22 @@ class Vocabulary:
             raise ValueError("the vocabulary lacks single bytes")
         self._split: dict[int, tuple[int, int]] = {}
         self.known: dict[int, bool] = {}
+        self.size = [0] * (max(self.bytes) + 1)
+        for t, r in self.rank.items():
+            self.size[r] = len(t)
+
+    def __getattr__(self, name: str):
+        """The trie is built when it is first asked for; what merges pieces together does without."""
+        if name not in ("children", "token", "depth"):
+            raise AttributeError(name)
+        self._build()
+        return self.__dict__[name]
+
+    def _build(self) -> None:
         self.children: list[dict[int, int]] = [{}]
         self.token: list[int] = [NONE]
         self.depth: list[int] = [0]
-        self.size = [0] * (max(self.bytes) + 1)
         for t, r in self.rank.items():
-            self.size[r] = len(t)
             if len(t) > 1 and self.merge(t) != [r]:
                 continue  # no text encodes to it
             at = 0

@@ -32,6 +32,8 @@ CAPACITIES = (512, 1024, 2048, 4096, 8192)
 OVERHEAD = 32
 #: A length's items are ranked in cells of about so many, each in one task; a hot length has many cells.
 CELL_ROWS = 1_000_000
+#: Nor has a cell many more tokens than this, since rows may carry them.
+CELL_TOKENS = 4_000_000
 #: So many rows at once leave a Python worker, so that long token lists don't pile up.
 SLICE_ROWS = 500
 
@@ -136,8 +138,9 @@ def pack_lengths(items: DataFrame, capacities: Sequence[int] = CAPACITIES, overh
     with text_batches(items.sparkSession):
         pieces = checkpointed(pieces)
     some = pieces.where("length > 0")
-    # At most one row for each length up to the largest, and one more for so many items: all that the driver sees of the corpus.
-    sizes = some.groupBy("length").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / cell_rows).cast("int"))
+    # At most one row for each length up to the largest, and one more for so many items or tokens: all that the driver sees of the corpus.
+    sizes = some.groupBy("length").agg(F.count("*").alias("n"))
+    sizes = sizes.withColumn("salts", F.greatest(F.ceil(F.col("n") / cell_rows), F.ceil(F.col("n") * F.col("length") / CELL_TOKENS)).cast("int"))
     sizes = checkpointed(sizes)
     held = sizes.toPandas()
     if (held["salts"] > 1).any():

@@ -206,6 +206,26 @@ def test_cells_do_not_change_the_packing(spark):
     assert bins[0] == bins[1]
 
 
+def test_long_items_of_one_length_are_not_one_task(spark, monkeypatch):
+    """Cells are bounded by tokens too, so that rows which carry them don't pile up in one task."""
+    monkeypatch.setattr(packing, "CELL_TOKENS", 64 * 20, raising=False)
+    rows = [(i, 64 if i < 400 else 1 + i % 30) for i in range(500)]
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = packing.pack_lengths(spark.createDataFrame(rows, "doc_id long, length int"), (16, 32, 64))
+        out = out.withColumn("task", F.spark_partition_id()).toPandas()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    assert out[out.length == 64].task.nunique() > 1
+    assert sorted(zip(out.doc_id, out.length)) == sorted(rows)
+    assert not out.duplicated(["bin", "offset"]).any()
+    held = Counter(tuple(sorted(b.length)) for _, b in out.groupby("bin"))
+    monkeypatch.setattr(packing, "CELL_TOKENS", 10**9, raising=False)
+    one = packing.pack_lengths(spark.createDataFrame(rows, "doc_id long, length int"), (16, 32, 64)).toPandas()
+    assert held == Counter(tuple(sorted(b.length)) for _, b in one.groupby("bin"))
+
+
 def test_packed_tokens_are_the_documents(spark, documents):
     """Pieces in order give each text's tokens; a bin's pieces fill it from its start without gaps."""
     docs = spark.createDataFrame(documents.head(120))
