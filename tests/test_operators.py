@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,6 +171,26 @@ def test_days_apart(spark):
     assert analyzers.capped(analyzers.temporal(rows(1, 1, 1, 1), 1), 1).count() == 2
 
 
+def test_days_apart_over_blocks(spark):
+    """Pairs are those of a comparison of all with all, whatever the blocks; keys of two times and copies included."""
+    rnd = random.Random(5)
+    at = lambda: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rnd.randrange(12 * 86400) // 7200 * 7200)
+    old = [(i, at()) for i in range(150)] + [(7, at()), (9, at()), (None, at()), (151, None)]
+    new = [old[7], old[9], old[20], (30, at()), (7, at()), (200, at())]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, ts timestamp")
+    days = lambda x, y: int(abs((x[1] - y[1]).total_seconds()) // 86400)
+    whole = lambda rows: [r for r in rows if None not in r]
+    pair = lambda x, y: (*(z[0] for z in sorted((x, y), key=lambda r: (r[1], r[0]))), days(x, y))
+    rows = whole(old)
+    for block in (4, 1000):
+        got = sorted(map(tuple, analyzers.within_days(frame(old), window=2, block=block).collect()))
+        assert got == sorted(pair(x, y) for i, x in enumerate(rows) for y in rows[:i] if x[0] != y[0] and days(x, y) <= 2)
+        got = sorted(map(tuple, analyzers.within_days(frame(new), frame(old), window=2, block=block).collect()))
+        assert got == sorted({pair(x, y) for x in new for y in rows if x[0] != y[0] and days(x, y) <= 2})
+    few = analyzers.within_days(frame(old))
+    assert few.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism  # one file of few bytes was one task
+
+
 def test_entities_links_topics(spark):
     notes = spark.createDataFrame([("note_a", "Alice", "we met Bob Stone and Alice Hill #x"), ("note_b", "Bob", "so Bob Stone met Charlie Ray [[alice]] #x #y")], "id string, title string, content string")
     nodes, edges = analyzers.entities(notes)
