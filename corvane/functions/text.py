@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -227,18 +230,14 @@ def porter(word: str) -> str:
 
 
 def stemmed(tokens: Column) -> Column:
-    """Each token's Porter stem."""
-
-    @F.pandas_udf("array<string>")
-    def stem(ts: pd.Series) -> pd.Series:
-        memo: dict[str, str] = {}
-
-        def one(t: str) -> str:
-            got = memo.get(t)
-            if got is None:
-                got = memo[t] = porter(t)
-            return got
-
-        return ts.map(lambda x: None if x is None else [one(t) for t in x])
+    """Each token's Porter stem; only the distinct tokens of a batch become Python's."""
+
+    @F.arrow_udf("array<string>")
+    def stem(ts: pa.Array) -> pa.Array:
+        held = ts.flatten().dictionary_encode()
+        stems = pa.array([None if t is None else porter(t) for t in held.dictionary.to_pylist()], pa.string())
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(ts), 0).to_numpy(zero_copy_only=False), dtype=np.int32)
+        offsets = pa.array(np.concatenate([np.zeros(1, np.int32), ends]), pa.int32(), mask=np.concatenate([pc.is_null(ts).to_numpy(zero_copy_only=False), [False]]))
+        return pa.ListArray.from_arrays(offsets, stems.take(held.indices))
 
     return stem(tokens)

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import porter
-from corvane.session import spread
+from corvane.functions.text import porter, stemmed
+from corvane.session import checkpointed, spread
 
 K1, B = 1.2, 0.75
 #: The distinct terms of a batch of queries are broadcast up to this number.
@@ -62,28 +64,47 @@ def postings(chunks: DataFrame, key: str = "doc_id", columns: tuple[str, ...] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                row, term, places, length = [], [], [], []
-                for i, texts in enumerate(zip(*(c.to_pylist() for c in part.columns[1:]))):
-                    held: dict[str, list[int]] = {}
-                    at = n = 0
-                    for text in texts:
-                        for t in terms(text):
-                            held.setdefault(t, []).append(at)
-                            at += 1
-                            n += 1
-                        at += 1  # so that no phrase crosses columns
-                    row += [i] * len(held)
-                    term += held
-                    places += held.values()
-                    length += [n] * len(held)
-                out = [part.column(0).take(pa.array(row, pa.int64())), pa.array(term, pa.string()), pa.array([len(p) for p in places], pa.int32()), pa.array(places, pa.list_(pa.int32())), pa.array(length, pa.int32())]
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(start, ROWS_AT_ONCE)
+                row, place, code, words, length = _placed(part.columns[1:])
+                order = np.lexsort((place, code, row))
+                row, place, code = row[order], place[order], code[order]
+                new = np.flatnonzero(np.diff(row, prepend=-1) | np.diff(code, prepend=-1))
+                ends = np.append(new, len(row)).astype(np.int32)
+                out = [part.column(0).take(pa.array(row[new])), words.take(pa.array(code[new])), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends), pa.array(place)), pa.array(length[row[new]])]
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
     return spread(rows).mapInArrow(run, f"`{key}` {kind}, term string, tf int, positions array<int>, dl int")
 
 
+#: Texts that are cut into terms together.
+ROWS_AT_ONCE = 500
+
+
+def _placed(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Every token of some rows: its row, its place there and its term as a code, the codes' terms, and the rows' numbers of tokens.
+
+    Terms are those of :func:`terms`, found for each distinct token once.  A place is left free
+    between columns, so that no phrase crosses them.
+    """
+    rows = len(columns[0])
+    dl, at = np.zeros(rows, np.int32), np.zeros(rows, np.int32)
+    row, place, token = [], [], []
+    for c in columns:
+        low = [folded(t) for t in c.to_pylist()]
+        held = [_TOKEN.findall(t) for t in low]
+        n = np.fromiter(map(len, held), np.int32, rows)
+        row.append(np.repeat(np.arange(rows), n))
+        place.append(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - at, n))
+        token += itertools.chain.from_iterable(held)
+        dl += n
+        at += n + 1
+    encoded = pa.array(token, pa.string()).dictionary_encode()
+    stems = pa.array([stem(t) for t in encoded.dictionary.to_pylist()], pa.string()).dictionary_encode()
+    code = stems.indices.to_numpy()[encoded.indices.to_numpy()] if len(token) else np.zeros(0, np.int32)
+    return np.concatenate(row), np.concatenate(place).astype(np.int32), code, stems.dictionary, dl
+
+
 def search_terms(query: str) -> list[list[str]]:
     """A query's words as the index holds them, each as the terms of a phrase."""
     return [[t for w in phrase for t in terms(w)] for phrase in query_words(query)]
@@ -112,6 +133,35 @@ def bm25_indexed(posted: DataFrame, chunks: DataFrame, query: str, key: str = "d
     return _scored(counted, corpus.crossJoin(seen), len(words), key)
 
 
+def bm25_texts(chunks: DataFrame, query: str, key: str = "doc_id", columns: tuple[str, ...] = SEARCHED) -> DataFrame:
+    """:func:`bm25_indexed` where no postings are stored: texts are cut into terms once, and only counts leave Python."""
+    words = [w for w in search_terms(query) if w]
+    kind = chunks.schema[key].dataType.simpleString()
+    rows = chunks.select(F.col(key).alias("__key"), *[F.col(c).cast("string").alias(f"__{i}") for i, c in enumerate(columns)])
+    names = [key, "dl", *[f"tf{i}" for i in range(len(words))]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(start, ROWS_AT_ONCE)
+                row, place, code, held, length = _placed(part.columns[1:])
+                order = np.lexsort((place, row))
+                row, place, code = row[order], place[order], code[order]
+                of = {t: i for i, t in enumerate(held.to_pylist())}
+                counts = []
+                for phrase in words:
+                    hit = np.flatnonzero(code == of.get(phrase[0], -1))
+                    for i, t in enumerate(phrase):
+                        hit = hit[hit + i < len(code)]
+                        hit = hit[(code[hit + i] == of.get(t, -1)) & (row[hit + i] == row[hit]) & (place[hit + i] == place[hit] + i)]
+                    counts.append(pa.array(np.bincount(row[hit], minlength=part.num_rows).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(length), *counts], names=names)
+
+    counted = checkpointed(spread(rows).mapInArrow(run, f"`{key}` {kind}, dl int" + "".join(f", tf{i} int" for i in range(len(words)))))
+    totals = counted.agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
+    return _scored(counted, totals, len(words), key)
+
+
 def document_frequency(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(term, df, cf)``: in how many documents a term occurs, and how often."""
     return spread(docs.select(key, text)).select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").count().groupBy("term").agg(F.count("*").alias("df"), F.sum("count").alias("cf"))
@@ -187,6 +237,18 @@ def bm25_from_postings(posted: DataFrame, lengths: DataFrame, queries: DataFrame
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", key, "score", "rank")
 
 
+def stemmed_postings(docs: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(key, term, tf)`` of the stems that ``queries`` ``(query_id, term)`` ask for, from documents ``(key, toks)``.
+
+    Python sees the corpus's distinct tokens, not its texts.
+    """
+    each = docs.select(key, F.explode("toks").alias("token"))
+    stems = each.select("token").distinct().select("token", F.element_at(stemmed(F.array("token")), 1).alias("term"))
+    wanted = queries.select("term").distinct()
+    known = checkpointed(stems.join(wanted, "term", "left_semi"))
+    return each.join(F.broadcast(known) if known.count() <= MAX_BROADCAST_TERMS else known, "token").groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
 def normalised_rank(rank: Column) -> Column:
     """RT10: a (negative) keyword rank as a score in [0, 1]; 0.1 where there is none."""
     return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 + rank / 50)), F.lit(0.1))

@@ -27,7 +27,7 @@ class Stores:
     edges: DataFrame | None = None
     documents: DataFrame | None = None
     tags: DataFrame | None = None
-    postings: DataFrame | None = None  # keyword.postings of the chunks; made for the query where they aren't stored
+    postings: DataFrame | None = None  # keyword.postings of the chunks; where they aren't stored, the texts are counted for the query
 
     @classmethod
     def of(cls, store: Snapshots) -> Stores:
@@ -73,7 +73,7 @@ def vector_search(stores: Stores, query: str, limit: int = 5, threshold: float =
     queries = stores.chunks.sparkSession.createDataFrame(rows, "list_no int, embedding array<double>")
     hits = vector.search_batch(stores.chunks, queries, min(2 * limit, 20), "doc_id", "list_no", threshold=threshold)
     fused = ranking.reciprocal_rank_fusion(hits, similarity="similarity")
-    full = fused.join(stores.chunks.select("doc_id", "file_path", "content"), "doc_id")
+    full = F.broadcast(fused).join(stores.chunks.select("doc_id", "file_path", "content"), "doc_id")  # few rows, so no text is shuffled
     once = ranking.dedupe_by_file(full)
     if reranker is None:
         scored = once.withColumn("rerank", F.lit(None).cast("double")).withColumn("score", F.col("rrf_score")).drop("rank")
@@ -121,9 +121,8 @@ def unified(stores: Stores, query: str, limit: int = 5, threshold: float = 0.3,
     near = checkpointed(near)  # a few rows, needed in three places
     lists = [near.select(F.lit(0).alias("list_no"), "rank", "doc_id", F.lit("vector").alias("source"))]
     if any(keyword.search_terms(query)):
-        posted = stores.postings if stores.postings is not None else keyword.postings(stores.chunks)
-        hits = keyword.bm25_indexed(posted, stores.chunks, query).orderBy(F.desc("score"), "doc_id").limit(each)
-        hits = ranking.ranked(hits, F.desc("score"), "doc_id").join(stores.chunks.select("doc_id", "file_path"), "doc_id")
+        hits = keyword.bm25_indexed(stores.postings, stores.chunks, query) if stores.postings is not None else keyword.bm25_texts(stores.chunks, query)
+        hits = F.broadcast(ranking.ranked(hits.orderBy(F.desc("score"), "doc_id").limit(each), F.desc("score"), "doc_id")).join(stores.chunks.select("doc_id", "file_path"), "doc_id")
         lists.append(hits.select(F.lit(1).alias("list_no"), "rank", F.col("file_path").alias("doc_id"), F.lit("keyword").alias("source")))
     if stores.documents is not None:
         docs = metadata.filter_documents(stores.documents, stores.tags, limit=each, **filters) if filters else metadata.title_search(stores.documents, query, each)
